@@ -7,12 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.llm.bpe import encode_documents
 from keyloom.llm.common import table
 from keyloom.llm.exact_dedup import exact_dedup
+from keyloom.llm.packing import best_fit_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = best_fit_packing(docs, tokenizer("word_bpe_49k.json"), keep_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_documents(docs, tokenizer("byte_bpe_50k.json"), decoded_col="decoded")
+    return out.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -27,7 +50,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_bpe": op9_bpe,
     }
 
 
