@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.bpe import slices
 from keyloom.llm.common import written
@@ -77,7 +78,7 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
     ``path``: a tokenizer whose ids don't depend on white space around a word.
     """
     keep = [c for c in docs.columns if c not in (text_col, "piece", "start", "length", "ids")]
-    schema = docs.select(*keep).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids", "binary")
+    schema = docs.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +147,24 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
     return [(columns[k], max(0.0, float(level[k]))) for k in range(m)]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 48, small: int | None = None) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+Classes = list[tuple[int, tuple[tuple[int, int], ...]]]
+
+
+def plan(histogram: dict[int, int], capacity: int, groups: int = 48, thresholds: tuple[float, ...] = (1 / 4, 1 / 3, 1 / 2)) -> Classes:
     """Classes of sequences, as (count, ((length, how many), ...)), that hold exactly the lengths of ``histogram``.
 
-    ``groups``: how many groups of equal cardinality the lengths above ``small`` (capacity / 16 unless given) are cut into.
+    ``groups``: how many groups of equal cardinality the large lengths are cut into. A length is large above a share of
+    the capacity; of the plans for each of ``thresholds``, the one with the fewest sequences counts.
     """
+    plans = [grouped_plan(histogram, capacity, groups, max(1, int(capacity * t))) for t in thresholds]
+    return min(plans, key=lambda classes: sum(n for n, _ in classes))
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> Classes:
+    """The plan whose large lengths are those above ``small``."""
     left = {int(k): int(n) for k, n in histogram.items() if n > 0}
     if any(not 0 < k <= capacity for k in left):
         raise ValueError("a length is not between 1 and the sequence length")
-    small = capacity // 16 if small is None else small
     open_: dict[tuple[tuple[int, int], ...], int] = defaultdict(int)
     if full := left.pop(capacity, 0):
         open_[((capacity, 1),)] = full
@@ -213,7 +223,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 48, small: int
     return best_fit(open_, left, capacity)
 
 
-def best_fit(open_: dict[tuple[tuple[int, int], ...], int], left: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def best_fit(open_: dict[tuple[tuple[int, int], ...], int], left: dict[int, int], capacity: int) -> Classes:
     """``left`` from long to short into the fullest sequences where they fit, or into new ones; equal sequences move together."""
     by_room: dict[int, list[list]] = defaultdict(list)  # room: [[count, {length: how many}], ...]
     rooms: list[int] = []
@@ -257,7 +267,7 @@ def best_fit(open_: dict[tuple[tuple[int, int], ...], int], left: dict[int, int]
     return [(count, shape) for shape, count in sorted(merged.items(), reverse=True)]
 
 
-def places(classes: list[tuple[int, tuple[tuple[int, int], ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def places(classes: Classes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each length: first rank, first sequence and offset of each of its places, in the order of ranks."""
     out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     ranks: dict[int, int] = defaultdict(int)
@@ -300,7 +310,7 @@ def place(pieces: DataFrame, order: list[str], capacity: int = 2048, groups: int
     histogram = {int(k): int(n) for k, n in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     rows = sum(histogram.values())
     table = places(plan(histogram, capacity, groups))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
     names = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

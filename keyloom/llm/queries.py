@@ -11,6 +11,8 @@ from keyloom.llm.bpe import encode_documents
 from keyloom.llm.common import table
 from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.packing import best_fit_packing
+from keyloom.llm.sharding import two_pass_shuffle
+from keyloom.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = two_pass_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return out.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(docs, tokenizer("byte_bpe_50k.json"), decoded_col="decoded")
@@ -51,6 +66,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_sharding": op2_sharding,
+        "op3_simhash": op3_simhash,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
     }
