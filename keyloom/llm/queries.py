@@ -13,6 +13,7 @@ from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.packing import best_fit_packing
 from keyloom.llm.sharding import two_pass_shuffle
 from keyloom.llm.simhash import near_duplicates
+from keyloom.llm.url_filters import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+r(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT page_id, rhost || rpath AS rule, action,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rhost) DESC, length(rpath) DESC) AS k
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT h.page_id, host, path, f.rule, coalesce(f.action, 'allow') AS verdict FROM h LEFT JOIN f ON h.page_id = f.page_id AND k = 1
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(docs, tokenizer("byte_bpe_50k.json"), decoded_col="decoded")
@@ -68,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
+        "op7_url_filters": op7_url_filters,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
     }
@@ -75,5 +94,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_url_filters": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
