@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.bpe import encode_documents
 from keyloom.llm.common import table
 from keyloom.llm.exact_dedup import exact_dedup
+from keyloom.llm.kneser_ney import classify
 from keyloom.llm.packing import best_fit_packing
 from keyloom.llm.sharding import two_pass_shuffle
 from keyloom.llm.simhash import near_duplicates
@@ -74,6 +75,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return classify(docs, table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
@@ -89,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filters": op7_url_filters,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
