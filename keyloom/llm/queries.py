@@ -14,6 +14,7 @@ from keyloom.llm.kneser_ney import classify
 from keyloom.llm.packing import best_fit_packing
 from keyloom.llm.sharding import two_pass_shuffle
 from keyloom.llm.simhash import near_duplicates
+from keyloom.llm.toxicity import held_out, toxicity
 from keyloom.llm.url_filters import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
+        "op4_toxicity": op4_toxicity,
         "op7_url_filters": op7_url_filters,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
