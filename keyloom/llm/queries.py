@@ -12,6 +12,7 @@ from keyloom.llm.common import table
 from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.kneser_ney import classify
 from keyloom.llm.packing import best_fit_packing
+from keyloom.llm.quality_rules import quality_rules
 from keyloom.llm.sharding import two_pass_shuffle
 from keyloom.llm.simhash import near_duplicates
 from keyloom.llm.toxicity import held_out, toxicity
@@ -50,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -99,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
+        "op6_quality_rules": op6_quality_rules,
         "op7_url_filters": op7_url_filters,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
