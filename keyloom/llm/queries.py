@@ -13,6 +13,7 @@ from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.kneser_ney import classify
 from keyloom.llm.packing import best_fit_packing
 from keyloom.llm.quality_rules import quality_rules
+from keyloom.llm.secret_scan import secret_spans
 from keyloom.llm.sharding import two_pass_shuffle
 from keyloom.llm.simhash import near_duplicates
 from keyloom.llm.toxicity import held_out, toxicity
@@ -51,6 +52,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -105,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
+        "op5_secret_scans": op5_secret_scans,
         "op6_quality_rules": op6_quality_rules,
         "op7_url_filters": op7_url_filters,
         "op8_exact_dedup": op8_exact_dedup,
