@@ -31,9 +31,12 @@ ROWS, DIM, GRAMS, WINDOW, SEED = 1 << 18, 8, (3, 4, 5), 16, 42
 #: N-grams of fewer sampled documents keep no vector: they tell documents apart, not classes.
 LEAST_DOCS = 6
 
-#: Margin from which a window of a toxic document counts as toxic itself once the first epoch is over.
+#: Margin from which a window of a toxic document counts as toxic itself once WARM_UP is over.
 SURE = 2.0
 
+#: Epochs in which every window has its document's label.
+WARM_UP = 3
+
 #: A window counts each word once, and as many n-grams at least: so a word that fills a text weighs no more than elsewhere.
 LEAST_GRAMS = 100
 
@@ -141,7 +144,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.slope * self.top_windows(texts) + self.model.shift, -30, 30)))
 
 
-def train(texts: list[str], toxic: list[int], share: float | None = None, epochs: int = 12, batch: int = 512, rate: float = 0.1, seed: int = SEED) -> Model:
+def train(texts: list[str], toxic: list[int], share: float | None = None, epochs: int = 12, rate: float = 0.1, seed: int = SEED) -> Model:
     """Embeddings and softmax by Adagrad over windows, then the logistic function on documents. One class alone: its share.
 
     ``share``: of toxic documents among all, if the sample has another.
@@ -175,11 +178,12 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, epochs
     soft = random.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     sq_vectors, sq_soft, sq_bias = np.full((ROWS, 1), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    batch = min(512, max(32, len(windows) // 200))  # small samples need as many steps
     of_doc = np.array([k for k, _ in windows])
     first_window = np.flatnonzero(np.concatenate([[True], of_doc[1:] != of_doc[:-1]]))
     for epoch in range(epochs):
         chosen = np.arange(len(windows))
-        if epoch >= 1:
+        if epoch >= WARM_UP:
             # of toxic documents, the windows that look so by now, and the one that looks most so
             now = Scorer(replace(empty, margin=(vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), bias=float(bias[1] - bias[0]))).windows([d for d in docs if d])
             top = np.repeat(np.maximum.reduceat(now, first_window), np.diff(np.append(first_window, len(now))))
