@@ -32,14 +32,19 @@ from keyloom.llm.common import written
 #: Rows that one task ranks within a length; more of one length are parted by a hash first.
 RANKED_ROWS = 200_000
 
-REMEMBERED = 600_000
+#: Words that a worker remembers in each of two generations.
+REMEMBERED = 500_000
 
 
 # tokens
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space, from remembered ids of the words between ASCII white space."""
+    """Ids of a tokenizer that drops white space and case, from remembered ids of the words between ASCII white space.
+
+    Words are remembered in two generations: when the younger is full it becomes the older, and what is used again moves
+    back. A word that ends in a letter and a full stop or comma is that of its letters, then that of the mark.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,22 +53,43 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
+
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        return (raw if b"<|" in raw else raw.lower()).split()
 
-    def learn(self, texts: list[bytes]) -> None:
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def learn(self, texts: list[list[bytes]]) -> None:
         missing: set[bytes] = set()
-        for text in texts:
-            missing |= set(text.split()).difference(self.known)
+        for words in texts:
+            missing.update(set(words).difference(self.known))
         if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = {w for text in texts for w in text.split()}
-        words = list(missing)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for word, encoded in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(encoded.ids, "<u4").tobytes()
+            self.older, self.known = self.known, {}
+            missing = {w for words in texts for w in words}
+        known, older = self.known, self.older
+        new, marked = set(), []
+        for word in missing:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif word[-1:] in self.marks and word[-2:-1].isalpha():
+                marked.append(word)
+                if word[:-1] not in known:
+                    new.add(word[:-1])
+            else:
+                new.add(word)
+        part = list(new)
+        for at in range(0, len(part), 20_000):
+            known.update(zip(part[at : at + 20_000], self._encode(part[at : at + 20_000])))
+        for word in marked:
+            known[word] = known[word[:-1]] + self.marks[word[-1:]]
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.split()))
+    def encode(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -75,7 +101,7 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
     """Pieces of at most ``most`` tokens: the columns of ``docs`` but the text, piece, start, length, ids (binary, little-endian 32 bits).
 
     A document is the ids of its whole text, then ``end_id``; null and empty texts are that one id. Only longer ones are cut.
-    ``path``: a tokenizer whose ids don't depend on white space around a word.
+    ``path``: a tokenizer whose ids depend neither on white space around a word nor on its case, and that parts letters from marks.
     """
     keep = [c for c in docs.columns if c not in (text_col, "piece", "start", "length", "ids")]
     schema = docs.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
@@ -84,11 +110,11 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for part, texts in slices(batches, "_text"):
-            raw = [t.encode() for t in texts]
-            tokenizer.learn(raw)
+            split = [tokenizer.words(t) for t in texts]
+            tokenizer.learn(split)
             rows, pieces, starts, ids = [], [], [], []
-            for row, text in enumerate(raw):
-                own = tokenizer.encode(text) + end
+            for row, words in enumerate(split):
+                own = tokenizer.encode(words) + end
                 for piece, at in enumerate(range(0, len(own), 4 * most)):
                     rows.append(row)
                     pieces.append(piece)
