@@ -436,7 +436,7 @@ def q_wavefront_schedule(spark, sf):
 
 
 def _trained(spark, sf, run):
-    a = mf.ratings(spark, sf)
+    a = mf.ratings(spark, sf).map_values(lambda v: v / 50)  # quantities go up to 50; steps are for ratings about 1
     w, h = run(a, *_factors(spark, a))[:2]
     return mf.squared_error(a, w, h).unionByName(mf.squared_error(a, *_factors(spark, a)))
 
