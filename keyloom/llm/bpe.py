@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -21,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from keyloom.llm.common import resident
+
 #: Pieces of the byte-level pre-tokenizer; white space by its Unicode property, as \\s of the engines differs.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -164,10 +165,9 @@ class TrieBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> TrieBpe:
-    """One encoder for each worker and file."""
-    return TrieBpe(path)
+    """A worker's encoder for a file."""
+    return resident(f"bpe-{path}", lambda: TrieBpe(path))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

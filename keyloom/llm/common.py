@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,21 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES)
     return F.broadcast(df) if small_enough(df, row_bytes, bound) else df
 
 
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this worker process for later tasks. One at a time: another key's makes room first.
+
+    Workers outlive tasks, so without this a worker would go on holding the memory of every operator that used it.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

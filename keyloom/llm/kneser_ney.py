@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import maybe_broadcast, written
+from keyloom.llm.common import maybe_broadcast, resident, written
 
 #: Share of a language's trusted documents whose perplexity may lie below the threshold, and what is allowed above it.
 QUANTILE, SLACK = 0.995, 1.02
@@ -117,36 +116,23 @@ def table_of(model: Model, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table({"gram": pa.array(model.tri, pa.int32()), "bits": pa.array(seen_bits(model))}))
 
 
-@lru_cache(maxsize=1)
-def all_bits(box: "_Box") -> np.ndarray:
-    """Bits of every gram, 64 MB; once in each worker."""
-    model = box.broadcast.value
-    bits = (-np.log2(model.tri_left.reshape(256, 256)[:, :, None] * model.bi[None])).astype(np.float32).ravel()
+def all_bits(model: Model) -> np.ndarray:
+    """Bits of every gram, 64 MB, made first byte by first byte so that nothing larger is held on the way."""
+    bits = np.empty(1 << 24, np.float32)
+    for a in range(256):
+        bits[a << 16 : (a + 1) << 16] = -np.log2(model.tri_left[a << 8 : (a + 1) << 8, None] * model.bi).ravel()
     bits[model.tri] = seen_bits(model)
     return bits
 
 
-@dataclass(frozen=True)
-class _Box:
-    key: str
-    broadcast: object
-
-    def __hash__(self) -> int:
-        return hash(self.key)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Box) and other.key == self.key
-
-
 def perplexities(docs: DataFrame, model: Model, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with ``perplexity`` (double, of a byte): whole texts, no shuffle. Null and empty texts: that of an average trusted one."""
     keep = [c for c in docs.columns if c != "perplexity" and (with_text or c != text_col)]
     schema = docs.select(*keep).schema.add("perplexity", "double")
-    box = _Box(model.key, docs.sparkSession.sparkContext.broadcast(model))
-    mean = model.mean
+    sent, key, mean = docs.sparkSession.sparkContext.broadcast(model), model.key, model.mean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = all_bits(box)
+        bits = resident(f"kneser-ney-{key}", lambda: all_bits(sent.value))
         for part, texts in slices(batches, "_text"):
             out = []
             for text in texts:

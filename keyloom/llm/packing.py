@@ -18,7 +18,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import written
+from keyloom.llm.common import resident, written
 
 #: Rows that one task ranks within a length; more of one length are parted by a hash first.
 RANKED_ROWS = 200_000
 
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 # tokens
@@ -92,9 +91,9 @@ class WordTokenizer:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """A worker's tokenizer for a file."""
+    return resident(f"words-{path}", lambda: WordTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, text_col: str = "text") -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
+from keyloom.llm.common import resident
 
 #: Bound of the training sample: documents of each class, and bytes of text in all.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 16 << 20
@@ -269,31 +269,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS,
     return [r[1] for r in rows], [int(r[2]) for r in rows], share
 
 
-@lru_cache(maxsize=1)
-def scorer(box: "_Box") -> Scorer:
-    return Scorer(box.broadcast.value)
-
-
-@dataclass(frozen=True)
-class _Box:
-    key: str
-    broadcast: object
-
-    def __hash__(self) -> int:
-        return hash(self.key)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Box) and other.key == self.key
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` without the text, with ``score_col`` (double, 0 to 1) of whole texts. Null and empty texts score as a window without words."""
     keep = [c for c in docs.columns if c not in (text_col, score_col)]
     schema = docs.select(*keep).schema.add(score_col, "double")
-    box = _Box(model.key, docs.sparkSession.sparkContext.broadcast(model))  # 2**18 floats: 1 MB
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key  # 2**18 floats: 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(box)
+        own = resident(f"toxicity-{key}", lambda: Scorer(sent.value))
         for part, texts in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(own.scores(texts))], [*keep, score_col])
 
