@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -64,6 +66,8 @@ def resident(key: str, make: Callable[[], object]) -> object:
     if key not in _RESIDENT:
         _RESIDENT.clear()
         gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
