@@ -1,9 +1,10 @@
-"""Quality by an interpolated modified Kneser-Ney model of trusted text.
+"""Quality by interpolated modified Kneser-Ney models of trusted text.
 
-The model is over bytes, of order three, so that it has a proven bound: at most 2**24 grams, whatever the corpus. Each
+The model that ``classify`` scores by is over words and grows with the text: ``kneser_words``. The one here, over bytes
+and of order three, spells the words that it hasn't seen; it has at most 2**24 grams, whatever the corpus. Each
 task counts the grams of its trusted documents; the counts are added up in shards by gram. The statistics of Kneser-Ney
 (count-of-counts, continuation counts, discounts and back-off weights) are joins and aggregates of these sharded tables
-by context. What they give, gram by gram, is sent to the tasks, which add it up to a document's perplexity. A document
+by context. What they give, gram by gram, is sent to the tasks. A document
 is rejected if its perplexity is above a quantile of the trusted documents of its language.
 """
 
@@ -144,26 +145,35 @@ def perplexities(docs: DataFrame, model: Model, text_col: str = "text", with_tex
     return docs.select(*keep, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+
+
 def trusted_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents that ``labels`` gives quality 1. The ids are broadcast if their counted rows are few enough, else joined by a shuffle."""
-    ids = labels.where("quality = 1").select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    return docs.join(maybe_broadcast(ids, 16), docs[id_col] == F.col("_trusted"), "left_semi")
+    return docs.join(maybe_broadcast(trusted_ids(labels), 16), docs[id_col] == F.col("_id"), "left_semi")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with perplexity, threshold and kept (boolean).
+    """``docs`` with perplexity (of a byte), threshold and kept (boolean).
 
-    Trained on all whole documents of label quality 1. A language's threshold is the quantile of its trusted documents'
+    Trained on all whole documents of label quality 1: words in tables that grow with them (``kneser_words``), above
+    this module's byte model, which spells unseen words. A trusted document is scored by what the other ones hold. A language's threshold is the quantile of its trusted documents'
     perplexities times ``slack``; null is a language of its own; one without trusted documents has no threshold, and
     its documents are kept. Columns named so are replaced; an empty table stays empty.
     """
+    from keyloom.llm.kneser_words import scores
+
     docs = docs.drop("perplexity", "threshold", "kept")
-    trusted = trusted_of(docs, labels, id_col)
-    model = train(trusted, text_col)
+    spelling = train(trusted_of(docs, labels, id_col), text_col)
+    ids = trusted_ids(labels)
+    marked = docs.join(maybe_broadcast(ids, 16), docs[id_col] == F.col("_id"), "left").withColumn("_trusted", F.col("_id").isNotNull()).drop("_id")
+    scored = scores(marked, spelling, id_col, text_col, with_text)
+    mean = scored.where("_trusted").agg(F.sum("bits") / F.sum("bytes")).first()[0]
+    mixed = (F.col("bits") + PRIOR_BYTES * (8.0 if mean is None else mean)) / (F.col("bytes") + PRIOR_BYTES)
+    scored = scored.withColumn("perplexity", F.pow(F.lit(2.0), mixed)).drop("bits", "bytes")
     lang = F.coalesce(F.col(lang_col), F.lit(""))
-    scores = perplexities(trusted.select(lang_col, text_col), model, text_col, with_text=False)
-    limits = scores.groupBy(lang.alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    limits = scored.where("_trusted").groupBy(lang.alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     limits = written(limits, "thresholds")
-    scored = perplexities(docs, model, text_col, with_text)
-    out = scored.join(maybe_broadcast(limits, 64), lang == F.col("_lang"), "left").drop("_lang")
+    out = scored.drop("_trusted").join(maybe_broadcast(limits, 64), lang == F.col("_lang"), "left").drop("_lang")
     return out.withColumn("kept", F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
