@@ -521,7 +521,8 @@ def q_lda_llh(spark, sf):
 
 @query()
 def q_lda_sweep(spark, sf):
-    return lda.topic_totals(lda.sweep(_tokens(spark, sf), V, slots=2))
+    t = lda.tokens(lda.token_counts(spark, sf, None))
+    return lda.topic_totals(lda.sweep(t, t.size()[1], slots=2))
 
 
 @query()
