@@ -5,12 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java and Python character class of the six white-space characters that part words.
 SPACE = "\\x20\\x09-\\x0D"
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,13 +49,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_written(df: DataFrame, name: str, column: str, values: Iterable) -> dict[object, DataFrame]:
+    """``df`` written once, in a folder for each value of ``column``, and read back as a table for each of ``values``."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    kept = T.StructType([f for f in df.schema.fields if f.name != column])
+    out = {}
+    for value in values:
+        folder = f"{path}/{column}={value}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        table = spark.read.schema(kept).parquet(folder) if found else spark.createDataFrame([], kept)
+        out[value] = table.select(*[F.lit(value).cast(f.dataType).alias(f.name) if f.name == column else f.name for f in df.schema.fields])
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of ``written`` tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            hadoop = jvm.org.apache.hadoop.fs.Path(folder)
-            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            remove(df.sparkSession, folder)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, before the next ones are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2 ... that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in itertools.count() if (n := f"_{name}_{k}" if k else f"_{name}").lower() not in taken)
 
 
 def small_enough(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> bool:

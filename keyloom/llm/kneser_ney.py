@@ -1,26 +1,23 @@
-"""Quality by interpolated modified Kneser-Ney models of trusted text.
-
-The model that ``classify`` scores by is over words and grows with the text: ``kneser_words``. The one here, over bytes
-and of order three, spells the words that it hasn't seen; it has at most 2**24 grams, whatever the corpus. Each
-task counts the grams of its trusted documents; the counts are added up in shards by gram. The statistics of Kneser-Ney
-(count-of-counts, continuation counts, discounts and back-off weights) are joins and aggregates of these sharded tables
-by context. What they give, gram by gram, is sent to the tasks. A document
-is rejected if its perplexity is above a quantile of the trusted documents of its language.
+"""Quality by an interpolated modified Kneser-Ney model of trusted text.
+
+The model is over words and grows with the text: ``kneser_words``. What it leaves to words that it hasn't seen is spelt
+by the model here: the same over the letters of the trusted words, which are bytes in 64 classes, so of at most 2**18
+counts whatever the corpus. A document is rejected if its perplexity is above a quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import maybe_broadcast, resident, written
+from keyloom.llm.common import maybe_broadcast, unused, written
+from keyloom.llm.kneser_words import Rounds, scores
 
 #: Share of a language's trusted documents whose perplexity may lie below the threshold, and what is allowed above it.
 QUANTILE, SLACK = 0.995, 1.02
@@ -28,152 +25,113 @@ QUANTILE, SLACK = 0.995, 1.02
 #: Bytes of an average document that each perplexity is mixed with, so that very short texts aren't judged by chance.
 PRIOR_BYTES = 80
 
+#: Classes of bytes: the most frequent ones each on their own, the others together in the last.
+CLASSES = 64
+
 
-def grams(text: bytes) -> np.ndarray:
-    """The grams of a text: of each byte and of the end (a zero byte), with the two bytes before; two zeros come first."""
-    b = np.frombuffer(b"\0\0" + text + b"\0", np.uint8).astype(np.uint32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+def bytes_of(text: str) -> np.ndarray:
+    """A text's words, with a space before and after each, and a zero for the end."""
+    return np.frombuffer(b" ".join([b"", *text.encode().split(), b"\0"]), np.uint8)
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram int, n long over all whole texts; each task adds up its own before the shuffle."""
+def summed_counts(docs: DataFrame, size: int, places: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often ``places`` names each number below ``size``, over the whole texts of a frame whose one column is text."""
+    text = docs.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        total = np.zeros(size, np.int64)
+        for _, texts in slices(batches, text):
+            for t in texts:
+                at = places(bytes_of(t))
+                total += np.bincount(at, minlength=size) if len(at) > size else 0
+                np.add.at(total, at if len(at) <= size else [], 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["at", "n"])
+
+    out = np.zeros(size, np.int64)
+    for at, n in docs.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # at most ``size`` rows
+        out[at] = n
+    return out
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, from how many counts are 1 to 4."""
+    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return np.array([0.0, *(min(max(x, 0.1), k - 0.1) for k, x in zip((1, 2, 3), d))])
 
-        def add_up() -> None:
-            keys, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-            found[:] = [(keys, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64))]
 
-        for _, texts in slices(batches, "_text"):
-            found.append(np.unique(np.concatenate([grams(t.encode()) for t in texts]), return_counts=True))
-            if len(found) > 8:
-                add_up()
-        if found:
-            add_up()
-            yield pa.RecordBatch.from_arrays([pa.array(found[0][0].astype(np.int32)), pa.array(found[0][1])], ["gram", "n"])
+def level(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Shares of the last axis after each context, mixed with ``lower`` ones."""
+    off = discounts(n)[np.minimum(n, 3)]
+    total = n.sum(-1, keepdims=True)
+    seen = np.maximum(total, 1)
+    return (n - off) / seen + np.where(total > 0, off.sum(-1, keepdims=True) / seen, 1.0) * lower
 
-    counted = docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "gram int, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
+@dataclass(frozen=True)
+class Letters:
+    """Classes of bytes, and bits of a byte after two classes: 4 MB."""
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and more, from how many grams have counts 1 to 4."""
-    row = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(x) for x in row)
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    out = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), out))
+    of: np.ndarray  # 256
+    bits: np.ndarray  # CLASSES x CLASSES x 256, float32
 
 
-@dataclass(frozen=True)
-class Model:
-    """Back-off tables: seen grams with their discounted share, and what each context leaves to the shorter one."""
-
-    key: str
-    tri: np.ndarray  # gram, sorted
-    tri_share: np.ndarray
-    tri_left: np.ndarray  # by context (65536); 1 where never seen
-    bi: np.ndarray  # 256 x 256: probability of the second byte after the first
-    mean: float  # bits of a trusted byte
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> Model:
-    """The model of all ``trusted`` texts. Without any, every byte is as likely as any other."""
-    tri = written(count_grams(trusted, text_col), "grams")
-    tri = tri.withColumn("context", F.expr("gram div 256").cast("int"))
-    bi = tri.groupBy(F.expr("gram % 65536").cast("int").alias("gram")).agg(F.count(F.lit(1)).alias("n")).withColumn("context", F.expr("gram div 256").cast("int"))
-    uni = bi.groupBy(F.expr("gram % 256").cast("int").alias("gram")).agg(F.count(F.lit(1)).alias("n")).withColumn("context", F.lit(0))
-    shares, left = [], []
-    for counts in (tri, bi, uni):
-        d1, d2, d3 = discounts(counts)
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = counts.groupBy("context").agg(F.sum("n").alias("all"), F.sum(off).alias("off"))
-        shares.append(counts.join(contexts, "context").select("gram", ((F.col("n") - off) / F.col("all")).alias("share")))
-        left.append(contexts.select("context", (F.col("off") / F.col("all")).alias("left")))
-    frames = [x.toPandas() for x in (*shares, *left)]  # at most 2**24, 2**16, 2**8 rows and as many contexts
-
-    def spread(frame, size: int, empty: float) -> np.ndarray:
-        out = np.full(size, empty)
-        out[frame.iloc[:, 0].to_numpy(np.int64)] = frame.iloc[:, 1].to_numpy(float)
-        return out
-
-    one = spread(frames[2], 256, 0.0) + spread(frames[5], 1, 1.0)[0] / 256
-    two = spread(frames[1], 65536, 0.0).reshape(256, 256) + spread(frames[4], 256, 1.0)[:, None] * one
-    order = np.argsort(frames[0].iloc[:, 0].to_numpy(np.int64))
-    seen, share = frames[0].iloc[order, 0].to_numpy(np.int32), frames[0].iloc[order, 1].to_numpy(float)
-    model = Model(uuid.uuid4().hex, seen, share, spread(frames[3], 65536, 1.0), two, 0.0)
-    total = tri.join(table_of(model, tri.sparkSession), "gram").agg(F.sum(F.col("n") * F.col("bits")), F.sum("n")).first()
-    return Model(model.key, seen, share, model.tri_left, two, total[0] / total[1] if total[1] else 8.0)
-
-
-def seen_bits(model: Model) -> np.ndarray:
-    context, last = model.tri >> 8, model.tri & 0xFFFF
-    return -np.log2(model.tri_share + model.tri_left[context] * model.bi.ravel()[last])
-
-
-def table_of(model: Model, spark: SparkSession) -> DataFrame:
-    """gram int, bits double of the seen grams."""
-    return spark.createDataFrame(pa.table({"gram": pa.array(model.tri, pa.int32()), "bits": pa.array(seen_bits(model))}))
-
-
-def all_bits(model: Model) -> np.ndarray:
-    """Bits of every gram, 64 MB, made first byte by first byte so that nothing larger is held on the way."""
-    bits = np.empty(1 << 24, np.float32)
-    for a in range(256):
-        bits[a << 16 : (a + 1) << 16] = -np.log2(model.tri_left[a << 8 : (a + 1) << 8, None] * model.bi).ravel()
-    bits[model.tri] = seen_bits(model)
-    return bits
-
-
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``docs`` with ``perplexity`` (double, of a byte): whole texts, no shuffle. Null and empty texts: that of an average trusted one."""
-    keep = [c for c in docs.columns if c != "perplexity" and (with_text or c != text_col)]
-    schema = docs.select(*keep).schema.add("perplexity", "double")
-    sent, key, mean = docs.sparkSession.sparkContext.broadcast(model), model.key, model.mean
+def byte_classes(counts: np.ndarray) -> np.ndarray:
+    """The class of each byte; a space and the end are among those on their own."""
+    first = np.array(counts, float)
+    first[[0, 32]] = np.inf
+    of = np.full(256, CLASSES - 1)
+    of[np.argsort(-first, kind="stable")[: CLASSES - 1]] = np.arange(CLASSES - 1)
+    return of
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = resident(f"kneser-ney-{key}", lambda: all_bits(sent.value))
-        for part, texts in slices(batches, "_text"):
-            out = []
-            for text in texts:
-                g = grams(text.encode()) if text else np.zeros(0, np.uint32)
-                total = float(bits[g].sum(dtype=np.float64)) + PRIOR_BYTES * mean
-                out.append(2 ** (total / (len(g) + PRIOR_BYTES)))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(out, pa.float64())], [*keep, "perplexity"])
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+def class_triples(b: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Each byte but the first space, as a class, with the two classes before it; a space comes first of all."""
+    c = of[np.append(np.uint8(32), b)]
+    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+def letters_of(of: np.ndarray, counts: np.ndarray, triples: np.ndarray) -> Letters:
+    """The model of counted bytes and triples of classes. Without any, every class is as likely as any other."""
+    three = triples.reshape((CLASSES,) * 3)
+    two = (three > 0).sum(0)
+    share = level(three, level(two, level((two > 0).sum(0), np.full(CLASSES, 1 / CLASSES))))
+    together = of == CLASSES - 1
+    within = np.where(together, (counts + 1) / (counts + 1)[together].sum(), 1.0)
+    return Letters(of, (-np.log2(share[:, :, of] * within)).astype(np.float32))
 
 
-def trusted_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that ``labels`` gives quality 1. The ids are broadcast if their counted rows are few enough, else joined by a shuffle."""
-    return docs.join(maybe_broadcast(trusted_ids(labels), 16), docs[id_col] == F.col("_id"), "left_semi")
+def train_letters(docs: DataFrame) -> Letters:
+    """Two passes over the whole texts of a frame whose one column is text; no shuffle but of each task's sums."""
+    counts = summed_counts(docs, 256, lambda b: b)
+    of = byte_classes(counts)
+    return letters_of(of, counts, summed_counts(docs, CLASSES**3, lambda b: class_triples(b, of)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with perplexity (of a byte), threshold and kept (boolean).
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: Rounds = Rounds()) -> DataFrame:
+    """``docs``, all rows and columns, with perplexity (of a byte), threshold and kept (boolean).
 
     Trained on all whole documents of label quality 1: words in tables that grow with them (``kneser_words``), above
-    this module's byte model, which spells unseen words. A trusted document is scored by what the other ones hold. A language's threshold is the quantile of its trusted documents'
-    perplexities times ``slack``; null is a language of its own; one without trusted documents has no threshold, and
-    its documents are kept. Columns named so are replaced; an empty table stays empty.
+    the spelling of unseen words. A trusted document is scored by what the other rows hold. A language's threshold is the
+    quantile of its trusted documents' perplexities times ``slack``; null is a language of its own; one without trusted
+    documents has no threshold, and its documents are kept. Null and empty texts, and those of white space, have the mean
+    perplexity of trusted text. Rows without an id, or with one that no label has, don't train; repeated rows train and
+    are judged one by one, repeated labels count once (any of quality 1). Columns named as the three are replaced, others
+    may have any name; an empty table stays empty. Without ``with_text`` the text is left out.
     """
-    from keyloom.llm.kneser_words import scores
-
     docs = docs.drop("perplexity", "threshold", "kept")
-    spelling = train(trusted_of(docs, labels, id_col), text_col)
-    ids = trusted_ids(labels)
-    marked = docs.join(maybe_broadcast(ids, 16), docs[id_col] == F.col("_id"), "left").withColumn("_trusted", F.col("_id").isNotNull()).drop("_id")
-    scored = scores(marked, spelling, id_col, text_col, with_text)
-    mean = scored.where("_trusted").agg(F.sum("bits") / F.sum("bytes")).first()[0]
-    mixed = (F.col("bits") + PRIOR_BYTES * (8.0 if mean is None else mean)) / (F.col("bytes") + PRIOR_BYTES)
-    scored = scored.withColumn("perplexity", F.pow(F.lit(2.0), mixed)).drop("bits", "bytes")
-    lang = F.coalesce(F.col(lang_col), F.lit(""))
-    limits = scored.where("_trusted").groupBy(lang.alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    ident, trusted, bits, size = (unused(docs, x) for x in ("id", "trusted", "bits", "bytes"))
+    ids = labels.where("quality = 1").select(F.col("doc_id").alias(ident)).where(F.col(ident).isNotNull()).distinct()
+    marked = docs.join(maybe_broadcast(ids, 16), docs[id_col] == F.col(ident), "left").withColumn(trusted, F.col(ident).isNotNull()).drop(ident)
+    letters = train_letters(marked.where(trusted).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("words")))
+    scored = scores(marked.withColumn(bits, F.col(trusted)), letters, id_col, text_col, bits, with_text, rounds, (bits, size))
+    mean = scored.where(trusted).agg(F.sum(bits) / F.sum(size)).first()[0]
+    mixed = (F.col(bits) + PRIOR_BYTES * (8.0 if mean is None else mean)) / (F.col(size) + PRIOR_BYTES)
+    scored = scored.withColumn("perplexity", F.pow(F.lit(2.0), mixed)).drop(bits, size)
+    language, of = F.coalesce(F.col(lang_col), F.lit("")), unused(scored, "of")
+    limits = scored.where(trusted).groupBy(language.alias(of)).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     limits = written(limits, "thresholds")
-    out = scored.drop("_trusted").join(maybe_broadcast(limits, 64), lang == F.col("_lang"), "left").drop("_lang")
+    out = scored.drop(trusted).join(maybe_broadcast(limits, 64), language == F.col(of), "left").drop(of)
     return out.withColumn("kept", F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

@@ -1,52 +1,67 @@
 """Interpolated modified Kneser-Ney over words, order three, in tables that grow with the trusted text.
 
-A word, a pair and a triple are 64-bit keys. What Kneser-Ney needs of a key are sums over triples and pairs: its count n
-(of a pair: of different words before it, of a word likewise), and as a context the total N of what follows and how
-many of those have count 1, 2 and more. So every table is a sum by key, in shards by key, and no shard depends on how
-frequent a word is. Unseen words are as likely as the byte model of ``kneser_ney`` spells them.
-
-Documents are gathered in chunks of about 8 MB. A chunk asks each shard for its distinct keys and adds up its documents'
-bits from the answers. That goes in rounds over the chunks, and a round's shuffle files are freed before the next, so
-that the disk holds a part of the requests at a time. A trusted document is scored by what the others hold: its own
-counts are taken off first, else the thresholds would be those of memorised texts.
+A word, a pair and a triple are 64-bit keys. There are three tables: of triples (their count n), of pairs and of words
+(n: how many different words come before; and as a context the total N of what follows and how many of those have count
+1, 2 and more). Each is cut into shards by ranges of keys, so that no shard depends on how frequent a word is. Keys
+travel between tasks as sorted, packed runs of one shard. Unseen words are as likely as the letters of ``kneser_ney``
+spell them.
+
+Training: chunks of trusted text send their distinct triples to shards by triple; from there go what contexts and pairs
+are due to the shards by pair, and from those to the shards by word. Scoring: documents are gathered in chunks; a chunk
+asks each shard for its distinct keys and adds up its documents' bits from the answers. Both go in rounds over shards
+and chunks, and a round's shuffle files are freed before the next: ``Rounds`` says how many at most, so how much disk is used.
+A trusted document is scored by what the others hold: its own counts are taken off first, else the thresholds would be
+those of memorised texts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import discard, resident, written
-from keyloom.llm.kneser_ney import Model, all_bits
+from keyloom.llm.common import discard, free_shuffles, remove, scratch, split_written, unused, written
 
-#: Bytes of text of a chunk and of a shard, and rounds over the chunks.
-CHUNK_BYTES, SHARD_BYTES, ROUNDS = 8 << 20, 16 << 20, 8
+#: Bytes of text of a chunk (a longer document makes a larger one) and of all documents to a shard of each table.
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 
-#: Keys of what comes before a text and after it.
+
+@dataclass(frozen=True)
+class Rounds:
+    """In how many parts, one after another, triples are counted, pairs are counted and documents are scored."""
+
+    triples: int = 2
+    pairs: int = 4
+    scores: int = 12
+
+
+#: Numbers of what comes before a text and after it in a chunk, which are their keys as well.
 START, END = 0, 1
 
-PIECE = "kind int, shard int, blob binary, s1 long, s2 long, s3 long, s4 long, total long, size long"
-TRIPLE, PAIR, WORD, CONTEXT, COUNTED_PAIR, STATS = 3, 2, 1, 4, 5, 0
+#: Kinds of packed rows: distinct triples of a chunk; counts of triples; what contexts and pairs get; counts of pairs; what words get; counts of words; sums.
+FOUND, TRIPLE, CONTEXTS, ENDS, PAIR, BEFORE, AFTER, WORD, SUMS = range(9)
 
-NUMBERS = ("s1", "s2", "s3", "s4", "total", "size")
+PIECE = "kind int, shard int, blob binary"
 
 _ZSTD = pa.Codec("zstd")
 
 
 def pack(spec: str, *arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: k ascending keys, w keys in any order, i counts."""
+    """Arrays of one length as bytes: k ascending keys, i counts."""
     parts = []
     for kind, a in zip(spec, arrays):
         if kind == "k":
             a = np.diff(a, prepend=np.zeros(1, np.uint64))
-        parts.append(a.tobytes() if kind == "w" else np.ascontiguousarray(a.astype("<u8" if kind == "k" else "<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
+        parts.append(np.ascontiguousarray(a.astype("<u8" if kind == "k" else "<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
     return len(arrays[0]).to_bytes(8, "little") + _ZSTD.compress(b"".join(parts), asbytes=True)
 
 
@@ -54,13 +69,39 @@ def unpack(spec: str, blob: bytes) -> list[np.ndarray]:
     n, out = int.from_bytes(blob[:8], "little"), []
     data = np.frombuffer(_ZSTD.decompress(blob[8:], 8 * n * len(spec), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
     for k, kind in enumerate(spec):
-        part = data[8 * n * k : 8 * n * (k + 1)]
-        whole = part if kind == "w" else np.ascontiguousarray(part.reshape(8, n).T)
-        a = whole.reshape(-1).view(np.int64 if kind == "i" else np.uint64)
+        a = np.ascontiguousarray(data[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).reshape(-1).view(np.int64 if kind == "i" else np.uint64)
         out.append(np.cumsum(a, dtype=np.uint64) if kind == "k" else a)
     return out
 
 
+def joined(blobs: list[bytes], spec: str) -> list[np.ndarray]:
+    got = [unpack(spec, b) for b in blobs]
+    return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64 if c == "i" else np.uint64) for k, c in enumerate(spec)]
+
+
+def pack_grams(grams: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Grams (arrays of words' keys, one for each place) and their counts: by numbers into the words that occur."""
+    words = _distinct(np.concatenate(grams))
+    numbers = [np.searchsorted(words, g) for g in grams]
+    order = np.argsort(numbers[0])
+    body = [np.diff(numbers[0][order], prepend=0), *(x[order] for x in numbers[1:]), n[order]]
+    packed = pack("i" * len(body), *body)
+    return len(packed).to_bytes(8, "little") + packed + pack("k", words)
+
+
+def unpack_grams(blob: bytes, size: int) -> list[np.ndarray]:
+    """As many arrays of keys as ``size`` says, and the counts."""
+    end = 8 + int.from_bytes(blob[:8], "little")
+    (words,) = unpack("k", blob[end:])
+    first, *rest, n = unpack("i" * (size + 1), blob[8:end])
+    return [words[np.cumsum(first)], *(words[x] for x in rest), n]
+
+
+def joined_grams(blobs: list[bytes], size: int) -> list[np.ndarray]:
+    got = [unpack_grams(b, size) for b in blobs]
+    return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint64 if k < size else np.int64) for k in range(size + 1)]
+
+
 def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """One key of two, in that order."""
     x = (a ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,176 +111,320 @@ def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-class Keys(dict):
-    """Keys of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = key = xxhash.xxh64_intdigest(word, 7)
-        return key
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
 
 
-def sequence(words: list[bytes], keys: Keys) -> np.ndarray:
-    return np.array([START, START, *[keys[w] for w in words], END], np.uint64)
-
-
-def grams_of(seq: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each word and of the end: the triple's key, that of its first two words, of its last two, of the middle and the last one."""
-    u, v, w = seq[:-2], seq[1:-1], seq[2:]
-    context, pair = mix(u, v, 2), mix(v, w, 2)
-    return mix(context, pair, 3), context, pair, v, w
+def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal values, the place of one of them, by ascending value; and which of those each place has."""
+    order = np.argsort(code)
+    ordered = code[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(code) else np.zeros(0, bool)
+    back = np.empty(len(code), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
-def by_shard(keys: np.ndarray, shards: int) -> list[np.ndarray]:
-    """Places of each shard's keys, in order."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(shard, minlength=shards))[:-1])
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """Shard, first and last place of each run of ascending keys in one shard: shards are equal ranges of keys."""
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(shard[at].astype(int).tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist()))
 
 
 def classes(n: np.ndarray) -> list[np.ndarray]:
     return [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)]
 
 
-def pieces(rows: list[tuple], kind: int, spec: str, shards: int, place: np.ndarray, *arrays: np.ndarray) -> None:
-    """Appends a row for each shard that ``place`` has keys of."""
-    for s, at in enumerate(by_shard(place, shards)):
-        if len(at):
-            rows.append((kind, s, pack(spec, *(a[at] for a in arrays)), *[0] * 6))
-
-
-def stats(n: np.ndarray, level: int) -> tuple:
-    return (STATS, level, b"", *(int((n == k).sum()) for k in (1, 2, 3, 4)), int(n.sum()), len(n))
+def sums(level: int, n: np.ndarray) -> tuple:
+    """How many grams have counts 1 to 4, the sum of counts, how many grams there are."""
+    return (SUMS, level, pack("i", np.array([*((n == k).sum() for k in (1, 2, 3, 4)), n.sum(), len(n)], np.int64)))
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
-    types = [("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())] + [(x, pa.int64()) for x in NUMBERS]
+    types = (("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary()))
     return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[x for x, _ in types])
 
 
-def joined(blobs: list[bytes], spec: str) -> list[np.ndarray]:
-    got = [unpack(spec, b) for b in blobs]
-    return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64 if c == "i" else np.uint64) for k, c in enumerate(spec)]
+class Chunk:
+    """The words of some texts under local numbers, and their grams: arrays of one entry for each word and each end.
 
+    ``w``, ``v`` and ``u``: numbers of the word, the one before and the one before that. ``pair``, ``context``,
+    ``triple``: which of the distinct ``pair_keys``, ``pair_keys`` and ``triple_keys`` (v, w), (u, v) and (u, v, w) are.
+    """
 
-def table_pieces(trusted: DataFrame, shards: int) -> DataFrame:
-    """The merged tables, a row a shard (kind TRIPLE), and count-of-counts of triples, pairs and words (kind STATS, shard 3, 2, 1)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "_text", CHUNK_BYTES):
-            keys, rows = Keys(), []
-            seqs = [sequence(t.encode().split(), keys) for t in texts]
-            u, v, w = (np.concatenate([s[k : len(s) - 2 + k] for s in seqs]) for k in range(3))
-            triple = mix(mix(u, v, 2), mix(v, w, 2), 3)
-            _, at, n = np.unique(triple, return_index=True, return_counts=True)
-            at, n = at[(order := np.argsort(u[at], kind="stable"))], n[order]
-            pieces(rows, TRIPLE, "wwwi", shards, triple[at], u[at], v[at], w[at], n)
-            yield from as_table(rows).to_batches()
+    def __init__(self, texts: list[str]):
+        split = [t.encode().split() for t in texts]
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        number: dict[bytes, int] = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, self.sizes.sum())
+        self.words = list(number)
+        del split, number
+        self.keys = np.array([START, END, *[xxhash.xxh64_intdigest(w, 7) for w in self.words]], np.uint64)
+        many = self.sizes + 1
+        ends = np.cumsum(many)
+        self.starts = ends - many
+        self.doc = np.repeat(np.arange(len(many)), many)
+        self.w = np.full(len(self.doc), END)
+        is_word = np.ones(len(self.doc), bool)
+        is_word[ends - 1] = False
+        self.w[is_word] = ids + 2
+        self.v = self._before(self.w)
+        self.u = self._before(self.v)
+        at, self.pair = grouped(self.v * len(self.keys) + self.w)
+        none = np.array([START], np.uint64)
+        self.pair_keys = np.append(mix(self.keys[self.v[at]], self.keys[self.w[at]], 2), mix(none, none, 2))
+        self.context = np.append(len(at), self.pair[:-1])[: len(self.pair)]
+        self.context[self.starts] = len(at)
+        self.triple_at, self.triple = grouped(self.context * len(self.keys) + self.w)
+        self.triple_keys = mix(self.pair_keys[self.context[self.triple_at]], self.pair_keys[self.pair[self.triple_at]], 3)
+
+    def _before(self, a: np.ndarray) -> np.ndarray:
+        out = np.append(START, a[:-1])[: len(a)]
+        out[self.starts] = START
+        return out
+
+    def word_bytes(self) -> np.ndarray:
+        """Bytes of each document's words, a space after each and one for the end."""
+        size = np.array([0, 0, *map(len, self.words)], np.float64)[self.w] + 1
+        return np.bincount(self.doc, size, len(self.sizes)).astype(np.int64)
+
+
+# training
+
+
+def emit(chunk: Chunk, shards: int, wanted: Callable[[int], bool] = lambda shard: True) -> list[tuple]:
+    """Distinct triples with their counts, for each shard."""
+    order = np.argsort(chunk.triple_keys)
+    at, n = chunk.triple_at[order], np.bincount(chunk.triple, minlength=len(order))[order]
+    rows = []
+    for shard, a, b in by_shard(chunk.triple_keys[order], shards):
+        if wanted(shard):
+            rows.append((FOUND, shard, pack_grams([chunk.keys[x[at[a:b]]] for x in (chunk.u, chunk.v, chunk.w)], n[a:b])))
+    return rows
+
+
+def sent(rows: list[tuple], kind: int, spec: str, shards: int, keys: np.ndarray, *counts: np.ndarray) -> None:
+    """Appends packed runs of ascending ``keys`` and their counts, one for each shard."""
+    for shard, a, b in by_shard(keys, shards):
+        rows.append((kind, shard, pack(spec, keys[a:b], *(c[a:b] for c in counts))))
+
+
+def count_triples(shard: int, blobs: list[bytes], shards: int) -> list[tuple]:
+    """The triples of a shard, and what they give to contexts and to pairs."""
+    u, v, w, n = joined_grams(blobs, 3)
+    context, pair = mix(u, v, 2), mix(v, w, 2)
+    del u
+    triple = mix(context, pair, 3)
+    at, back = grouped(triple)
+    n = np.bincount(back, n, len(at)).astype(np.int64)
+    rows = [sums(TRIPLE, n), (TRIPLE, shard, pack("ki", triple[at], n))]
+    del triple, back
+    sent(rows, CONTEXTS, "kiiii", shards, *summed(context[at], n, *classes(n)))
+    pair, v, w = pair[at], v[at], w[at]
+    first, back = grouped(pair)
+    n = np.bincount(back, minlength=len(first))
+    for to, a, b in by_shard(pair[first], shards):
+        rows.append((ENDS, to, pack_grams([v[first[a:b]], w[first[a:b]]], n[a:b])))
+    return rows
+
+
+def count_pairs(shard: int, contexts: list[bytes], ends: list[bytes], shards: int) -> list[tuple]:
+    """The pairs of a shard, as grams and as contexts, and what they give to words."""
+    v, w, n = joined_grams(ends, 2)
+    pair = mix(v, w, 2)
+    at, back = grouped(pair)
+    n = np.bincount(back, n, len(at)).astype(np.int64)
+    rows = [sums(PAIR, n)]
+    sent(rows, BEFORE, "kiiii", shards, *summed(v[at], n, *classes(n)))
+    sent(rows, AFTER, "ki", shards, *summed(w[at], np.ones(len(at), np.int64)))
+    rows.append((PAIR, shard, merged(pair[at], n, joined(contexts, "kiiii"))))
+    return rows
+
+
+def merged(keys: np.ndarray, n: np.ndarray, contexts: list[np.ndarray]) -> bytes:
+    """One table of keys: counts as grams, and as contexts."""
+    none = [np.zeros(len(keys), np.int64)] * 4
+    whole = summed(np.append(keys, contexts[0]), np.append(n, np.zeros(len(contexts[0]), np.int64)), *map(np.append, none, contexts[1:]))
+    return pack("kiiiii", *whole)
+
+
+def count_words(shard: int, before: list[bytes], after: list[bytes]) -> list[tuple]:
+    """The words of a shard, as grams and as contexts."""
+    keys, n = summed(*joined(after, "ki"))
+    return [sums(WORD, n), (WORD, shard, merged(keys, n, joined(before, "kiiii")))]
+
+
+class Held:
+    """The model's tables in the shared folder, in buckets by shard: who asks them doesn't move them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.name = spark, scratch(spark, "gram-tables"), f"gram_tables_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, table: DataFrame) -> None:
+        table.write.mode("append").format("parquet").option("compression", "none").option("path", self.path).bucketBy(self.buckets, "shard").saveAsTable(self.name)
+
+    def frame(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
+
+def train_tables(trusted: DataFrame, shards: int, rounds: Rounds = Rounds()) -> tuple[Held, dict[int, list[int]]]:
+    """The tables (kind TRIPLE, PAIR or WORD, shard, blob) of a frame whose one column is text; and each kind's ``sums``."""
+    held = Held(trusted.sparkSession)
+    many, fewer = min(rounds.triples, shards), min(rounds.pairs, shards)
+    text = trusted.columns[0]
+
+    def grams(r: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts in slices(batches, text, CHUNK_BYTES):
+                yield from as_table(emit(Chunk(texts), shards, lambda shard: shard % many == r)).to_batches()
+
+        return run
+
+    def blobs(table: pa.Table, *kinds: int) -> tuple:
+        of, all_ = table["kind"].to_pylist(), table["blob"].to_pylist()
+        return (table["shard"][0].as_py(), *([b for k, b in zip(of, all_) if k == kind] for kind in kinds))
 
     def triples(table: pa.Table) -> pa.Table:
-        u, v, w, n = joined(table["blob"].to_pylist(), "wwwi")
-        context, pair = mix(u, v, 2), mix(v, w, 2)
-        triple = mix(context, pair, 3)
-        key, at = np.unique(triple, return_index=True)
-        _, n = summed(triple, n)
-        rows = [stats(n, TRIPLE)]
-        pieces(rows, TRIPLE, "ki", shards, key, key, n)
-        ctx = summed(context[at], n, *classes(n))
-        pieces(rows, CONTEXT, "kiiii", shards, ctx[0], *ctx)
-        own = pair[at]
-        pk, first = np.unique(own, return_index=True)
-        _, n2 = summed(own, np.ones(len(own), np.int64))
-        pieces(rows, COUNTED_PAIR, "wwi", shards, pk, v[at][first], w[at][first], n2)
-        return as_table(rows)
+        return as_table(count_triples(*blobs(table, FOUND), shards))
 
     def pairs(table: pa.Table) -> pa.Table:
-        v, w, n = joined(table["blob"].to_pylist(), "wwi")
-        pair = mix(v, w, 2)
-        key, at = np.unique(pair, return_index=True)
-        _, n = summed(pair, n)
-        rows = [stats(n, PAIR)]
-        pieces(rows, PAIR, "ki", shards, key, key, n)
-        ctx = summed(v[at], n, *classes(n))
-        pieces(rows, CONTEXT, "kiiii", shards, ctx[0], *ctx)
-        words = summed(w[at], np.ones(len(at), np.int64))
-        pieces(rows, WORD, "ki", shards, words[0], *words)
-        return as_table(rows)
-
-    def merge(table: pa.Table) -> pa.Table:
-        kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-        own = [summed(*joined([b for k, b in zip(kinds, blobs) if k == kind], "ki")) for kind in (TRIPLE, PAIR, WORD)]
-        ctx = joined([b for k, b in zip(kinds, blobs) if k == CONTEXT], "kiiii")
-        zeros = [np.zeros(len(ctx[0]), np.int64)]
-        keys = np.concatenate([ctx[0], *(o[0] for o in own)])
-        n = np.concatenate([*zeros, *(o[1] for o in own)])
-        pad = np.zeros(len(keys) - len(ctx[0]), np.int64)
-        whole = summed(keys, n, *(np.concatenate([c, pad]) for c in ctx[1:]))
-        first = (TRIPLE, table["shard"][0].as_py(), pack("kiiiii", *whole), *[0] * 6)
-        return as_table([first, stats(own[2][1], WORD)])
-
-    counted = trusted.select(F.col("_text")).mapInArrow(emit, PIECE)
-    a = written(counted.groupBy("shard").applyInArrow(triples, PIECE), "triples")
-    b = written(a.where(F.col("kind") == COUNTED_PAIR).groupBy("shard").applyInArrow(pairs, PIECE), "pairs")
-    tables = a.where(F.col("kind").isin(TRIPLE, CONTEXT)).unionByName(b.where(F.col("kind") != STATS))
-    merged = written(tables.groupBy("shard").applyInArrow(merge, PIECE), "gram-tables")
-    marks = a.where(F.col("kind") == STATS).unionByName(b.where(F.col("kind") == STATS)).unionByName(merged.where(F.col("kind") == STATS))
-    found = {r["shard"]: r for r in marks.groupBy("shard").agg(*[F.sum(x).alias(x) for x in NUMBERS]).collect()}  # three rows
-    discard(a, b)
-    return merged.where(F.col("kind") == TRIPLE).select("shard", "blob"), found
-
-
-def discounts_of(found: dict) -> tuple[list[np.ndarray], float, float]:
-    """Discounts of triples, pairs and words (by count 0, 1, 2, more), the words' total, and the share it leaves to spelling."""
+        return as_table(count_pairs(*blobs(table, CONTEXTS, ENDS), shards))
+
+    def words(table: pa.Table) -> pa.Table:
+        return as_table(count_words(*blobs(table, BEFORE, AFTER)))
+
+    def step(parts: list[Callable[[], DataFrame]], name: str, *kinds: int) -> dict[int, DataFrame]:
+        """Each part written, one after another; the rows of each kind as tables of their own."""
+        out: dict[int, list[DataFrame]] = {k: [] for k in kinds}
+        for part in parts:
+            for k, table in split_written(part(), name, "kind", kinds).items():
+                out[k].append(table)
+            free_shuffles(trusted.sparkSession)
+        return {k: reduce(DataFrame.unionByName, tables) for k, tables in out.items()}
+
+    of_round = lambda df, r, n: df.where(F.col("shard") % n == r)
+    a = step([lambda r=r: trusted.mapInArrow(grams(r), PIECE).groupBy("shard").applyInArrow(triples, PIECE) for r in range(many)], "triples", TRIPLE, CONTEXTS, ENDS, SUMS)
+    held.append(a[TRIPLE])
+    discard(a[TRIPLE])
+    due = a[CONTEXTS].unionByName(a[ENDS])
+    b = step([lambda r=r: of_round(due, r, fewer).groupBy("shard").applyInArrow(pairs, PIECE) for r in range(fewer)], "pairs", PAIR, BEFORE, AFTER, SUMS)
+    held.append(b[PAIR])
+    discard(a[CONTEXTS], a[ENDS], b[PAIR])
+    c = step([lambda: b[BEFORE].unionByName(b[AFTER]).groupBy("shard").applyInArrow(words, PIECE)], "words", WORD, SUMS)
+    held.append(c[WORD])
+    discard(b[BEFORE], b[AFTER], c[WORD])
+    found: dict[int, list[int]] = {}
+    spread = a[SUMS].unionByName(b[SUMS]).unionByName(c[SUMS]).select(F.col("shard").alias("level"), "blob")
+
+    def add_up(table: pa.Table) -> pa.Table:
+        total = np.sum([unpack("i", b)[0] for b in table["blob"].to_pylist()], axis=0).tolist()
+        return pa.table([table["level"].slice(0, 1), pa.array([total], pa.list_(pa.int64()))], names=["level", "total"])
+
+    for row in spread.groupBy("level").applyInArrow(add_up, "level int, total array<long>").collect():  # three rows
+        found[row["level"]] = row["total"]
+    discard(a[SUMS], b[SUMS], c[SUMS])
+    return held, found
+
+
+@dataclass(frozen=True)
+class Discounts:
+    """Of triples, pairs and words (by count 0, 1, 2, more); the words' total, and the share that it leaves to spelling."""
+
+    triple: np.ndarray
+    pair: np.ndarray
+    word: np.ndarray
+    total: float
+    spare: float
+
+
+def discounts_of(found: dict[int, list[int]]) -> Discounts:
     level = []
     for kind in (TRIPLE, PAIR, WORD):
-        n1, n2, n3, n4 = (float(found[kind][f"s{k}"]) if kind in found else 0.0 for k in (1, 2, 3, 4))
+        n1, n2, n3, n4 = (float(x) for x in found.get(kind, [0] * 4)[:4])
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
         level.append(np.array([0.0, *(min(max(x, 0.1), k - 0.1) for k, x in zip((1, 2, 3), d))]))
-    if WORD not in found:
-        return level, 0.0, 1.0
-    row = found[WORD]
-    return level, float(row["total"]), float(level[2] @ [0, row["s1"], row["s2"], row["size"] - row["s1"] - row["s2"]]) / row["total"]
+    n1, n2, _, _, total, size = found.get(WORD, [0] * 6)
+    spare = float(level[2] @ [0, n1, n2, size - n1 - n2]) / total if total else 1.0
+    return Discounts(*level, float(total), spare)
+
+
+# scoring
+
+
+def requests(chunk: Chunk) -> list[tuple[int, np.ndarray]]:
+    """Kind of table and the keys that a chunk asks it for, ascending."""
+    return [(TRIPLE, np.sort(chunk.triple_keys)), (PAIR, np.sort(chunk.pair_keys)), (WORD, np.sort(chunk.keys))]
+
 
+def looked_up(kind: int, wanted: np.ndarray, held: list[np.ndarray]) -> list[np.ndarray]:
+    """The counts of each wanted key in a shard's table; zeros for keys that it doesn't have."""
+    if not held or not len(held[0]):
+        return [np.zeros(len(wanted), np.int64)] * (1 if kind == TRIPLE else 5)
+    at = np.minimum(np.searchsorted(held[0], wanted), len(held[0]) - 1)
+    hit = held[0][at] == wanted
+    return [np.where(hit, c[at], 0) for c in held[1:]]
 
-def document_bits(seq: np.ndarray, spelt: np.ndarray, look, level: list[np.ndarray], total: float, spare: float, own: bool) -> float:
-    """Bits of a document's words and end. ``look``: n, N and the three classes of keys. ``own``: without what it holds itself.
 
-    The words' total and the share it leaves to spelling are those of all documents either way. In logarithms, as the
-    spelling of a long word is less likely than a double can say.
+def in_order_of(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values in the order of ascending keys, in the order of the keys."""
+    out = np.empty_like(values)
+    out[:, np.argsort(keys)] = values
+    return out
+
+
+def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.ndarray, pairs: np.ndarray, words: np.ndarray, d: Discounts) -> np.ndarray:
+    """Bits of each document's words and end. ``own``: whether it is scored without what it holds itself.
+
+    ``spelt``: bits of each word's letters. ``triples`` (n), ``pairs`` and ``words`` (n, N and the three classes): counts of
+    the chunk's keys. The words' total and the share it leaves to spelling are those of all documents either way. In
+    logarithms, as the spelling of a long word is less likely than a double can say.
     """
-    triple, context, pair, v, w = grams_of(seq)
-    n3, n2, n1 = look(triple)[0].copy(), look(pair)[0].copy(), look(w)[0].copy()
-    c3, c2 = look(context)[1:].copy(), look(v)[1:].copy()
-    if own:
-        # each distinct triple once, with how often the document has it
-        _, first, back, times = np.unique(triple, return_index=True, return_inverse=True, return_counts=True)
-        before, after = n3[first], n3[first] - times
-        n3 = after[back]
-        _take(c3, context, context[first], times, before, after)
-        gone = after == 0
-        _, first, back = np.unique(pair, return_index=True, return_inverse=True)
-        at = np.unique(triple, return_index=True)[1]
-        lost = np.bincount(back[at], gone.astype(float), len(first)).astype(np.int64)
-        before, after = n2[first], n2[first] - lost
-        n2 = after[back]
-        _take(c2, v, v[first], lost, before, after)
-        lost = (after == 0) & (before > 0)
-        _, wback = np.unique(w, return_inverse=True)
-        n1 = n1 - np.bincount(wback[first], lost.astype(float), wback.max() + 1).astype(np.int64)[wback]
-    d3, d2, d1 = level
+    n3, n2, n1 = triples[0][chunk.triple], pairs[0][chunk.pair], words[0][chunk.w]
+    c3, c2 = pairs[1:, chunk.context], words[1:, chunk.v]
+    here = np.flatnonzero(own[chunk.doc])
+    if len(here):
+        doc = chunk.doc[here]
+        in_doc = lambda a, size: grouped(doc * size + a[here])
+        # each distinct triple of a document once, with how often the document has it
+        at, back = in_doc(chunk.triple, len(chunk.triple_keys))
+        times = np.bincount(back, minlength=len(at))
+        before = n3[here][at]
+        after = before - times
+        n3[here] = after[back]
+        _, of = in_doc(chunk.context, len(chunk.pair_keys))
+        take_off(c3, here, of, of[at], times, before, after)
+        pair_at, back = in_doc(chunk.pair, len(chunk.pair_keys))
+        lost = np.bincount(back[at], (after == 0).astype(float), len(pair_at)).astype(np.int64)
+        before = n2[here][pair_at]
+        after = before - lost
+        n2[here] = after[back]
+        _, of = in_doc(chunk.v, len(chunk.keys))
+        take_off(c2, here, of, of[pair_at], lost, before, after)
+        _, of = in_doc(chunk.w, len(chunk.keys))
+        gone = np.bincount(of[pair_at], ((after == 0) & (before > 0)).astype(float), of.max() + 1).astype(np.int64)
+        n1[here] -= gone[of]
     with np.errstate(divide="ignore"):
-        p = -spelt
-        if total:
-            p = np.logaddexp2(np.log2((n1 - d1[np.minimum(n1, 3)]) / total), math.log2(spare) + p)
-        return float(-_mixed(n3, c3, d3, _mixed(n2, c2, d2, p)).sum())
+        p = -spelt[chunk.w]
+        if d.total:
+            p = np.logaddexp2(np.log2((n1 - d.word[np.minimum(n1, 3)]) / d.total), math.log2(d.spare) + p)
+        p = _mixed(n3, c3, d.triple, _mixed(n2, c2, d.pair, p))
+    return np.where(chunk.sizes > 0, -np.bincount(chunk.doc, p, len(chunk.sizes)), 0.0)
 
 
 def _mixed(n: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -248,91 +433,87 @@ def _mixed(n: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np
     return np.logaddexp2(np.log2(np.where(c[0] > 0, (n - d[np.minimum(n, 3)]) / whole, 0.0)), np.log2(left) + lower)
 
 
-def _take(c: np.ndarray, context: np.ndarray, of: np.ndarray, lost: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
-    """Takes off a document's own part of each context's total and classes."""
-    keys, back = np.unique(context, return_inverse=True)
-    at = np.searchsorted(keys, of)
-    c[0] -= np.bincount(at, lost, len(keys)).astype(np.int64)[back]
-    for k, (x, y) in enumerate(zip(classes(before), classes(after)), 1):
-        c[k] -= np.bincount(at, x - y, len(keys)).astype(np.int64)[back]
-
+def take_off(c: np.ndarray, here: np.ndarray, of: np.ndarray, to: np.ndarray, lost: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Takes a document's own part off the totals and classes of its contexts: ``of`` each place, ``to`` each distinct gram."""
+    size = of.max() + 1
+    for k, x in enumerate((lost, *(x - y for x, y in zip(classes(before), classes(after))))):
+        c[k, here] -= np.bincount(to, x, size).astype(np.int64)[of]
 
-def spelling(words: list[bytes], bits: np.ndarray, first: np.ndarray) -> dict[bytes, float]:
-    """Bits of each word's letters and of the space after it, by the byte model."""
-    if not words:
-        return {}
-    text = np.frombuffer(b"  " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
-    each = bits[text[:-2] << 16 | text[1:-1] << 8 | text[2:]].astype(np.float64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes
-    each[starts] = first[text[starts + 2]]
-    return dict(zip(words, np.add.reduceat(each, starts).tolist()))
 
+def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "trusted", with_text: bool = True, rounds: Rounds = Rounds(), names: tuple[str, str] = ("bits", "bytes")) -> DataFrame:
+    """``docs`` without ``trusted_col``, with bits (double) and bytes (long), under ``names``, of their words and end (none: 0, 0).
 
-def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``docs`` with bits (double) and bytes (long) of their words and end (none: 0, 0). ``_trusted`` (boolean) names whose texts train."""
+    ``trusted_col`` (boolean) names whose texts train. ``letters``: what ``spelling`` takes.
+    Rows are placed by their content, so that it doesn't matter if they come in another order when read again.
+    """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if with_text or c != text_col]
-    whole = docs.select(*keep, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
-    size = whole.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shards, chunks = math.ceil((size + 1) / SHARD_BYTES), math.ceil((size + 1) / CHUNK_BYTES)
-    tables, found = table_pieces(whole.where("_trusted"), shards)
-    level, total, spare = discounts_of(found)
-    sent, key = spark.sparkContext.broadcast(model), model.key
-    schema = whole.select(*keep).schema.add("bits", "double").add("bytes", "long")
-    asked = "chunk int, shard int, blob binary"
-
-    def keys_of(texts: list[str]) -> tuple[list[list[bytes]], list[np.ndarray], np.ndarray, Keys]:
-        keys = Keys()
-        words = [t.encode().split() for t in texts]
-        seqs = [sequence(w, keys) for w in words]
-        return words, seqs, np.unique(np.concatenate([np.unique(np.concatenate(grams_of(s))) for s in seqs])), keys
+    keep = [c for c in docs.columns if c != trusted_col and (with_text or c != text_col)]
+    plain, chunk, part = (unused(docs, x) for x in ("words", "chunk", "round"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    placed = docs.select(*keep, trusted_col, text.alias(plain), F.pmod(F.xxhash64(text, id_col), F.lit(rounds.scores)).cast("int").alias(part))
+    sizes = {r[0]: r[1] for r in placed.groupBy(part).agg(F.sum(F.octet_length(plain))).collect()}  # one row a round
+    size = sum(sizes.values())
+    shards, many = math.ceil((size + 1) / SHARD_BYTES), min(rounds.scores, math.ceil((size + 1) / SHARD_BYTES))
+    held, found = train_tables(placed.where(trusted_col).select(plain), shards, rounds)
+    level = discounts_of(found)
+    schema = placed.select(*keep).schema.add(names[0], "double").add(names[1], "long")
+    asked = "chunk int, kind int, shard int, blob binary"
 
     def request(table: pa.Table) -> pa.Table:
-        distinct = keys_of(table["_text"].to_pylist())[2]
-        places = by_shard(distinct, shards)
-        at = [s for s in range(shards) if len(places[s])]
-        blobs = [pack("k", distinct[places[s]]) for s in at]
-        return pa.table([pa.array([table["_chunk"][0].as_py()] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "shard", "blob"])
-
-    def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
-        known = [unpack("kiiiii", b) for b in held["blob"].to_pylist()]
-        blobs = []
-        for blob in requests["blob"].to_pylist():
-            (wanted,) = unpack("k", blob)
-            out = [np.zeros(len(wanted), np.int64)] * 5
-            if known and len(known[0][0]):
-                at = np.minimum(np.searchsorted(known[0][0], wanted), len(known[0][0]) - 1)
-                hit = known[0][0][at] == wanted
-                out = [np.where(hit, c[at], 0) for c in known[0][1:]]
-            blobs.append(pack("iiiii", *out))
-        return pa.table([requests["chunk"], requests["shard"], pa.array(blobs, pa.binary())], names=["chunk", "shard", "blob"])
+        own = Chunk(table[plain].to_pylist())
+        runs = [(kind, shard, pack("k", keys[a:b])) for kind, keys in requests(own) for shard, a, b in by_shard(keys, shards)]
+        return as_table(runs).add_column(0, "chunk", pa.array([table[chunk][0].as_py()] * len(runs), pa.int32()))
+
+    def answer(asks: pa.Table, table: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return asks
+        kinds, blobs = asks["kind"].to_pylist(), [b""] * asks.num_rows
+        own = dict(zip(table["kind"].to_pylist(), table["blob"]))
+        for kind in set(kinds):
+            spec = "ki" if kind == TRIPLE else "kiiiii"
+            have = unpack(spec, own[kind].as_py()) if kind in own else []
+            for k in range(asks.num_rows):
+                if kinds[k] == kind:
+                    blobs[k] = pack(spec[1:], *looked_up(kind, unpack("k", asks["blob"][k].as_py())[0], have))
+        return pa.table([asks["chunk"], asks["kind"], asks["shard"], pa.array(blobs, pa.binary())], names=asks.schema.names)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        words, seqs, distinct, keys = keys_of(table["_text"].to_pylist())
-        places, values = by_shard(distinct, shards), np.zeros((5, len(distinct)), np.int64)
-        for s, blob in zip(answers["shard"].to_pylist(), answers["blob"].to_pylist()):
-            values[:, places[s]] = unpack("iiiii", blob)
-        bits = resident(f"kneser-ney-{key}", lambda: all_bits(sent.value))
-        first = -np.log2(sent.value.bi[32])
-        spelt = spelling(list(keys), bits, first)
-        look = lambda k: values[:, np.searchsorted(distinct, k)]
-        got, sizes = [], []
-        for own, ws, seq in zip(table["_trusted"].to_pylist(), words, seqs):
-            each = np.array([*[spelt[w] for w in ws], first[0]])
-            got.append(document_bits(seq, each, look, level, total, spare, own) if ws else 0.0)
-            sizes.append(sum(map(len, ws)) + len(ws) + 1 if ws else 0)
-        return pa.table([*(table[c] for c in keep), pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "bits", "bytes"])
-
-    chunk = F.pmod(F.xxhash64("_text", id_col), F.lit(chunks)).cast("int")
-    placed, rounds, out = whole.withColumn("_chunk", chunk), min(ROUNDS, chunks), None
-    for r in range(rounds):
-        part = placed.where(F.col("_chunk") % rounds == r)
-        asks = part.groupBy("_chunk").applyInArrow(request, asked)
-        answers = asks.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(answer, asked)
-        done = written(part.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "scores")
-        out = done if out is None else out.unionByName(done)
-        del part, asks, answers
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the round
-    discard(tables)
-    return out
+        own = Chunk(table[plain].to_pylist())
+        got = {(k, s): b for k, s, b in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["blob"].to_pylist())}
+        counts = []
+        for (kind, ordered), keys in zip(requests(own), (own.triple_keys, own.pair_keys, own.keys)):
+            parts = [unpack("i" if kind == TRIPLE else "iiiii", got.pop((kind, s))) for s, _, _ in by_shard(ordered, shards)]
+            counts.append(in_order_of(keys, np.array([np.concatenate(x) for x in zip(*parts)])))
+        spelt = spelling(own.words, letters)
+        bits = document_bits(own, np.array(table[trusted_col].to_pylist(), bool), spelt, *counts, level)
+        sizes = np.where(own.sizes > 0, own.word_bytes(), 0)
+        return pa.table([*(table[c] for c in keep), pa.array(bits), pa.array(sizes)], names=schema.names)
+
+    done = []
+    for r in range(many):
+        chunks = math.ceil((sum(n for k, n in sizes.items() if k % many == r) + 1) / CHUNK_BYTES)
+        rows = written(placed.where(F.col(part) % many == r).withColumn(chunk, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")), "round")
+        asks = rows.select(chunk, plain).groupBy(chunk).applyInArrow(request, asked)
+        answers = asks.groupBy("shard").cogroup(held.frame().groupBy("shard")).applyInArrow(answer, asked)
+        done.append(written(rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "scores"))
+        discard(rows)
+        del rows, asks, answers
+        free_shuffles(spark)
+    held.drop()
+    return reduce(DataFrame.unionByName, done)
+
+
+def spelling(words: list[bytes], letters) -> np.ndarray:
+    """Bits of each number in a chunk: START (0, not asked for), END after a space, each word's letters and the space after it.
+
+    ``letters``: classes ``of`` bytes and ``bits`` of a byte after two classes. A word's first letter comes after two spaces.
+    """
+    space = int(letters.of[32])
+    text = np.frombuffer(b" ".join([b"", *words, b""]) if words else b" ", np.uint8)
+    c = letters.of[text]
+    before = np.append(space, c[:-2])[: len(text) - 1]
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    before[(ends - sizes)[: len(words)]] = space
+    each = letters.bits[before, c[:-1], text[1:]].astype(np.float64)
+    return np.append([0.0, letters.bits[space, space, 0]], np.add.reduceat(each, ends - sizes) if words else np.zeros(0))
