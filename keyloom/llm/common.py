@@ -8,6 +8,7 @@ import gc
 import itertools
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -77,9 +78,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more, before the next ones are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, before the next ones are written.
+
+    Spark's cleaner deletes them some time after the driver has collected its garbage; half a second is given to it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def unused(df: DataFrame, name: str) -> str:

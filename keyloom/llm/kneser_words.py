@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney over words, order three, in tables that grow with the trusted text.
 
-A word, a pair and a triple are 64-bit keys. There are three tables: of triples (their count n), of pairs and of words
+A word, a pair and a triple are keys of as many bits as the text asks for (``key_mask``). There are three tables: of triples (their count n), of pairs and of words
 (n: how many different words come before; and as a context the total N of what follows and how many of those have count
 1, 2 and more). Each is cut into shards by ranges of keys, so that no shard depends on how frequent a word is. Keys
 travel between tasks as sorted, packed runs of one shard. Unseen words are as likely as the letters of ``kneser_ney``
@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,17 @@ CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 class Rounds:
     """In how many parts, one after another, triples are counted, pairs are counted and documents are scored."""
 
-    triples: int = 2
-    pairs: int = 4
+    triples: int = 4
+    pairs: int = 6
     scores: int = 12
 
 
-#: Numbers of what comes before a text and after it in a chunk, which are their keys as well.
+#: Numbers of what comes before a text and after it in a chunk, and their keys.
 START, END = 0, 1
+START_KEY, END_KEY = 0, 1 << 62
+
+#: Bits of a key beyond those that number the bytes of all texts: a gram that isn't in a table is found there once in 2**20.
+SPARE_BITS = 20
 
 #: Kinds of packed rows: distinct triples of a chunk; counts of triples; what contexts and pairs get; counts of pairs; what words get; counts of words; sums.
 FOUND, TRIPLE, CONTEXTS, ENDS, PAIR, BEFORE, AFTER, WORD, SUMS = range(9)
@@ -55,22 +60,30 @@ PIECE = "kind int, shard int, blob binary"
 _ZSTD = pa.Codec("zstd")
 
 
+def key_mask(size: int) -> int:
+    """The bits that keys have over texts of ``size`` bytes; the rest of 64 are zero, and aren't sent."""
+    return (1 << 64) - (1 << max(0, 64 - SPARE_BITS - size.bit_length()))
+
+
 def pack(spec: str, *arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: k ascending keys, i counts."""
-    parts = []
+    """Arrays of one length as bytes: k ascending keys (one array at most), i counts."""
+    parts, zeros = [], 0
     for kind, a in zip(spec, arrays):
         if kind == "k":
-            a = np.diff(a, prepend=np.zeros(1, np.uint64))
+            bits = int(np.bitwise_or.reduce(a)) if len(a) else 0
+            zeros = max(0, (bits & -bits).bit_length() - 1)
+            a = np.diff(a >> np.uint64(zeros), prepend=np.zeros(1, np.uint64))
         parts.append(np.ascontiguousarray(a.astype("<u8" if kind == "k" else "<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
-    return len(arrays[0]).to_bytes(8, "little") + _ZSTD.compress(b"".join(parts), asbytes=True)
+    return (len(arrays[0]) << 8 | zeros).to_bytes(8, "little") + _ZSTD.compress(b"".join(parts), asbytes=True)
 
 
 def unpack(spec: str, blob: bytes) -> list[np.ndarray]:
-    n, out = int.from_bytes(blob[:8], "little"), []
+    head, out = int.from_bytes(blob[:8], "little"), []
+    n, zeros = head >> 8, np.uint64(head & 255)
     data = np.frombuffer(_ZSTD.decompress(blob[8:], 8 * n * len(spec), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
     for k, kind in enumerate(spec):
         a = np.ascontiguousarray(data[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).reshape(-1).view(np.int64 if kind == "i" else np.uint64)
-        out.append(np.cumsum(a, dtype=np.uint64) if kind == "k" else a)
+        out.append(np.cumsum(a, dtype=np.uint64) << zeros if kind == "k" else a)
     return out
 
 
@@ -102,13 +115,13 @@ def joined_grams(blobs: list[bytes], size: int) -> list[np.ndarray]:
     return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint64 if k < size else np.int64) for k in range(size + 1)]
 
 
-def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    """One key of two, in that order."""
+def mix(a: np.ndarray, b: np.ndarray, salt: int, mask: int) -> np.ndarray:
+    """One key of two, in that order, with the bits of ``mask``."""
     x = (a ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(29)) + b * np.uint64(0xD6E8FEB86659FD93)
     for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
         x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return x ^ x >> np.uint64(32)
+    return (x ^ x >> np.uint64(32)) & np.uint64(mask)
 
 
 def _distinct(a: np.ndarray) -> np.ndarray:
@@ -134,9 +147,13 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
 def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """Shard, first and last place of each run of ascending keys in one shard: shards are equal ranges of keys."""
-    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    shard = shard_of(keys, shards)
     at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
     return list(zip(shard[at].astype(int).tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist()))
 
@@ -158,18 +175,19 @@ def as_table(rows: list[tuple]) -> pa.Table:
 class Chunk:
     """The words of some texts under local numbers, and their grams: arrays of one entry for each word and each end.
 
-    ``w``, ``v`` and ``u``: numbers of the word, the one before and the one before that. ``pair``, ``context``,
-    ``triple``: which of the distinct ``pair_keys``, ``pair_keys`` and ``triple_keys`` (v, w), (u, v) and (u, v, w) are.
+    ``w`` and ``v``: numbers of the word and the one before. ``pair``, ``context``, ``triple`` (after ``number_grams``): which
+    of the distinct ``pair_keys``, ``pair_keys`` and ``triple_keys`` are those of both, of the two before, of all three.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], mask: int):
         split = [t.encode().split() for t in texts]
         self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, self.sizes.sum())
-        self.words = list(number)
+        self.words = list(dict.fromkeys(chain.from_iterable(split)))
+        number = dict(zip(self.words, range(2, len(self.words) + 2)))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, self.sizes.sum())
         del split, number
-        self.keys = np.array([START, END, *[xxhash.xxh64_intdigest(w, 7) for w in self.words]], np.uint64)
+        self.mask = mask
+        self.keys = np.array([START_KEY, END_KEY, *[xxhash.xxh64_intdigest(w, 7) for w in self.words]], np.uint64) & np.uint64(mask)
         many = self.sizes + 1
         ends = np.cumsum(many)
         self.starts = ends - many
@@ -177,16 +195,19 @@ class Chunk:
         self.w = np.full(len(self.doc), END)
         is_word = np.ones(len(self.doc), bool)
         is_word[ends - 1] = False
-        self.w[is_word] = ids + 2
+        self.w[is_word] = ids
         self.v = self._before(self.w)
-        self.u = self._before(self.v)
+
+    def number_grams(self) -> Chunk:
+        """Numbers the distinct pairs and triples."""
         at, self.pair = grouped(self.v * len(self.keys) + self.w)
-        none = np.array([START], np.uint64)
-        self.pair_keys = np.append(mix(self.keys[self.v[at]], self.keys[self.w[at]], 2), mix(none, none, 2))
+        start = np.array([START_KEY], np.uint64)
+        self.pair_keys = np.append(mix(self.keys[self.v[at]], self.keys[self.w[at]], 2, self.mask), mix(start, start, 2, self.mask))
         self.context = np.append(len(at), self.pair[:-1])[: len(self.pair)]
         self.context[self.starts] = len(at)
-        self.triple_at, self.triple = grouped(self.context * len(self.keys) + self.w)
-        self.triple_keys = mix(self.pair_keys[self.context[self.triple_at]], self.pair_keys[self.pair[self.triple_at]], 3)
+        at, self.triple = grouped(self.context * len(self.keys) + self.w)
+        self.triple_keys = mix(self.pair_keys[self.context[at]], self.pair_keys[self.pair[at]], 3, self.mask)
+        return self
 
     def _before(self, a: np.ndarray) -> np.ndarray:
         out = np.append(START, a[:-1])[: len(a)]
@@ -202,15 +223,17 @@ class Chunk:
 # training
 
 
-def emit(chunk: Chunk, shards: int, wanted: Callable[[int], bool] = lambda shard: True) -> list[tuple]:
-    """Distinct triples with their counts, for each shard."""
-    order = np.argsort(chunk.triple_keys)
-    at, n = chunk.triple_at[order], np.bincount(chunk.triple, minlength=len(order))[order]
-    rows = []
-    for shard, a, b in by_shard(chunk.triple_keys[order], shards):
-        if wanted(shard):
-            rows.append((FOUND, shard, pack_grams([chunk.keys[x[at[a:b]]] for x in (chunk.u, chunk.v, chunk.w)], n[a:b])))
-    return rows
+def emit(chunk: Chunk, shards: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple]:
+    """Distinct triples with their counts, for each shard, or for those that are ``wanted``."""
+    w, v, u = chunk.w, chunk.v, chunk._before(chunk.v)
+    grams = [chunk.keys[x] for x in (u, v, w)]
+    triple = mix(mix(grams[0], grams[1], 2, chunk.mask), mix(grams[1], grams[2], 2, chunk.mask), 3, chunk.mask)
+    if wanted is not None:
+        here = wanted(shard_of(triple, shards))
+        triple, grams = triple[here], [g[here] for g in grams]
+    at, back = grouped(triple)
+    n = np.bincount(back, minlength=len(at))
+    return [(FOUND, shard, pack_grams([g[at[a:b]] for g in grams], n[a:b])) for shard, a, b in by_shard(triple[at], shards)]
 
 
 def sent(rows: list[tuple], kind: int, spec: str, shards: int, keys: np.ndarray, *counts: np.ndarray) -> None:
@@ -219,12 +242,12 @@ def sent(rows: list[tuple], kind: int, spec: str, shards: int, keys: np.ndarray,
         rows.append((kind, shard, pack(spec, keys[a:b], *(c[a:b] for c in counts))))
 
 
-def count_triples(shard: int, blobs: list[bytes], shards: int) -> list[tuple]:
+def count_triples(shard: int, blobs: list[bytes], shards: int, mask: int) -> list[tuple]:
     """The triples of a shard, and what they give to contexts and to pairs."""
     u, v, w, n = joined_grams(blobs, 3)
-    context, pair = mix(u, v, 2), mix(v, w, 2)
+    context, pair = mix(u, v, 2, mask), mix(v, w, 2, mask)
     del u
-    triple = mix(context, pair, 3)
+    triple = mix(context, pair, 3, mask)
     at, back = grouped(triple)
     n = np.bincount(back, n, len(at)).astype(np.int64)
     rows = [sums(TRIPLE, n), (TRIPLE, shard, pack("ki", triple[at], n))]
@@ -238,10 +261,10 @@ def count_triples(shard: int, blobs: list[bytes], shards: int) -> list[tuple]:
     return rows
 
 
-def count_pairs(shard: int, contexts: list[bytes], ends: list[bytes], shards: int) -> list[tuple]:
+def count_pairs(shard: int, contexts: list[bytes], ends: list[bytes], shards: int, mask: int) -> list[tuple]:
     """The pairs of a shard, as grams and as contexts, and what they give to words."""
     v, w, n = joined_grams(ends, 2)
-    pair = mix(v, w, 2)
+    pair = mix(v, w, 2, mask)
     at, back = grouped(pair)
     n = np.bincount(back, n, len(at)).astype(np.int64)
     rows = [sums(PAIR, n)]
@@ -282,7 +305,7 @@ class Held:
         remove(self.spark, self.path)
 
 
-def train_tables(trusted: DataFrame, shards: int, rounds: Rounds = Rounds()) -> tuple[Held, dict[int, list[int]]]:
+def train_tables(trusted: DataFrame, shards: int, mask: int, rounds: Rounds = Rounds()) -> tuple[Held, dict[int, list[int]]]:
     """The tables (kind TRIPLE, PAIR or WORD, shard, blob) of a frame whose one column is text; and each kind's ``sums``."""
     held = Held(trusted.sparkSession)
     many, fewer = min(rounds.triples, shards), min(rounds.pairs, shards)
@@ -291,7 +314,7 @@ def train_tables(trusted: DataFrame, shards: int, rounds: Rounds = Rounds()) ->
     def grams(r: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, texts in slices(batches, text, CHUNK_BYTES):
-                yield from as_table(emit(Chunk(texts), shards, lambda shard: shard % many == r)).to_batches()
+                yield from as_table(emit(Chunk(texts, mask), shards, lambda shard: shard % np.uint64(many) == r)).to_batches()
 
         return run
 
@@ -300,36 +323,41 @@ def train_tables(trusted: DataFrame, shards: int, rounds: Rounds = Rounds()) ->
         return (table["shard"][0].as_py(), *([b for k, b in zip(of, all_) if k == kind] for kind in kinds))
 
     def triples(table: pa.Table) -> pa.Table:
-        return as_table(count_triples(*blobs(table, FOUND), shards))
+        return as_table(count_triples(*blobs(table, FOUND), shards, mask))
 
     def pairs(table: pa.Table) -> pa.Table:
-        return as_table(count_pairs(*blobs(table, CONTEXTS, ENDS), shards))
+        return as_table(count_pairs(*blobs(table, CONTEXTS, ENDS), shards, mask))
 
     def words(table: pa.Table) -> pa.Table:
         return as_table(count_words(*blobs(table, BEFORE, AFTER)))
 
-    def step(parts: list[Callable[[], DataFrame]], name: str, *kinds: int) -> dict[int, DataFrame]:
-        """Each part written, one after another; the rows of each kind as tables of their own."""
-        out: dict[int, list[DataFrame]] = {k: [] for k in kinds}
+    def step(parts: list[Callable[[], DataFrame]], name: str, *kinds: int, due: int = 1) -> dict[tuple[int, int], DataFrame]:
+        """Each part written, one after another; the rows of each kind, and of what is due in each later round, as tables of their own."""
+        out: dict[tuple[int, int], list[DataFrame]] = {(k, r): [] for k in kinds for r in range(due if k in (CONTEXTS, ENDS) else 1)}
+        place = F.concat_ws("-", "kind", F.when(F.col("kind").isin(CONTEXTS, ENDS), F.col("shard") % due).otherwise(F.lit(0)))
         for part in parts:
-            for k, table in split_written(part(), name, "kind", kinds).items():
-                out[k].append(table)
+            tables = split_written(part().withColumn("place", place), name, "place", [f"{k}-{r}" for k, r in out])
+            for key, table in zip(out, tables.values()):
+                out[key].append(table.drop("place"))
             free_shuffles(trusted.sparkSession)
         return {k: reduce(DataFrame.unionByName, tables) for k, tables in out.items()}
 
-    of_round = lambda df, r, n: df.where(F.col("shard") % n == r)
-    a = step([lambda r=r: trusted.mapInArrow(grams(r), PIECE).groupBy("shard").applyInArrow(triples, PIECE) for r in range(many)], "triples", TRIPLE, CONTEXTS, ENDS, SUMS)
-    held.append(a[TRIPLE])
-    discard(a[TRIPLE])
-    due = a[CONTEXTS].unionByName(a[ENDS])
-    b = step([lambda r=r: of_round(due, r, fewer).groupBy("shard").applyInArrow(pairs, PIECE) for r in range(fewer)], "pairs", PAIR, BEFORE, AFTER, SUMS)
+    count = [lambda r=r: trusted.mapInArrow(grams(r), PIECE).groupBy("shard").applyInArrow(triples, PIECE) for r in range(many)]
+    a = step(count, "triples", TRIPLE, CONTEXTS, ENDS, SUMS, due=fewer)
+    held.append(a[TRIPLE, 0])
+    discard(a[TRIPLE, 0])
+    done = []
+    for r in range(fewer):
+        done.append(step([lambda r=r: a[CONTEXTS, r].unionByName(a[ENDS, r]).groupBy("shard").applyInArrow(pairs, PIECE)], "pairs", PAIR, BEFORE, AFTER, SUMS))
+        discard(a[CONTEXTS, r], a[ENDS, r])
+    b = {k: reduce(DataFrame.unionByName, [x[k, 0] for x in done]) for k in (PAIR, BEFORE, AFTER, SUMS)}
     held.append(b[PAIR])
-    discard(a[CONTEXTS], a[ENDS], b[PAIR])
-    c = step([lambda: b[BEFORE].unionByName(b[AFTER]).groupBy("shard").applyInArrow(words, PIECE)], "words", WORD, SUMS)
+    discard(b[PAIR])
+    c = {k: x for (k, _), x in step([lambda: b[BEFORE].unionByName(b[AFTER]).groupBy("shard").applyInArrow(words, PIECE)], "words", WORD, SUMS).items()}
     held.append(c[WORD])
     discard(b[BEFORE], b[AFTER], c[WORD])
     found: dict[int, list[int]] = {}
-    spread = a[SUMS].unionByName(b[SUMS]).unionByName(c[SUMS]).select(F.col("shard").alias("level"), "blob")
+    spread = a[SUMS, 0].unionByName(b[SUMS]).unionByName(c[SUMS]).select(F.col("shard").alias("level"), "blob")
 
     def add_up(table: pa.Table) -> pa.Table:
         total = np.sum([unpack("i", b)[0] for b in table["blob"].to_pylist()], axis=0).tolist()
@@ -337,7 +365,7 @@ def train_tables(trusted: DataFrame, shards: int, rounds: Rounds = Rounds()) ->
 
     for row in spread.groupBy("level").applyInArrow(add_up, "level int, total array<long>").collect():  # three rows
         found[row["level"]] = row["total"]
-    discard(a[SUMS], b[SUMS], c[SUMS])
+    discard(a[SUMS, 0], b[SUMS], c[SUMS])
     return held, found
 
 
@@ -454,13 +482,14 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
     sizes = {r[0]: r[1] for r in placed.groupBy(part).agg(F.sum(F.octet_length(plain))).collect()}  # one row a round
     size = sum(sizes.values())
     shards, many = math.ceil((size + 1) / SHARD_BYTES), min(rounds.scores, math.ceil((size + 1) / SHARD_BYTES))
-    held, found = train_tables(placed.where(trusted_col).select(plain), shards, rounds)
+    mask = key_mask(size)
+    held, found = train_tables(placed.where(trusted_col).select(plain), shards, mask, rounds)
     level = discounts_of(found)
     schema = placed.select(*keep).schema.add(names[0], "double").add(names[1], "long")
     asked = "chunk int, kind int, shard int, blob binary"
 
     def request(table: pa.Table) -> pa.Table:
-        own = Chunk(table[plain].to_pylist())
+        own = Chunk(table[plain].to_pylist(), mask).number_grams()
         runs = [(kind, shard, pack("k", keys[a:b])) for kind, keys in requests(own) for shard, a, b in by_shard(keys, shards)]
         return as_table(runs).add_column(0, "chunk", pa.array([table[chunk][0].as_py()] * len(runs), pa.int32()))
 
@@ -478,7 +507,7 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
         return pa.table([asks["chunk"], asks["kind"], asks["shard"], pa.array(blobs, pa.binary())], names=asks.schema.names)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(table[plain].to_pylist())
+        own = Chunk(table[plain].to_pylist(), mask).number_grams()
         got = {(k, s): b for k, s, b in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["blob"].to_pylist())}
         counts = []
         for (kind, ordered), keys in zip(requests(own), (own.triple_keys, own.pair_keys, own.keys)):

@@ -160,7 +160,7 @@ def test_tables_grow_with_the_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select(F.coalesce("text", F.lit("")).alias("words"))
     sizes = []
     for n in (100, 1000):
-        held, found = W.train_tables(docs.limit(n), 2)
+        held, found = W.train_tables(docs.limit(n), 2, W.key_mask(1 << 22))
         assert held.frame().count() == 6  # three kinds, two shards
         held.drop()
         sizes.append(found[W.TRIPLE][5])
@@ -174,6 +174,9 @@ def test_runs_of_keys():
     for s, a, b in runs:
         assert (W.unpack("ki", W.pack("ki", keys[a:b], np.arange(b - a)))[0] == keys[a:b]).all() and all(int(k) * 7 >> 64 == s for k in keys[a:b:50])
     assert W.by_shard(keys[:0], 7) == []
+    short = keys & np.uint64(W.key_mask(1 << 20))
+    assert 0 < len(set(short.tolist())) == len(keys) and not (short & np.uint64((1 << 22) - 1)).any() and (W.unpack("k", W.pack("k", short))[0] == short).all()
+    assert W.key_mask(1 << 60) == (1 << 64) - 1
     grams = [keys[np.random.default_rng(k).integers(0, 50, 300)] for k in range(3)]
     got = W.unpack_grams(W.pack_grams(grams, np.arange(300)), 3)
     assert sorted(zip(*map(list, got))) == sorted(zip(*map(list, grams), range(300)))
