@@ -25,7 +25,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +39,12 @@ CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 class Rounds:
     """In how many parts, one after another, triples are counted, pairs are counted and documents are scored."""
 
-    triples: int = 4
+    triples: int = 3
     pairs: int = 6
-    scores: int = 12
+    scores: int = 8
 
 
-#: Numbers of what comes before a text and after it in a chunk, and their keys.
-START, END = 0, 1
+#: Keys of what comes before a text and after it.
 START_KEY, END_KEY = 0, 1 << 62
 
 #: Bits of a key beyond those that number the bytes of all texts: a gram that isn't in a table is found there once in 2**20.
@@ -94,8 +92,9 @@ def joined(blobs: list[bytes], spec: str) -> list[np.ndarray]:
 
 def pack_grams(grams: list[np.ndarray], n: np.ndarray) -> bytes:
     """Grams (arrays of words' keys, one for each place) and their counts: by numbers into the words that occur."""
-    words = _distinct(np.concatenate(grams))
-    numbers = [np.searchsorted(words, g) for g in grams]
+    every = np.concatenate(grams)
+    at, back = grouped(every)
+    words, numbers = every[at], back.reshape(len(grams), -1)
     order = np.argsort(numbers[0])
     body = [np.diff(numbers[0][order], prepend=0), *(x[order] for x in numbers[1:]), n[order]]
     packed = pack("i" * len(body), *body)
@@ -124,11 +123,6 @@ def mix(a: np.ndarray, b: np.ndarray, salt: int, mask: int) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) & np.uint64(mask)
 
 
-def _distinct(a: np.ndarray) -> np.ndarray:
-    a = np.sort(a)
-    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
-
-
 def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal values, the place of one of them, by ascending value; and which of those each place has."""
     order = np.argsort(code)
@@ -172,52 +166,98 @@ def as_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[x for x, _ in types])
 
 
+#: Random numbers of each byte at each place of a word, up to a place from which they are used again; their sum is a word's hash.
+PLACES = 256
+_TABLE = np.random.default_rng(7).integers(0, 1 << 63, PLACES * 256, np.uint64)
+
+
 class Chunk:
-    """The words of some texts under local numbers, and their grams: arrays of one entry for each word and each end.
+    """The words of some texts as keys, and their grams: arrays of one entry for each word and each end.
 
-    ``w`` and ``v``: numbers of the word and the one before. ``pair``, ``context``, ``triple`` (after ``number_grams``): which
-    of the distinct ``pair_keys``, ``pair_keys`` and ``triple_keys`` are those of both, of the two before, of all three.
+    Before ``number_grams``: ``u``, ``v`` and ``w``, keys of each word and the two before it. After it, ``triple``, ``pair``, ``context``,
+    ``word`` and ``before`` say which of the distinct ``triple_keys``, ``pair_keys`` and ``word_keys``, all ascending, are
+    those of all three, of the last two, of the first two, of the last and of the one before.
     """
 
-    def __init__(self, texts: list[str], mask: int):
-        split = [t.encode().split() for t in texts]
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        self.words = list(dict.fromkeys(chain.from_iterable(split)))
-        number = dict(zip(self.words, range(2, len(self.words) + 2)))
-        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, self.sizes.sum())
-        del split, number
-        self.mask = mask
-        self.keys = np.array([START_KEY, END_KEY, *[xxhash.xxh64_intdigest(w, 7) for w in self.words]], np.uint64) & np.uint64(mask)
-        many = self.sizes + 1
-        ends = np.cumsum(many)
-        self.starts = ends - many
-        self.doc = np.repeat(np.arange(len(many)), many)
-        self.w = np.full(len(self.doc), END)
-        is_word = np.ones(len(self.doc), bool)
-        is_word[ends - 1] = False
-        self.w[is_word] = ids
+    def __init__(self, texts: list[bytes], mask: int):
+        self.mask, many = mask, len(texts)
+        self.text = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+        lengths = np.fromiter(map(len, texts), np.int64, many) + 1
+        space = (self.text == 32) | ((self.text >= 9) & (self.text <= 13))
+        self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        self.word_sizes = np.flatnonzero(~space[:-1] & space[1:]) + 1 - self.starts
+        ends = np.searchsorted(self.starts, np.cumsum(lengths) + 1)
+        self.sizes = np.diff(ends, prepend=0)  # words of each text
+        self.doc = np.repeat(np.arange(many), self.sizes + 1)
+        last = np.cumsum(self.sizes + 1) - 1
+        self.is_word = np.ones(len(self.doc), bool)
+        self.is_word[last] = False
+        self.first = last - self.sizes
+        self.w = np.full(len(self.doc), END_KEY, np.uint64)
+        self.w[self.is_word] = self._hashes()
+        self.w &= np.uint64(mask)
         self.v = self._before(self.w)
+        self.u = self._before(self.v)
+
+    def _hashes(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        at = bytes_at(self.starts, self.word_sizes)
+        ends = np.cumsum(self.word_sizes)
+        place = np.arange(len(at)) - np.repeat(ends - self.word_sizes, self.word_sizes)
+        mixed = _TABLE[(place % PLACES) * 256 + self.text[at]]
+        if self.word_sizes.max() > PLACES:
+            mixed *= (place // PLACES * 2 + 1).astype(np.uint64)
+        total = np.add.reduceat(mixed, ends - self.word_sizes)
+        return mix(total, self.word_sizes.astype(np.uint64), 5, (1 << 64) - 1)
+
+    def _before(self, a: np.ndarray) -> np.ndarray:
+        out = np.append(np.uint64(START_KEY), a[:-1])[: len(a)]
+        out[self.first] = START_KEY
+        return out
+
+    def triples(self) -> np.ndarray:
+        pair = mix(self.v, self.w, 2, self.mask)
+        return mix(mix(self.u, self.v, 2, self.mask), pair, 3, self.mask)
 
     def number_grams(self) -> Chunk:
-        """Numbers the distinct pairs and triples."""
-        at, self.pair = grouped(self.v * len(self.keys) + self.w)
         start = np.array([START_KEY], np.uint64)
-        self.pair_keys = np.append(mix(self.keys[self.v[at]], self.keys[self.w[at]], 2, self.mask), mix(start, start, 2, self.mask))
-        self.context = np.append(len(at), self.pair[:-1])[: len(self.pair)]
-        self.context[self.starts] = len(at)
-        at, self.triple = grouped(self.context * len(self.keys) + self.w)
-        self.triple_keys = mix(self.pair_keys[self.context[at]], self.pair_keys[self.pair[at]], 3, self.mask)
+        at, numbers = grouped(np.append(self.w, start))
+        self.word_keys, self.word = np.append(self.w, start)[at], numbers[:-1]
+        self.before = np.append(numbers[-1:], self.word[:-1])[: len(self.word)]
+        self.before[self.first] = numbers[-1]
+        some = at < len(self.w)
+        self.written = np.full(len(at), -1)  # which of the texts' words a number is, or -1 for the start and the end
+        self.written[some] = np.where(self.is_word, np.cumsum(self.is_word) - 1, -1)[at[some]]
+        pair, none = mix(self.v, self.w, 2, self.mask), mix(start, start, 2, self.mask)
+        at, numbers = grouped(np.append(pair, none))
+        self.pair_keys, self.pair = np.append(pair, none)[at], numbers[:-1]
+        self.context = np.append(numbers[-1:], self.pair[:-1])[: len(self.pair)]
+        self.context[self.first] = numbers[-1]
+        context = np.append(none, pair[:-1])[: len(pair)]
+        context[self.first] = none
+        triple = mix(context, pair, 3, self.mask)
+        at, self.triple = grouped(triple)
+        self.triple_keys = triple[at]
+        del self.u, self.v, self.w
         return self
 
-    def _before(self, a: np.ndarray) -> np.ndarray:
-        out = np.append(START, a[:-1])[: len(a)]
-        out[self.starts] = START
-        return out
+    def document_bytes(self) -> np.ndarray:
+        """Bytes of each document's words, a space after each and one for the end; 0 without words."""
+        size = np.ones(len(self.doc))
+        size[self.is_word] += self.word_sizes
+        return np.where(self.sizes > 0, np.bincount(self.doc, size, len(self.sizes)), 0).astype(np.int64)
 
-    def word_bytes(self) -> np.ndarray:
-        """Bytes of each document's words, a space after each and one for the end."""
-        size = np.array([0, 0, *map(len, self.words)], np.float64)[self.w] + 1
-        return np.bincount(self.doc, size, len(self.sizes)).astype(np.int64)
+
+def bytes_at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all bytes of words, one word after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def texts_of(column: pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 of each text; null: empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 # training
@@ -225,9 +265,7 @@ class Chunk:
 
 def emit(chunk: Chunk, shards: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple]:
     """Distinct triples with their counts, for each shard, or for those that are ``wanted``."""
-    w, v, u = chunk.w, chunk.v, chunk._before(chunk.v)
-    grams = [chunk.keys[x] for x in (u, v, w)]
-    triple = mix(mix(grams[0], grams[1], 2, chunk.mask), mix(grams[1], grams[2], 2, chunk.mask), 3, chunk.mask)
+    grams, triple = [chunk.u, chunk.v, chunk.w], chunk.triples()
     if wanted is not None:
         here = wanted(shard_of(triple, shards))
         triple, grams = triple[here], [g[here] for g in grams]
@@ -314,7 +352,7 @@ def train_tables(trusted: DataFrame, shards: int, mask: int, rounds: Rounds = Ro
     def grams(r: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, texts in slices(batches, text, CHUNK_BYTES):
-                yield from as_table(emit(Chunk(texts, mask), shards, lambda shard: shard % np.uint64(many) == r)).to_batches()
+                yield from as_table(emit(Chunk([t.encode() for t in texts], mask), shards, lambda shard: shard % np.uint64(many) == r)).to_batches()
 
         return run
 
@@ -397,7 +435,7 @@ def discounts_of(found: dict[int, list[int]]) -> Discounts:
 
 def requests(chunk: Chunk) -> list[tuple[int, np.ndarray]]:
     """Kind of table and the keys that a chunk asks it for, ascending."""
-    return [(TRIPLE, np.sort(chunk.triple_keys)), (PAIR, np.sort(chunk.pair_keys)), (WORD, np.sort(chunk.keys))]
+    return [(TRIPLE, chunk.triple_keys), (PAIR, chunk.pair_keys), (WORD, chunk.word_keys)]
 
 
 def looked_up(kind: int, wanted: np.ndarray, held: list[np.ndarray]) -> list[np.ndarray]:
@@ -409,13 +447,6 @@ def looked_up(kind: int, wanted: np.ndarray, held: list[np.ndarray]) -> list[np.
     return [np.where(hit, c[at], 0) for c in held[1:]]
 
 
-def in_order_of(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Values in the order of ascending keys, in the order of the keys."""
-    out = np.empty_like(values)
-    out[:, np.argsort(keys)] = values
-    return out
-
-
 def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.ndarray, pairs: np.ndarray, words: np.ndarray, d: Discounts) -> np.ndarray:
     """Bits of each document's words and end. ``own``: whether it is scored without what it holds itself.
 
@@ -423,8 +454,8 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
     the chunk's keys. The words' total and the share it leaves to spelling are those of all documents either way. In
     logarithms, as the spelling of a long word is less likely than a double can say.
     """
-    n3, n2, n1 = triples[0][chunk.triple], pairs[0][chunk.pair], words[0][chunk.w]
-    c3, c2 = pairs[1:, chunk.context], words[1:, chunk.v]
+    n3, n2, n1 = triples[0][chunk.triple], pairs[0][chunk.pair], words[0][chunk.word]
+    c3, c2 = pairs[1:, chunk.context], words[1:, chunk.before]
     here = np.flatnonzero(own[chunk.doc])
     if len(here):
         doc = chunk.doc[here]
@@ -442,13 +473,13 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
         before = n2[here][pair_at]
         after = before - lost
         n2[here] = after[back]
-        _, of = in_doc(chunk.v, len(chunk.keys))
+        _, of = in_doc(chunk.before, len(chunk.word_keys))
         take_off(c2, here, of, of[pair_at], lost, before, after)
-        _, of = in_doc(chunk.w, len(chunk.keys))
+        _, of = in_doc(chunk.word, len(chunk.word_keys))
         gone = np.bincount(of[pair_at], ((after == 0) & (before > 0)).astype(float), of.max() + 1).astype(np.int64)
         n1[here] -= gone[of]
     with np.errstate(divide="ignore"):
-        p = -spelt[chunk.w]
+        p = -spelt[chunk.word]
         if d.total:
             p = np.logaddexp2(np.log2((n1 - d.word[np.minimum(n1, 3)]) / d.total), math.log2(d.spare) + p)
         p = _mixed(n3, c3, d.triple, _mixed(n2, c2, d.pair, p))
@@ -489,7 +520,7 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
     asked = "chunk int, kind int, shard int, blob binary"
 
     def request(table: pa.Table) -> pa.Table:
-        own = Chunk(table[plain].to_pylist(), mask).number_grams()
+        own = Chunk(texts_of(table[plain]), mask).number_grams()
         runs = [(kind, shard, pack("k", keys[a:b])) for kind, keys in requests(own) for shard, a, b in by_shard(keys, shards)]
         return as_table(runs).add_column(0, "chunk", pa.array([table[chunk][0].as_py()] * len(runs), pa.int32()))
 
@@ -507,16 +538,15 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
         return pa.table([asks["chunk"], asks["kind"], asks["shard"], pa.array(blobs, pa.binary())], names=asks.schema.names)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(table[plain].to_pylist(), mask).number_grams()
+        own = Chunk(texts_of(table[plain]), mask).number_grams()
         got = {(k, s): b for k, s, b in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["blob"].to_pylist())}
         counts = []
-        for (kind, ordered), keys in zip(requests(own), (own.triple_keys, own.pair_keys, own.keys)):
-            parts = [unpack("i" if kind == TRIPLE else "iiiii", got.pop((kind, s))) for s, _, _ in by_shard(ordered, shards)]
-            counts.append(in_order_of(keys, np.array([np.concatenate(x) for x in zip(*parts)])))
-        spelt = spelling(own.words, letters)
+        for kind, keys in requests(own):
+            parts = [unpack("i" if kind == TRIPLE else "iiiii", got.pop((kind, s))) for s, _, _ in by_shard(keys, shards)]
+            counts.append(np.array([np.concatenate(x) for x in zip(*parts)]))
+        spelt = spelling(own, letters)
         bits = document_bits(own, np.array(table[trusted_col].to_pylist(), bool), spelt, *counts, level)
-        sizes = np.where(own.sizes > 0, own.word_bytes(), 0)
-        return pa.table([*(table[c] for c in keep), pa.array(bits), pa.array(sizes)], names=schema.names)
+        return pa.table([*(table[c] for c in keep), pa.array(bits), pa.array(own.document_bytes())], names=schema.names)
 
     done = []
     for r in range(many):
@@ -532,17 +562,24 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
     return reduce(DataFrame.unionByName, done)
 
 
-def spelling(words: list[bytes], letters) -> np.ndarray:
-    """Bits of each number in a chunk: START (0, not asked for), END after a space, each word's letters and the space after it.
+def spelling(chunk: Chunk, letters) -> np.ndarray:
+    """Bits of each of a chunk's words: of its letters and the space after it; of the end after a space; 0 for the start.
 
     ``letters``: classes ``of`` bytes and ``bits`` of a byte after two classes. A word's first letter comes after two spaces.
     """
     space = int(letters.of[32])
-    text = np.frombuffer(b" ".join([b"", *words, b""]) if words else b" ", np.uint8)
-    c = letters.of[text]
-    before = np.append(space, c[:-2])[: len(text) - 1]
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes)
-    before[(ends - sizes)[: len(words)]] = space
-    each = letters.bits[before, c[:-1], text[1:]].astype(np.float64)
-    return np.append([0.0, letters.bits[space, space, 0]], np.add.reduceat(each, ends - sizes) if words else np.zeros(0))
+    out = np.where(chunk.word_keys == np.uint64(END_KEY & chunk.mask), float(letters.bits[space, space, 0]), 0.0)
+    of = np.flatnonzero(chunk.written >= 0)
+    if not len(of):
+        return out
+    starts, sizes = chunk.starts[chunk.written[of]], chunk.word_sizes[chunk.written[of]] + 1
+    text = chunk.text[bytes_at(starts, sizes)]
+    first = np.cumsum(sizes) - sizes
+    text[first + sizes - 1] = 32  # whatever white space comes after the word
+    classes = letters.of[text]
+    before = np.append(space, classes[:-1])
+    two = np.append([space, space], classes[:-2])[: len(classes)]
+    before[first], two[first] = space, space
+    two[np.minimum(first + 1, len(classes) - 1)] = space
+    out[of] = np.add.reduceat(letters.bits[two, before, text].astype(np.float64), first)
+    return out

@@ -139,7 +139,7 @@ def test_whole_table_by_counting(spark):
         n3 = lambda g: tri[g] - own[g]  # noqa: E731, B023
         n2 = lambda g: bi[g] - lost2[g]  # noqa: E731, B023
         words = split(t)
-        spelt = dict(zip(words, [W.spelling([w.encode()], model)[2] for w in words])) | {">": float(model.bits[model.of[32], model.of[32], 0])}
+        spelt = dict(zip(words, [W.spelling(c := W.Chunk([w.encode()], W.key_mask(1 << 40)).number_grams(), model)[c.word[0]] for w in words])) | {">": float(model.bits[model.of[32], model.of[32], 0])}
         total, mixed = 0.0, {}
         for g, times in grams[k].items():
             n1 = uni[g[2]] - lost1[g[2]]
