@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.plans.meta import MapType, Meta, ParentType, Partitioning, PartitionType, cells, delinearize, key_names, linearize
+from keyloom.plans.storage import dropped
 
 #: Arrays that were given a name.
 NAMED: dict[str, DistArray] = {}
@@ -21,6 +22,7 @@ class DistArray:
 
     def __init__(self, df: DataFrame, meta: Meta):
         self.df, self.meta = df, meta
+        self.tiled: dict[tuple, DataFrame] = {}  # cells cut for loops, by how they are cut
         self._cached = False
 
     # description
@@ -72,6 +74,8 @@ class DistArray:
         if self._cached:
             self.df.unpersist()
             self._cached = False
+        dropped(*self.tiled.values())
+        self.tiled.clear()
         if self.meta.symbol and NAMED.get(self.meta.symbol) is self:
             del NAMED[self.meta.symbol]
             self.df.sparkSession.catalog.dropTempView(self.meta.symbol)

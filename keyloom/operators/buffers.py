@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.array import DistArray
 from keyloom.plans.meta import DelayMode
-from keyloom.plans.storage import kept
+from keyloom.plans.storage import dropped, kept
 
 
 class WriteBuffer:
@@ -23,6 +23,11 @@ class WriteBuffer:
         self.combine, self.delay, self.max_delay = combine, delay, max_delay
         self.apply = apply or (lambda keys, old, update, *_: old + update)
 
+    def reset(self) -> WriteBuffer:
+        """Back to adding up without delay: what it was registered with is dropped."""
+        self.combine, self.apply, self.delay, self.max_delay = F.sum, lambda keys, old, update, *_: old + update, DelayMode.DEFAULT, None
+        return self
+
     def delta(self, updates: DataFrame, keys: list[str], value: str = "update") -> DataFrame:
         return updates.groupBy(*keys).agg(self.combine(F.col(value)).alias("update"))
 
@@ -45,11 +50,16 @@ class WriteBuffer:
         """``updates(elements, target)`` gives k1..kN and ``update``. One application, or one per batch of ``max_delay`` elements."""
         if self.delay is not DelayMode.MAX_DELAY:
             return self.flush(target, self.delta(updates(space, target), target.key_names))
-        batches = kept(numbered(space, order).withColumn("_batch", F.expr(f"_at div {int(self.max_delay)}")), "batches")
-        for b in range((batches.agg(F.max("_batch")).first()[0] or 0) + 1):
-            elements = batches.where(F.col("_batch") == b).drop("_batch", "_at")
+        batches = kept(numbered(space, order).withColumn("_batch", F.expr(f"_at div {int(self.max_delay)}")), "batches", by="_batch")
+        last = batches.agg(F.max("_batch")).first()[0]
+        before = None
+        for b in range(0 if last is None else last + 1):
+            elements = batches.where(F.col("_batch") == b).drop("_batch", "_at")  # one folder is read
             flushed = self.flush(target, self.delta(updates(elements, target), target.key_names))
             target = flushed.with_df(kept(flushed.df, "target"))
+            dropped(*[] if before is None else [before])
+            before = target.df
+        dropped(batches)
         return target
 
 

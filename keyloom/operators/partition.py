@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.array import DistArray
 from keyloom.operators.groups import bin_of, histogram
-from keyloom.plans.meta import Partitioning, PartitionType, floor_div, linearize
+from keyloom.plans.meta import IndexType, Partitioning, PartitionType, floor_div, linearize
 from keyloom.plans.schedule import tile_size
 from keyloom.plans.storage import fitting
 
@@ -42,16 +43,31 @@ def equal_mass_bounds(counts: Sequence[tuple[int, int]], dim: int, bins: int, pa
     return [*bounds, *[dim - 1] * (parts - len(bounds))]
 
 
+def first_executor(pid: Column, executors: int) -> Column:
+    """Where a partition of the ordered scheme starts, so that the first wave of executors is aligned."""
+    return F.pmod(F.lit(executors) - F.pmod(pid, F.lit(executors)), F.lit(executors)).cast("long")
+
+
 def with_partition(a: DistArray, p: Partitioning, key_func: Callable[[list[Column]], Column] | None = None, seed: int = 0) -> DataFrame:
-    """The array's table with ``pid``; two-dimensional schemes have ``sid`` and ``tid`` too, and ``pid`` is ``sid``."""
+    """The array's table with ``pid``; two-dimensional schemes have ``sid`` and ``tid`` too, and ``pid`` is ``sid``.
+
+    Dimensions with bounds are cut by them, others into equal tiles. Unimodular axes are tiles, of ``parts`` wide, of a sum
+    of keys times factors. The ordered scheme has ``executor`` too, where each partition is first placed.
+    """
     kind, keys, dims = p.kind, a.keys, a.size()
 
     def one(at: int) -> Column:
         d = p.dims[at]
-        return tile_by_bounds(keys[d - 1], p.bounds[at]) if p.bounds else tile(keys[d - 1], dims[d - 1], p.parts[at])
+        return tile_by_bounds(keys[d - 1], p.bounds[at]) if p.bounds and p.bounds[at] else tile(keys[d - 1], dims[d - 1], p.parts[at])
 
-    if kind in (PartitionType.ONE_D, PartitionType.ONE_D_ORDERED):
+    if kind is PartitionType.ONE_D:
         return a.df.withColumn("pid", one(0))
+    if kind is PartitionType.ONE_D_ORDERED:
+        return a.df.withColumn("pid", one(0)).withColumn("executor", first_executor(F.col("pid"), p.parts[0]))
+    if kind is PartitionType.TWO_D_UNIMODULAR:
+        axes = [sum((keys[d - 1] * f for d, f in zip(p.dims, c)), F.lit(c[-1])) for c in p.coefficients]
+        sid, tid = (floor_div(axis, width) for axis, width in zip(axes, p.parts))
+        return a.df.withColumn("sid", sid).withColumn("tid", tid).withColumn("pid", F.col("sid"))
     if kind is PartitionType.TWO_D:
         return a.df.withColumn("sid", one(0)).withColumn("tid", one(1)).withColumn("pid", F.col("sid"))
     if kind in (PartitionType.MODULO_SERVER, PartitionType.MODULO_EXECUTOR):
@@ -92,6 +108,17 @@ def balanced(a: DistArray, dim: int, parts: int, bins_per_part: int = 10) -> Par
     return Partitioning(PartitionType.ONE_D, (dim,), (parts,), (tuple(equal_mass_bounds(counts, size, bins, parts)),))
 
 
+def balanced_2d(a: DistArray, dims: tuple[int, int], parts: tuple[int, int], by_mass: tuple[bool, bool] = (True, True), bins_per_part: int = 10) -> Partitioning:
+    """A two-dimensional scheme: dimensions ``by_mass`` get ranges of equal mass, from a histogram each, others equal tiles."""
+    bounds = tuple(balanced(a, d, n, bins_per_part).bounds[0] if mass else () for d, n, mass in zip(dims, parts, by_mass))
+    return Partitioning(PartitionType.TWO_D, dims, parts, bounds)
+
+
+def reindexed(a: DistArray, index: IndexType) -> DistArray:
+    """The array with another index on its partitions; no cell moves, as lookups are joins."""
+    return a.with_df(a.df, partitioning=replace(a.meta.partitioning, index=index))
+
+
 def remap_table(a: DistArray, dims: tuple[int, ...], seed: int = 0) -> DataFrame:
     """Partial keys and ``new_key`` (1-based, linear): their ranks in the order of a digest, so an injective renumbering.
 
@@ -118,4 +145,4 @@ def partition_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pid").agg(F.count(F.lit(1)).alias("cells"))
 
 
-__all__ = ["balanced", "bin_of", "equal_mass_bounds", "partition_sizes", "random_remap", "remap_table", "repartition", "tile", "tile_by_bounds", "with_partition"]
+__all__ = ["balanced", "balanced_2d", "bin_of", "equal_mass_bounds", "first_executor", "partition_sizes", "random_remap", "reindexed", "remap_table", "repartition", "tile", "tile_by_bounds", "with_partition"]

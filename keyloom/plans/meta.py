@@ -39,6 +39,8 @@ class Partitioning:
     parts: tuple[int, ...] = ()
     bounds: tuple[tuple[int, ...], ...] = ()
     index: IndexType = IndexType.NONE
+    #: Of a unimodular scheme: for each axis, a factor for each of ``dims`` and a constant.
+    coefficients: tuple[tuple[int, ...], ...] = ()
 
 
 @dataclass(frozen=True)

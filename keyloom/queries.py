@@ -11,10 +11,11 @@ from keyloom.functions import columns as C
 from keyloom.operators import access, groups, partition
 from keyloom.operators.array import DistArray
 from keyloom.operators.buffers import WriteBuffer, last_writer, upsert
+from keyloom.operators.loops import for_each_group, parallel_for
 from keyloom.operators.sinks import save_as_text
 from keyloom.plans.meta import Meta, Partitioning, PartitionType, delinearize, linearize
 from keyloom.plans.schedule import rotation, wavefront
-from keyloom.plans.storage import shared_folder
+from keyloom.plans.storage import scratch_path
 from keyloom.sources.cells import fill, from_table, rand, randn
 from keyloom.sources.text import text_file
 from keyloom.workloads import lda, lr, mf
@@ -69,18 +70,19 @@ def q_delinearize(spark, sf):
     return rows.select("lin_key", one.alias("a"), two.alias("b"))
 
 
-@query("SELECT e.event_id, e.user_id + 1 AS k1, ((e.user_id + 1 - 1) + 150 * (hour(ts))) AS partial_key FROM events e")
+@query("SELECT e.event_id, e.user_id + 1 AS k1, e.user_id + (SELECT max(user_id) + 1 FROM events) * hour(ts) AS partial_key FROM events e")
 def q_partial_key(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("user_id") + 1).alias("k1"), (F.hour("ts") + 1).cast("long").alias("k2"))
-    return rows.select("event_id", "k1", linearize([F.col("k1"), F.col("k2")], (150, 24)).alias("partial_key"))
+    users = DistArray(rows, Meta(1)).size()[0]
+    return rows.select("event_id", "k1", linearize([F.col("k1"), F.col("k2")], (users, 24)).alias("partial_key"))
 
 
 # sources
 
 
 def _written_text(spark: SparkSession, sf: str, name: str, rows: DataFrame) -> str:
-    path = f"{shared_folder(spark)}/text-{name}-{abs(hash(sf))}"
-    rows.write.mode("overwrite").text(path)
+    path = scratch_path(spark, f"text-{name}")
+    rows.write.text(path)
     return path
 
 
@@ -126,11 +128,18 @@ def q_range_blocks(spark, sf):
     return rows.groupBy("block").agg(F.min("lin_key").alias("lo"), F.max("lin_key").alias("hi"), F.count(F.lit(1)).alias("cells"))
 
 
-@query("SELECT 2000 AS cells, true AS in_range, true AS normal_centred")
+def _draw(seed: int, at: int) -> str:
+    """The SQL of a uniform number of cell i: 52 bits of a digest."""
+    return f"CAST(('0x' || substr(md5('{seed}:' || i), {at}, 13)) AS BIGINT)"
+
+
+@query(
+    f"SELECT CAST(i % 40 + 1 AS BIGINT) AS k1, CAST(i // 40 + 1 AS BIGINT) AS k2, round({_draw(1, 1)} / pow(2, 52), 9) AS u, "
+    f"round(sqrt(-2 * ln(({_draw(2, 1)} + 1) / pow(2, 52))) * cos(2 * pi() * {_draw(2, 14)} / pow(2, 52)) / 10, 9) AS n FROM range(2000) t(i)"
+)
 def q_random_fill(spark, sf):
-    u, n = rand(spark, 40, 50).df, randn(spark, 40, 50).map_values(lambda v: v / 10).df
-    joined = u.withColumnRenamed("value", "u").join(n.withColumnRenamed("value", "n"), ["k1", "k2"])
-    return joined.agg(F.count(F.lit(1)).cast("int").alias("cells"), F.bool_and((F.col("u") >= 0) & (F.col("u") < 1)).alias("in_range"), (F.abs(F.avg("n")) < 0.02).alias("normal_centred"))
+    u, n = rand(spark, 40, 50, dtype="double", seed=1).df, randn(spark, 40, 50, dtype="double", seed=2).map_values(lambda v: v / 10).df
+    return u.withColumnRenamed("value", "u").join(n.withColumnRenamed("value", "n"), ["k1", "k2"]).select("k1", "k2", F.round("u", 9).alias("u"), F.round("n", 9).alias("n"))
 
 
 # maps
@@ -177,7 +186,7 @@ def q_flatten_props(spark, sf):
     return rows.select((F.col("event_id") + 1).alias("k1"), F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "value"))
 
 
-@query(f"WITH {EVENTS}, d AS (SELECT max(k1) AS d1, max(k2) AS d2 FROM e) SELECT CAST(i + 1 AS BIGINT) AS k1, CAST(j + 1 AS BIGINT) AS k2, coalesce(value, 0) AS value FROM range(1000) a(i), range(31) b(j), d LEFT JOIN e ON k1 = i + 1 AND k2 = j + 1 WHERE i < d1 AND j < d2")
+@query(f"WITH {EVENTS}, d AS (SELECT max(k1) AS d1, max(k2) AS d2 FROM e) SELECT CAST(i + 1 AS BIGINT) AS k1, CAST(j + 1 AS BIGINT) AS k2, coalesce(value, 0) AS value FROM (SELECT unnest(range(d1)) AS i FROM d) CROSS JOIN (SELECT unnest(range(d2)) AS j FROM d) LEFT JOIN e ON k1 = i + 1 AND k2 = j + 1")
 def q_densify(spark, sf):
     return _events(spark, sf).densify(F.lit(0).cast("long")).df
 
@@ -281,12 +290,41 @@ def q_repartition(spark, sf):
     return a.df.groupBy(F.spark_partition_id().cast("long").alias("partition")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query()
+#: Histogram of the first key in at most 80 bins, wide ones first, as (bin, first coordinate, width, count, count before), and bounds of 8 parts.
+BINS = (
+    "s AS (SELECT d1, least(d1, 80) AS b FROM d), w AS (SELECT *, (d1 + b - 1) // b AS fl, CASE WHEN d1 % b = 0 THEN b ELSE d1 % b END AS nf FROM s), "
+    "g AS (SELECT CASE WHEN k1 - 1 < nf * fl THEN (k1 - 1) // fl ELSE (k1 - 1 - nf * fl) // greatest(fl - 1, 1) + nf END AS bin, count(*) AS n FROM r, w GROUP BY 1), "
+    "h AS (SELECT bin, n, CASE WHEN bin <= nf THEN bin * fl ELSE nf * fl + (bin - nf) * (fl - 1) END AS lo, CASE WHEN bin < nf THEN fl ELSE fl - 1 END AS width, "
+    "sum(n) OVER (ORDER BY bin) - n AS seen, sum(n) OVER () AS total FROM g, w), "
+    "b AS (SELECT j, lo + CAST(ceil((total * j / 8.0 - seen) * width / n) AS BIGINT) - 1 AS upper FROM h, range(1, 8) t(j) WHERE seen < total * j / 8.0 AND seen + n >= total * j / 8.0)"
+)
+
+
+@query(f"WITH {RATINGS}, {BINS} SELECT CAST(j - 1 AS INTEGER) AS part, CAST(greatest(0, least(upper, d1 - 1)) AS BIGINT) AS upper FROM b, d UNION ALL SELECT 7, CAST(d1 - 1 AS BIGINT) FROM d")
 def q_equal_mass_bounds(spark, sf):
     p = partition.balanced(mf.ratings(spark, sf), 1, 8)
     return spark.createDataFrame([(k, int(b)) for k, b in enumerate(p.bounds[0])], "part int, upper long")
 
 
+@query(f"WITH {RATINGS}, {BINS}, u AS (SELECT list(greatest(0, least(upper, d1 - 1)) ORDER BY j) AS up FROM b, d) SELECT k1, k2, (k2 - 1) // ((d2 + 3) // 4) AS tid, CAST(len(list_filter(up, lambda x: x < k1 - 1)) AS BIGINT) AS sid FROM r, d, u")
+def q_part_2d_hist(spark, sf):
+    """Ranges of equal mass along the first key, equal tiles along the second."""
+    a = mf.ratings(spark, sf)
+    return partition.with_partition(a, partition.balanced_2d(a, (1, 2), (8, 4), (True, False))).select("k1", "k2", "sid", "tid")
+
+
+@query(f"WITH {RATINGS}, p AS (SELECT k1, k2, (k1 - 1) // ((d1 + 7) // 8) AS pid FROM r, d) SELECT k1, k2, pid, (8 - pid % 8) % 8 AS executor FROM p")
+def q_part_1d_ordered(spark, sf):
+    return _part(PartitionType.ONE_D_ORDERED, "pid", "executor", dims=(1,), parts=(8,))(spark, sf)
+
+
+@query(f"WITH {RATINGS} SELECT k1, k2, (2 * k1 + k2) // 16 AS sid, (k1 - k2 + 1000000) // 32 AS tid FROM r")
+def q_part_2d_unimodular(spark, sf):
+    a = mf.ratings(spark, sf)
+    p = Partitioning(PartitionType.TWO_D_UNIMODULAR, (1, 2), (16, 32), coefficients=((2, 1, 0), (1, -1, 1_000_000)))
+    return partition.with_partition(a, p).select("k1", "k2", "sid", "tid")
+
+
 @query(f"WITH {RATINGS}, m AS (SELECT k1, row_number() OVER (ORDER BY md5(CAST(k1 AS VARCHAR)), k1) AS new_key FROM (SELECT DISTINCT k1 FROM r)) SELECT k1, CAST(new_key AS BIGINT) AS new_key FROM m")
 def q_random_remap(spark, sf):
     return partition.remap_table(mf.ratings(spark, sf), (1,))
@@ -295,16 +333,17 @@ def q_random_remap(spark, sf):
 # access
 
 
-@query(f"WITH {RATINGS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, value AS found FROM lineitem JOIN r ON k1 = l_partkey + 1 AND k2 = l_suppkey + 1 WHERE l_quantity > 45")
+@query(f"WITH {RATINGS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, value AS found FROM lineitem JOIN r ON k1 = l_partkey + 1 AND k2 = l_suppkey + 1")
 def q_point_lookup(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") + 1).alias("a"), (F.col("l_suppkey") + 1).alias("b"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") + 1).alias("a"), (F.col("l_suppkey") + 1).alias("b"))
     return access.lookup(rows, mf.ratings(spark, sf), {"k1": "a", "k2": "b"}, strict=True).drop("a", "b")
 
 
-@query(f"WITH {EVENTS} SELECT c_custkey, list(value ORDER BY k2) AS vec FROM customer JOIN e ON k1 = c_custkey % 150 + 1 GROUP BY 1")
+@query(f"WITH {EVENTS} SELECT c_custkey, list(value ORDER BY k2) AS vec FROM customer JOIN e ON k1 = c_custkey % (SELECT max(k1) FROM e) + 1 GROUP BY 1")
 def q_range_lookup(spark, sf):
-    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 150 + 1).alias("u"))
-    return access.lookup_slice(rows, _events(spark, sf), 1, "u").drop("u")
+    a = _events(spark, sf)
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_custkey") % a.size()[0] + 1).alias("u"))
+    return access.lookup_slice(rows, a, 1, "u").drop("u")
 
 
 @query(f"WITH {EVENTS} SELECT n_nationkey, coalesce(value, -1) AS found FROM nation LEFT JOIN e ON k1 = n_nationkey * 40 + 1 AND k2 = 3")
@@ -327,15 +366,24 @@ def q_access_counts(spark, sf):
 # loops and buffers
 
 
+def _last_digit(key, value):
+    return value - 10 * (value // 10)
+
+
 @query(f"WITH {RATINGS} SELECT k1, k2, value - floor(value / 10) * 10 AS value FROM r")
 def q_loop_update_values(spark, sf):
-    return mf.ratings(spark, sf).map_values(lambda v: v - F.floor(v / 10) * 10).df
+    """A loop whose body's result replaces the value of each cell."""
+    _, space = parallel_for(mf.ratings(spark, sf), _last_digit, {}, reassign=True)
+    return space.df
 
 
 @query(f"WITH {EVENTS} SELECT k1, list(value ORDER BY k2) AS vals, list(k2 ORDER BY k2) AS days FROM e GROUP BY 1")
 def q_iterate_groups(spark, sf):
-    rows = _events(spark, sf).df.groupBy("k1").agg(F.array_sort(F.collect_list(F.struct("k2", "value"))).alias("g"))
-    return rows.select("k1", F.col("g.value").alias("vals"), F.col("g.k2").alias("days"))
+    def body(coordinates, cells):
+        keys, values = zip(*cells)
+        yield {"k1": coordinates[0], "vals": list(values), "days": [k[1] for k in keys]}
+
+    return for_each_group(_events(spark, sf), (1,), body, "k1 long, vals array<long>, days array<long>")
 
 
 @query("WITH u AS (SELECT o_custkey + 1 AS k1, sum(round(o_totalprice)) AS s FROM orders GROUP BY 1) SELECT c_custkey + 1 AS k1, 100 + coalesce(s, 0) AS value FROM customer LEFT JOIN u ON k1 = c_custkey + 1")
@@ -359,6 +407,15 @@ def q_buffer_helpers(spark, sf):
     return new.df.join(new_z.df.withColumnRenamed("value", "z"), "k1").select("k1", F.round("value", 9).alias("value"), "z")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey + 1 AS fid, l_quantity AS fval, 0.01::DOUBLE * (l_partkey + 1) AS weight FROM lineitem")
+def q_explode_lookup(spark, sf):
+    """Samples whose features name the weights that they need."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.array(F.struct((F.col("l_partkey") + 1).alias("fid"), F.col("l_quantity").alias("fval"))).alias("features"))
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    weights = from_table(parts, [F.col("p_partkey") + 1], 0.01 * (F.col("p_partkey") + 1))
+    return access.explode_lookup(rows, "features", weights)
+
+
 @query("SELECT user_id + 1 AS k1, arg_max(event_type, event_id) AS value FROM events GROUP BY 1")
 def q_last_writer(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") + 1).alias("k1"), F.col("event_type").alias("value"), "event_id")
@@ -390,24 +447,40 @@ def q_lr_metrics(spark, sf):
 
 
 @query(
-    f"WITH {X}, {SCORED}, g AS (SELECT fid AS k1, sum(fval * (1 / (1 + exp(-s)) - s.y)) AS g FROM x JOIN s USING (id) GROUP BY 1) "
-    "SELECT k1, round(value - 0.1 / sqrt(greatest(1 + g * g, 1)) * g, 8) AS value, round(1 + g * g, 6) AS z FROM w JOIN g USING (k1)"
+    f"WITH {X}, {SCORED}, g AS (SELECT fid AS k1, sum(CASE WHEN id % 2 = 0 THEN fval * (1 / (1 + exp(-s)) - s.y) ELSE 0 END) AS g0, "
+    "sum(CASE WHEN id % 2 = 1 THEN fval * (1 / (1 + exp(-s)) - s.y) ELSE 0 END) AS g1 FROM x JOIN s USING (id) GROUP BY 1), "
+    "a AS (SELECT k1, g0, g1, value, 1 + g0 * g0 AS z1, greatest(1 + g0 * g0, 1) AS zp1 FROM w JOIN g USING (k1)), "
+    "b AS (SELECT *, value - 0.1 / sqrt(zp1) * g0 AS x1, z1 + g1 * g1 + 2 * g1 * g0 AS z2, greatest(z1 + g1 * g1 + 2 * g1 * g0, zp1) AS zp2 FROM a) "
+    "SELECT k1, round(x1 - 0.1 / sqrt(zp2) * g1 + (0.1 / sqrt(zp1) - 0.1 / sqrt(zp2)) * g0, 8) AS value, round(z2, 6) AS z, round(g0 + g1, 6) AS grads FROM b"
 )
 def q_lr_adarevision(spark, sf):
-    state = lr.adarevision_epoch(lr.samples(spark, sf), lr.adarevision_state(_weights(spark)))
-    return state["x"].df.join(state["z"].df.withColumnRenamed("value", "z"), "k1").select("k1", F.round("value", 8).alias("value"), F.round("z", 6).alias("z"))
+    """Two batches whose gradients are computed from the same weights: the second one's arrives when the first has been applied."""
+    state = lr.adarevision_epoch(lr.samples(spark, sf), lr.adarevision_state(_weights(spark)), batches=2)
+    rows = state["x"].df.join(state["z"].df.withColumnRenamed("value", "z"), "k1").join(state["G"].df.withColumnRenamed("value", "grads"), "k1")
+    return rows.select("k1", F.round("value", 8).alias("value"), F.round("z", 6).alias("z"), F.round("grads", 6).alias("grads"))
 
 
-@query()
+def _batches(many: int, size: int, step: float) -> str:
+    """Mini-batches one after another, up to ``many``: later ones are empty and change nothing."""
+    parts = [f"n AS MATERIALIZED (SELECT id, y, fid, fval, (dense_rank() OVER (ORDER BY id) - 1) // {size} AS b FROM x)", "w0 AS MATERIALIZED (SELECT CAST(f AS BIGINT) AS k1, f * 0.01::DOUBLE AS value FROM range(1, 65) t(f))"]
+    for b in range(many):
+        parts.append(
+            f"w{b + 1} AS MATERIALIZED (WITH s AS (SELECT id, any_value(y) AS y, sum(fval * value) AS s FROM n JOIN w{b} ON fid = k1 WHERE b = {b} GROUP BY 1), "
+            f"g AS (SELECT fid AS k1, sum(fval * (1 / (1 + exp(-s)) - s.y)) AS g FROM n JOIN s USING (id) WHERE b = {b} GROUP BY 1) SELECT k1, value - {step} * coalesce(g, 0) AS value FROM w{b} LEFT JOIN g USING (k1))"
+        )
+    return ", ".join(parts)
+
+
+@query(f"WITH {X}, {_batches(10, 200, 0.001)} SELECT k1, round(value, 9) AS value FROM w10")
 def q_lr_minibatch(spark, sf):
-    return lr.minibatch_epoch(lr.samples(spark, sf), _weights(spark), 0.001, 200).df
+    return lr.minibatch_epoch(lr.samples(spark, sf), _weights(spark), 0.001, 200).map_values(lambda v: F.round(v, 9)).df
 
 
 # factorisation
 
 FACTORS = (
-    f"w AS (SELECT CAST(k AS BIGINT) AS k1, f, sin(0.5 + f * k) / 10 AS x FROM d, range(1, {RANK + 1}) t(f), range(1, 200001) u(k) WHERE k <= d1), "
-    f"h AS (SELECT CAST(k AS BIGINT) AS k2, f, sin(1.5 + f * k) / 10 AS x FROM d, range(1, {RANK + 1}) t(f), range(1, 200001) u(k) WHERE k <= d2)"
+    f"w AS (SELECT CAST(k AS BIGINT) AS k1, f, sin(0.5 + f * k) / 10 AS x FROM (SELECT unnest(range(1, d1 + 1)) AS k FROM d), range(1, {RANK + 1}) t(f)), "
+    f"h AS (SELECT CAST(k AS BIGINT) AS k2, f, sin(1.5 + f * k) / 10 AS x FROM (SELECT unnest(range(1, d2 + 1)) AS k FROM d), range(1, {RANK + 1}) t(f))"
 )
 
 
@@ -460,15 +533,16 @@ def q_mf_adaptive_epoch(spark, sf):
 
 TOK = (
     "tk AS (SELECT doc_id + 1 AS did, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents), "
-    f"v AS (SELECT word, CAST(row_number() OVER (ORDER BY count(*) DESC, word) AS BIGINT) AS wid FROM tk WHERE word <> '' GROUP BY word QUALIFY wid <= {lda.VOCABULARY}), "
+    f"v AS (SELECT word, CAST(row_number() OVER (ORDER BY md5(word), word) AS BIGINT) AS wid FROM (SELECT DISTINCT word FROM tk WHERE word <> '')), m AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM v), "
     "c AS (SELECT wid, did, count(*) AS cnt FROM tk JOIN v USING (word) GROUP BY 1, 2), "
     f"t AS (SELECT unnest(range(1, cnt + 1)) AS k1, wid AS k2, did AS k3 FROM c), z AS (SELECT k1, k2, k3, CAST((7 * k1 + 3 * k2 + 5 * k3) % {lda.TOPICS} + 1 AS INTEGER) AS value FROM t), "
     "nt AS (SELECT value AS topic, count(*) AS n FROM z GROUP BY 1), dt AS (SELECT k3 AS did, value AS topic, count(*) AS n FROM z GROUP BY 1, 2), wt AS (SELECT k2 AS wid, value AS topic, count(*) AS n FROM z GROUP BY 1, 2)"
 )
-V, A, B, K = lda.VOCABULARY, lda.ALPHA, lda.BETA, lda.TOPICS
+A, B, K = lda.ALPHA, lda.BETA, lda.TOPICS
 
 
 def _tokens(spark, sf):
+    """The tokens of all words of all documents."""
     return lda.tokens(lda.token_counts(spark, sf))
 
 
@@ -493,45 +567,46 @@ def q_lda_word_topic_sorted(spark, sf):
     return rows.select("wid", F.array_join(F.transform("counts", lambda c: F.concat_ws(":", c["topic"], c["count"])), " ").alias("counts"))
 
 
-@query(f"WITH {TOK} SELECT round(sum({A * B} / ({B * V} + n)), 10) AS s_sum FROM nt")
+@query(f"WITH {TOK} SELECT round(sum({A * B} / ({B} * v + n)), 10) AS s_sum FROM nt, m")
 def q_lda_s_sum(spark, sf):
-    return lda.s_sum(lda.topic_totals(_tokens(spark, sf)), V).select(F.round("s_sum", 10).alias("s_sum"))
+    t = _tokens(spark, sf)
+    return lda.s_sum(lda.topic_totals(t), t.size()[1]).select(F.round("s_sum", 10).alias("s_sum"))
 
 
-@query(f"WITH {TOK} SELECT did, round(sum(dt.n * {B} / ({B * V} + nt.n)), 10) AS r_sum FROM dt JOIN nt USING (topic) GROUP BY 1")
+@query(f"WITH {TOK} SELECT did, round(sum(dt.n * {B} / ({B} * v + nt.n)), 10) AS r_sum FROM dt JOIN nt USING (topic), m GROUP BY 1")
 def q_lda_r_sum(spark, sf):
     t = _tokens(spark, sf)
-    return lda.r_sum(lda.doc_topic(t), lda.topic_totals(t), V).select("did", F.round("r_sum", 10).alias("r_sum"))
+    return lda.r_sum(lda.doc_topic(t), lda.topic_totals(t), t.size()[1]).select("did", F.round("r_sum", 10).alias("r_sum"))
 
 
-@query(f"WITH {TOK} SELECT did, topic, round(({A} + dt.n) / ({B * V} + nt.n), 10) AS q_coeff FROM dt JOIN nt USING (topic)")
+@query(f"WITH {TOK} SELECT did, topic, round(({A} + dt.n) / ({B} * v + nt.n), 10) AS q_coeff FROM dt JOIN nt USING (topic), m")
 def q_lda_q_coeff(spark, sf):
     t = _tokens(spark, sf)
-    return lda.q_coeff(lda.doc_topic(t), lda.topic_totals(t), V).withColumn("q_coeff", F.round("q_coeff", 10))
+    return lda.q_coeff(lda.doc_topic(t), lda.topic_totals(t), t.size()[1]).withColumn("q_coeff", F.round("q_coeff", 10))
 
 
 @query(
     f"WITH {TOK}, l AS (SELECT did, sum(n) AS n FROM dt GROUP BY 1) SELECT "
-    f"round((SELECT sum(lgamma(n + {B}) - lgamma({B})) FROM wt) + (SELECT sum(lgamma({B * V}) - lgamma(n + {B * V})) FROM nt), 3) AS word_llh, "
+    f"round((SELECT sum(lgamma(n + {B}) - lgamma({B})) FROM wt) + (SELECT sum(lgamma({B} * v) - lgamma(n + {B} * v)) FROM nt, m), 3) AS word_llh, "
     f"round((SELECT sum(lgamma(n + {A}) - lgamma({A})) FROM dt) + (SELECT sum(lgamma({A * K}) - lgamma(n + {A * K})) FROM l), 3) AS doc_llh"
 )
 def q_lda_llh(spark, sf):
-    return lda.log_likelihood(_tokens(spark, sf), V).select(F.round("word_llh", 3).alias("word_llh"), F.round("doc_llh", 3).alias("doc_llh"))
+    t = _tokens(spark, sf)
+    return lda.log_likelihood(t, t.size()[1]).select(F.round("word_llh", 3).alias("word_llh"), F.round("doc_llh", 3).alias("doc_llh"))
 
 
 @query()
 def q_lda_sweep(spark, sf):
-    t = lda.tokens(lda.token_counts(spark, sf, None))
+    t = _tokens(spark, sf)
     return lda.topic_totals(lda.sweep(t, t.size()[1], slots=2))
 
 
-@query()
+@query(f"WITH {EVENTS} SELECT k1, k2, value FROM e")
 def q_text_round_trip(spark, sf):
-    a = _events(spark, sf)
-    path = f"{shared_folder(spark)}/saved-{abs(hash(sf))}"
-    save_as_text(a, path, mode="overwrite")
-    back = text_file(spark, path, lambda line: ((F.split(line, ",")[0], F.split(line, ",")[1]), F.split(line, ",")[2].cast("long")), num_dims=2)
-    return a.df.exceptAll(back.df).agg(F.count(F.lit(1)).alias("lost")).withColumn("cells", F.lit(a.df.count()))
+    """What is read back from the text that an array was saved as."""
+    path = scratch_path(spark, "saved")
+    save_as_text(_events(spark, sf), path)
+    return text_file(spark, path, lambda line: ((F.split(line, ",")[0], F.split(line, ",")[1]), F.split(line, ",")[2].cast("long")), num_dims=2).df
 
 
 # scalar functions

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,20 @@ def fill(spark: SparkSession, value: Column | float | int | str, *dims: int, par
     return _dense(spark, dims, value if isinstance(value, Column) else F.lit(value), InitType.FILL, value, parts)
 
 
+def _uniform(seed: int, at: int) -> Column:
+    """52 bits of a digest of the seed and the linear key: the same however the cells are parted or a task is run again."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), at, 13), 16, 10).cast("double")
+
+
 def rand(spark: SparkSession, *dims: int, dtype: str = "float", seed: int = 1, parts: int | None = None) -> DistArray:
-    """Uniform in [0, 1). Each partition draws its own stream of the one seed."""
-    return _dense(spark, dims, F.rand(seed).cast(dtype), InitType.UNIFORM_RANDOM, None, parts)
+    """Uniform in [0, 1), a function of seed and key."""
+    return _dense(spark, dims, (_uniform(seed, 1) / float(1 << 52)).cast(dtype), InitType.UNIFORM_RANDOM, None, parts)
 
 
 def randn(spark: SparkSession, *dims: int, dtype: str = "float", seed: int = 1, parts: int | None = None) -> DistArray:
-    return _dense(spark, dims, F.randn(seed).cast(dtype), InitType.NORMAL_RANDOM, None, parts)
+    """Normal with mean 0 and deviation 1, a function of seed and key, from two uniform numbers."""
+    radius = F.sqrt(-2 * F.log((_uniform(seed, 1) + 1) / float(1 << 52)))
+    return _dense(spark, dims, (radius * F.cos(2 * math.pi * _uniform(seed, 14) / float(1 << 52))).cast(dtype), InitType.NORMAL_RANDOM, None, parts)
 
 
 def empty(spark: SparkSession, value_type: str, *dims: int) -> DistArray:

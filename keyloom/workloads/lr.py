@@ -9,7 +9,7 @@ from keyloom.functions.columns import safe_log, sigmoid
 from keyloom.operators.array import DistArray
 from keyloom.operators.buffers import WriteBuffer, numbered
 from keyloom.plans.meta import DelayMode, Meta
-from keyloom.plans.storage import kept
+from keyloom.plans.storage import dropped, kept
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,13 @@ def epoch(x: DataFrame, w: DistArray, step: float) -> DistArray:
 def minibatch_epoch(x: DataFrame, w: DistArray, step: float, max_delay: int) -> DistArray:
     """As ``epoch``, flushed after every ``max_delay`` samples in the order of ids. Batches are driven one by one."""
     ids = kept(numbered(x.select("id").distinct(), ["id"]).withColumn("b", F.expr(f"_at div {int(max_delay)}")), "ids")
-    x = kept(x.join(ids.select("id", "b"), "id"), "samples")
-    for b in range((ids.agg(F.max("b")).first()[0] or 0) + 1):
-        w = w.with_df(kept(epoch(x.where(F.col("b") == b).drop("b"), w, step).df, "weights"))
+    x = kept(x.join(ids.select("id", "b"), "id"), "samples", by="b")
+    last, before = ids.agg(F.max("b")).first()[0], None
+    for b in range(0 if last is None else last + 1):
+        w = w.with_df(kept(epoch(x.where(F.col("b") == b).drop("b"), w, step).df, "weights"))  # one batch's folder is read
+        dropped(*[] if before is None else [before])
+        before = w.df
+    dropped(ids, x)
     return w
 
 
@@ -87,6 +91,15 @@ def adarevision_step(state: dict[str, DistArray], grads: DataFrame, seen: DistAr
     return {"x": x, "G": g, "z": z, "zp": zp}
 
 
-def adarevision_epoch(x: DataFrame, state: dict[str, DistArray], alpha: float = 0.1) -> dict[str, DistArray]:
-    grads = gradients(x, state["x"]).select("k1", "g")
-    return adarevision_step(state, grads, state["G"], alpha)
+def adarevision_epoch(x: DataFrame, state: dict[str, DistArray], alpha: float = 0.1, batches: int = 1) -> dict[str, DistArray]:
+    """Gradients of ``batches`` parts of the samples, all computed from the state at the start and applied one after another.
+
+    So those of later parts come late by what earlier ones have added, which the revision takes into account.
+    """
+    seen, grads = state["G"], gradients(x, state["x"])
+    if batches > 1:
+        grads = kept(grads.groupBy(F.pmod("id", F.lit(batches)).alias("part"), "k1").agg(F.sum("g").alias("g")), "gradients")
+    for part in range(batches):
+        now = grads.where(F.col("part") == part) if batches > 1 else grads
+        state = adarevision_step(state, now.select("k1", "g"), seen, alpha)
+    return state

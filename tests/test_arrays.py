@@ -17,6 +17,7 @@ from keyloom.operators.sinks import save_as_text
 from keyloom.plans.dependence import NotParallelizable
 from keyloom.plans.meta import DelayMode, Meta, Partitioning, PartitionType, cells, key_of, linear_key
 from keyloom.plans.schedule import rotation, tile_size
+from keyloom.plans.storage import kept
 from keyloom.sources.cells import empty, fill, rand, randn
 from keyloom.sources.text import numbered_lines, text_file
 from keyloom.workloads import lda, lr, mf
@@ -313,3 +314,91 @@ def test_scalar_functions(spark):
     ).first()
     assert row["dot"] == 11 and row["log"] == math.log(1e-15) and row["get"] == 7 and row["put"] == {"a": 2} and row["removed"] == 0 and row["at"] == 2
     assert row["sum"] == [1.0, 1.0] and [(c["count"], c["topic"]) for c in row["counts"]] == [(3, 3), (3, 4), (1, 1)]
+
+
+def test_sweep_is_the_serial_one(spark):
+    """Against buckets summed up afresh for every token, in the order of keys."""
+    random.seed(8)
+    cells = sorted({(random.randint(1, 3), random.randint(1, 6), random.randint(1, 9)) for _ in range(90)}, key=lambda k: k[::-1])
+    topics = {k: random.randint(1, 5) for k in cells}
+    t = DistArray(spark.createDataFrame([(*k, z) for k, z in topics.items()], "k1 long, k2 long, k3 long, value int"), Meta(3, (3, 6, 9)))
+    got = {(r.k1, r.k2, r.k3): r.value for r in lda.sweep(t, 6, 5, seed=3, slots=1).df.collect()}
+    alpha, beta, w, d, n = lda.ALPHA, lda.BETA, np.zeros((7, 5)), np.zeros((10, 5)), np.zeros(5)
+    for (_, word, doc), z in topics.items():
+        for table in (w[word], d[doc], n):
+            table[z - 1] += 1
+    for key in cells:
+        _, word, doc = key
+        for table in (w[word], d[doc], n):
+            table[topics[key] - 1] -= 1
+        below = n + beta * 6
+        q = [(-w[word][j], j, w[word][j] * (alpha + d[doc][j]) / below[j]) for j in range(5) if w[word][j]]
+        buckets = [(j, x) for _, j, x in sorted(q)] + [(j, d[doc][j] * beta / below[j]) for j in range(5) if d[doc][j]] + [(j, alpha * beta / below[j]) for j in range(5)]
+        assert math.isclose(sum(x for _, x in buckets), ((w[word] + beta) * (d[doc] + alpha) / below).sum())
+        u = lda.draw(3, key) * sum(x for _, x in buckets)
+        for j, x in buckets:
+            u -= x
+            if u < 0:
+                break
+        topics[key] = j + 1
+        for table in (w[word], d[doc], n):
+            table[j] += 1
+    assert got == topics
+    ranked = {r.wid: r.counts for r in lda.word_topic_sorted(lda.sweep(t, 6, 5, seed=3, slots=1), 5).collect()}
+    assert all(c["count"] == w[k][c["topic"] - 1] > 0 for k, cs in ranked.items() for c in cs) and all(len(cs) == (w[k] > 0).sum() for k, cs in ranked.items())
+
+
+def test_repeated_loop_cuts_its_cells_once_and_moves_touched_blocks_only(spark, monkeypatch):
+    from keyloom.operators import loops
+
+    a, rows = sparse(spark)
+    w, h = mf.random_factors(spark, 23, 4, 1), mf.random_factors(spark, 19, 4, 2)
+    cut, put = [], []
+    monkeypatch.setattr(loops, "kept", lambda df, name="kept", by=(): cut.append(name) or kept(df, name, by))
+    first = loops._Stored.put
+    monkeypatch.setattr(loops._Stored, "put", lambda self, df, touched, *more: put.append(len(touched)) or first(self, df, touched, *more))
+    got = (w, h)
+    for _ in range(2):
+        got = mf.epoch(a, *got, slots=3)
+    assert cut == ["cells"]  # two epochs ship the cells once
+    assert len(put) == 2 * (2 + 3) and all(n == 6 for k, n in enumerate(put) if k % 5 > 1)
+    ts, tt = tile_size(19, 3), tile_size(23, 3)
+    turn = {(t.space, t.time): (t.step, t.slot, t.sub) for t in rotation(3, -(-19 // ts), -(-23 // tt))}
+    want = (vectors(w), vectors(h))
+    for _ in range(2):
+        want = serial_mf(rows, *want, 0.01, lambda r: (turn[(r[1] - 1) // ts, (r[0] - 1) // tt], r[1], r[0]))
+    assert same(vectors(got[0]), want[0]) and same(vectors(got[1]), want[1])
+    a.delete()
+    assert not a.tiled
+
+
+def test_loop_with_more_tiles_than_slots_and_equal_mass(spark):
+    a, rows = sparse(spark)
+    w, h = mf.random_factors(spark, 23, 4, 1), mf.random_factors(spark, 19, 4, 2)
+    body = mf.sgd_body(0.01)
+    want = serial_mf(rows, vectors(w), vectors(h), 0.01, lambda r: (r[1], r[0]))
+    for options in ({"parts": 5}, {"histogram_partitioned": True}, {"prefetch_disabled": True, "parts": 1}):
+        got, _ = parallel_for(a, body, {"W": w, "H": h}, ordered=True, slots=2, **options)
+        assert same(vectors(got["W"]), want[0]) and same(vectors(got["H"]), want[1]), options
+
+
+def test_groups_accumulators_and_indexes(spark):
+    from keyloom.operators.groups import Accumulator, carried
+    from keyloom.operators.loops import for_each_group
+    from keyloom.operators.partition import reindexed
+    from keyloom.plans.meta import IndexType
+
+    a, rows = sparse(spark)
+    got = for_each_group(a, (2,), lambda at, cells: iter([{"k": at[0], "total": sum(v for _, v in cells), "first": next(iter(()), None)}]), "k long, total double, first long")
+    assert all(math.isclose(r.total, sum(v for _, y, v in rows if y == r.k)) for r in got.collect()) and got.count() == len({y for _, y, _ in rows})
+    acc = Accumulator("+", 10)
+    assert math.isclose(acc.add(a.df, F.col("value")), 10 + sum(v for *_, v in rows)) and math.isclose(acc.add(a.df, F.lit(1.0)), acc.current)
+    assert acc.reset() == 10 == acc.current
+
+    def running(state, keys, value):
+        state["n"] = state.get("n", 0) + 1
+        return value + state["n"] * 0
+
+    assert carried(a, running, dict, "double").df.exceptAll(a.df).isEmpty()
+    assert reindexed(a, IndexType.RANGE).meta.partitioning.index is IndexType.RANGE
+    assert WriteBuffer(F.max).reset().delta(spark.createDataFrame([(1, 2.0), (1, 3.0)], "k1 long, update double"), ["k1"]).first().update == 5.0
