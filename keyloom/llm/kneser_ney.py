@@ -29,9 +29,9 @@ PRIOR_BYTES = 80
 CLASSES = 64
 
 
-def bytes_of(text: str) -> np.ndarray:
-    """A text's words, with a space before and after each, and a zero for the end."""
-    return np.frombuffer(b" ".join([b"", *text.encode().split(), b"\0"]), np.uint8)
+def bytes_of(texts: list[str]) -> np.ndarray:
+    """The texts' words, with two spaces before a text, one after each word, and a zero for the end."""
+    return np.frombuffer(b"".join([b" ".join([b" ", *t.encode().split(), b"\0"]) for t in texts]), np.uint8)
 
 
 def summed_counts(docs: DataFrame, size: int, places: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -41,10 +41,7 @@ def summed_counts(docs: DataFrame, size: int, places: Callable[[np.ndarray], np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for _, texts in slices(batches, text):
-            for t in texts:
-                at = places(bytes_of(t))
-                total += np.bincount(at, minlength=size) if len(at) > size else 0
-                np.add.at(total, at if len(at) <= size else [], 1)
+            total += np.bincount(places(bytes_of(texts)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["at", "n"])
 
@@ -88,9 +85,10 @@ def byte_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def class_triples(b: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Each byte but the first space, as a class, with the two classes before it; a space comes first of all."""
-    c = of[np.append(np.uint8(32), b)]
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+    """Each byte as a class, with the two classes before it, but for the two spaces that begin a text."""
+    c, ends = of[b], b == 0
+    triples = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+    return triples[~(ends[:-2] | ends[1:-1])]
 
 
 def letters_of(of: np.ndarray, counts: np.ndarray, triples: np.ndarray) -> Letters:

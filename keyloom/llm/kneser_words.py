@@ -41,7 +41,7 @@ class Rounds:
 
     triples: int = 3
     pairs: int = 6
-    scores: int = 8
+    scores: int = 6
 
 
 #: Keys of what comes before a text and after it.
@@ -64,23 +64,37 @@ def key_mask(size: int) -> int:
 
 
 def pack(spec: str, *arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: k ascending keys (one array at most), i counts."""
-    parts, zeros = [], 0
+    """Arrays of one length as bytes: k ascending keys (one array at most), i counts. Each has as many bytes as its largest number."""
+    parts, zeros, widths = [], 0, []
     for kind, a in zip(spec, arrays):
         if kind == "k":
             bits = int(np.bitwise_or.reduce(a)) if len(a) else 0
             zeros = max(0, (bits & -bits).bit_length() - 1)
             a = np.diff(a >> np.uint64(zeros), prepend=np.zeros(1, np.uint64))
-        parts.append(np.ascontiguousarray(a.astype("<u8" if kind == "k" else "<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
-    return (len(arrays[0]) << 8 | zeros).to_bytes(8, "little") + _ZSTD.compress(b"".join(parts), asbytes=True)
+        width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        widths.append(width)
+        if width == 1:
+            parts.append(a.astype(np.uint8).tobytes())
+        else:
+            planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)
+            parts += [planes[:, k].tobytes() for k in range(width)]
+    head = (len(arrays[0]) << 8 | zeros).to_bytes(8, "little") + bytes(widths)
+    return head + _ZSTD.compress(b"".join(parts), asbytes=True)
 
 
 def unpack(spec: str, blob: bytes) -> list[np.ndarray]:
-    head, out = int.from_bytes(blob[:8], "little"), []
+    head, widths, out, at = int.from_bytes(blob[:8], "little"), blob[8 : 8 + len(spec)], [], 0
     n, zeros = head >> 8, np.uint64(head & 255)
-    data = np.frombuffer(_ZSTD.decompress(blob[8:], 8 * n * len(spec), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    for k, kind in enumerate(spec):
-        a = np.ascontiguousarray(data[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).reshape(-1).view(np.int64 if kind == "i" else np.uint64)
+    data = np.frombuffer(_ZSTD.decompress(blob[8 + len(spec) :], n * sum(widths), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    for kind, width in zip(spec, widths):
+        if width == 1:
+            a = data[at : at + n].astype(np.uint64 if kind == "k" else np.int64)
+        else:
+            planes = np.zeros((n, 8), np.uint8)
+            for k in range(width):
+                planes[:, k] = data[at + k * n : at + (k + 1) * n]
+            a = planes.reshape(-1).view(np.uint64 if kind == "k" else np.int64)
+        at += width * n
         out.append(np.cumsum(a, dtype=np.uint64) << zeros if kind == "k" else a)
     return out
 
@@ -451,8 +465,7 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
     """Bits of each document's words and end. ``own``: whether it is scored without what it holds itself.
 
     ``spelt``: bits of each word's letters. ``triples`` (n), ``pairs`` and ``words`` (n, N and the three classes): counts of
-    the chunk's keys. The words' total and the share it leaves to spelling are those of all documents either way. In
-    logarithms, as the spelling of a long word is less likely than a double can say.
+    the chunk's keys. The words' total and the share it leaves to spelling are those of all documents either way.
     """
     n3, n2, n1 = triples[0][chunk.triple], pairs[0][chunk.pair], words[0][chunk.word]
     c3, c2 = pairs[1:, chunk.context], words[1:, chunk.before]
@@ -478,18 +491,25 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
         _, of = in_doc(chunk.word, len(chunk.word_keys))
         gone = np.bincount(of[pair_at], ((after == 0) & (before > 0)).astype(float), of.max() + 1).astype(np.int64)
         n1[here] -= gone[of]
-    with np.errstate(divide="ignore"):
-        p = -spelt[chunk.word]
+    p = -spelt[chunk.word]
+    with np.errstate(divide="ignore", under="ignore"):
         if d.total:
-            p = np.logaddexp2(np.log2((n1 - d.word[np.minimum(n1, 3)]) / d.total), math.log2(d.spare) + p)
+            p = np.log2((n1 - d.word[np.minimum(n1, 3)]) / d.total + d.spare * np.exp2(p))
+            long = np.flatnonzero(~np.isfinite(p))  # words whose spelling is less likely than a double can say
+            p[long] = math.log2(d.spare) - spelt[chunk.word[long]]
         p = _mixed(n3, c3, d.triple, _mixed(n2, c2, d.pair, p))
     return np.where(chunk.sizes > 0, -np.bincount(chunk.doc, p, len(chunk.sizes)), 0.0)
 
 
 def _mixed(n: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    whole = np.maximum(c[0], 1)
-    left = np.where(c[0] > 0, (d[1] * c[1] + d[2] * c[2] + d[3] * c[3]) / whole, 1.0)
-    return np.logaddexp2(np.log2(np.where(c[0] > 0, (n - d[np.minimum(n, 3)]) / whole, 0.0)), np.log2(left) + lower)
+    """Logarithms of the shares of a level; where a context wasn't seen, the lower level's as they are."""
+    out = lower.copy()
+    seen = np.flatnonzero(c[0] > 0)
+    n, c, lower = n[seen], c[:, seen], lower[seen]
+    left = d[1] * c[1] + d[2] * c[2] + d[3] * c[3]
+    share = ((n - d[np.minimum(n, 3)]) + left * np.exp2(lower)) / c[0]
+    out[seen] = np.where(share > 0, np.log2(share), np.log2(left / c[0]) + lower)
+    return out
 
 
 def take_off(c: np.ndarray, here: np.ndarray, of: np.ndarray, to: np.ndarray, lost: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:

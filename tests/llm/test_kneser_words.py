@@ -58,7 +58,7 @@ def letters_of(spark, texts):
 def test_letters_against_the_definition(spark):
     texts = ["abracadabra abra", "héllo  abc", "", "cab\ncab"]
     model = letters_of(spark, texts)
-    counts = Counter(x for t in texts for x in b" " + b"".join(w.encode() + b" " for w in t.split()) + b"\0")
+    counts = Counter(x for t in texts for x in b"  " + b"".join(w.encode() + b" " for w in t.split()) + b"\0")
     p = letters_by_hand(texts, model.of, counts)
     space = model.of[32]
     for a, b, byte in ((space, space, 97), (model.of[97], model.of[98], 114), (model.of[98], space, 0), (space, space, 200), (5, 60, 98)):
