@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import resident, written
+from keyloom.llm.common import resident, unused, written
 
 #: Rows that one task ranks within a length; more of one length are parted by a hash first.
 RANKED_ROWS = 200_000
 
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of words that a worker remembers, in two generations of half of it each; and of the longest one.
+REMEMBERED_BYTES, LONGEST = 64 << 20, 256
+
+#: Bytes that a remembered word takes beside its own and its ids'.
+ENTRY_BYTES = 170
 
 
 # tokens
@@ -41,11 +44,12 @@ REMEMBERED = 400_000
 class WordTokenizer:
     """Ids of a tokenizer that drops white space and case, from remembered ids of the words between ASCII white space.
 
-    Words are remembered in two generations: when the younger is full it becomes the older, and what is used again moves
-    back. A word that ends in a letter and a full stop or comma is that of its letters, then that of the mark.
+    Words are remembered in two generations: when the younger has its bytes it becomes the older, and what is used again
+    moves back. Longer words than LONGEST are encoded each time. A word that ends in a letter and a full stop or comma is
+    that of its letters, then that of the mark.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_bytes: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -53,6 +57,10 @@ class WordTokenizer:
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.bytes, self.most_bytes = 0, most_bytes
+        self.long: dict[bytes, bytes] = {}  # of the texts at hand
+        special = next((t.content for t in self.library.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")), None)
+        self.mark, self.mark_id = (special.encode(), self.library.token_to_id(special)) if special else (b"", -1)
         self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
 
     def words(self, text: str) -> list[bytes]:
@@ -60,34 +68,54 @@ class WordTokenizer:
         return (raw if b"<|" in raw else raw.lower()).split()
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """Ids of each word, as the library gives them for the word alone: many at a time, parted by a special token where there is one."""
+        out: dict[bytes, bytes] = {}
+        alone = [w for w in words if b"<|" in w] if self.mark else words
+        joined = [w for w in words if b"<|" not in w] if self.mark else []
+        for at in range(0, len(joined), 512):
+            part = joined[at : at + 512]
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, a = ids.tobytes(), 0
+            for word, b in zip(part, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(raw)], strict=True):
+                out[word] = raw[a:b]
+                a = b + 4
+        for word in alone:
+            out[word] = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return [out[w] for w in words]
+
+    def _remember(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids))
+        self.bytes += sum(map(len, words)) + sum(map(len, ids)) + ENTRY_BYTES * len(words)
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        missing: set[bytes] = set()
-        for words in texts:
-            missing.update(set(words).difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.older, self.known = self.known, {}
-            missing = {w for words in texts for w in words}
+        """Makes sure of the ids of all words of ``texts``, of about a megabyte."""
+        distinct: set[bytes] = set().union(*texts)
+        self.long = {}
+        if long := [w for w in distinct if len(w) > LONGEST]:
+            self.long = dict(zip(long, self._encode(long)))
+            distinct.difference_update(long)
+        missing = distinct.difference(self.known)
+        if self.bytes + sum(map(len, missing)) * 2 + ENTRY_BYTES * len(missing) > self.most_bytes // 2:
+            self.older, self.known, self.bytes = self.known, {}, 0
+            missing = distinct
         known, older = self.known, self.older
+        again = [w for w in missing if w in older]
+        self._remember(again, [older[w] for w in again])
         new, marked = set(), []
-        for word in missing:
-            ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-            elif word[-1:] in self.marks and word[-2:-1].isalpha():
+        for word in missing.difference(again):
+            if word[-1:] in self.marks and word[-2:-1].isalpha():
                 marked.append(word)
                 if word[:-1] not in known:
                     new.add(word[:-1])
             else:
                 new.add(word)
         part = list(new)
-        for at in range(0, len(part), 20_000):
-            known.update(zip(part[at : at + 20_000], self._encode(part[at : at + 20_000])))
-        for word in marked:
-            known[word] = known[word[:-1]] + self.marks[word[-1:]]
+        self._remember(part, self._encode(part))
+        self._remember(marked, [known[w[:-1]] + self.marks[w[-1:]] for w in marked])
 
     def encode(self, words: list[bytes]) -> bytes:
+        if self.long:
+            return b"".join([self.long[w] if len(w) > LONGEST else self.known[w] for w in words])
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -102,13 +130,13 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
     A document is the ids of its whole text, then ``end_id``; null and empty texts are that one id. Only longer ones are cut.
     ``path``: a tokenizer whose ids depend neither on white space around a word nor on its case, and that parts letters from marks.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "piece", "start", "length", "ids")]
+    keep, plain = [c for c in docs.columns if c not in (text_col, "piece", "start", "length", "ids")], unused(docs, "text")
     schema = docs.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for part, texts in slices(batches, "_text", 1 << 20):
+        for part, texts in slices(batches, plain, 1 << 20):
             split = [tokenizer.words(t) for t in texts]
             tokenizer.learn(split)
             rows, pieces, starts, ids = [], [], [], []
@@ -125,7 +153,7 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
                 [*keep, "piece", "start", "length", "ids"],
             )
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias(plain)).mapInArrow(run, schema)
 
 
 # the plan
@@ -311,36 +339,38 @@ def places(classes: Classes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarr
 # the pieces
 
 
-def ranked(pieces: DataFrame, by: str, order: list[str], rows: int | None = None) -> DataFrame:
-    """``pieces`` with ``_rank``: from 0, gapless, within each value of ``by``. No task ranks a whole value that is frequent.
+def ranked(pieces: DataFrame, by: str, rows: int, rank: str) -> DataFrame:
+    """``pieces`` with ``rank``: from 0, gapless, within each value of ``by``. No task ranks a whole value that is frequent.
 
-    A value's rows are parted by a hash of ``order``; the parts' sizes give where each part starts.
+    A value's rows are parted by a hash of their places, so rows alike are parted as well; the parts' sizes give where each
+    part starts. ``pieces`` must be a written table: its rows have the same places when it is read again.
     """
-    rows = pieces.count() if rows is None else rows
     parts = max(1, -(-rows // RANKED_ROWS))
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = pieces.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))
-    return pieces.withColumn("_at", within).join(starts, [by, "_part"]).withColumn("_rank", F.col("_from") + F.col("_at") - 1).drop("_at", "_from", "_part")
+    part, row, many, first, at = (unused(pieces, x) for x in ("part", "row", "many", "first", "at"))
+    pieces = pieces.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.pmod(F.xxhash64(row), F.lit(parts)).cast("int"))
+    sizes = pieces.groupBy(by, part).agg(F.count(F.lit(1)).alias(many))
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(by, part, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy(by, part).orderBy(row))
+    return pieces.withColumn(at, within).join(starts, [by, part]).withColumn(rank, F.col(first) + F.col(at) - 1).drop(at, first, part, row)
 
 
-def place(pieces: DataFrame, order: list[str], capacity: int = 2048, groups: int = 48) -> DataFrame:
-    """``pieces`` (any columns, with ``length``) with sequence_id and offset. Read three times: pass a written table.
+def place(pieces: DataFrame, capacity: int = 2048, groups: int = 48) -> DataFrame:
+    """``pieces`` (any columns, with ``length``) with sequence_id and offset, in place of columns named so.
 
-    Every piece is placed, in a sequence of at most ``capacity``, gapless from 0. ``order``: columns that tell pieces apart;
-    rows alike in them take different places, in any order. Lengths must be 1 to ``capacity``. An empty table stays empty.
+    ``pieces`` must be a written table; it is read three times. Every piece is placed, in a sequence of at most ``capacity``,
+    gapless from 0; rows alike take different places. Lengths must be 1 to ``capacity``. An empty table stays empty.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     histogram = {int(k): int(n) for k, n in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     rows = sum(histogram.values())
     table = places(plan(histogram, capacity, groups))
     schema = T.StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    names = pieces.columns
+    names, rank = pieces.columns, unused(pieces, "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            lengths, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", rank))
             sequences, offsets = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for k in np.unique(lengths):
                 here = np.flatnonzero(lengths == k)
@@ -350,7 +380,7 @@ def place(pieces: DataFrame, order: list[str], capacity: int = 2048, groups: int
                 offsets[here] = offset[at]
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(sequences), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
-    return ranked(pieces, "length", order, rows).select(*names, "_rank").mapInArrow(run, schema)
+    return ranked(pieces, "length", rows, rank).select(*names, rank).mapInArrow(run, schema)
 
 
 def packed_sequences(placed: DataFrame) -> DataFrame:
@@ -360,8 +390,12 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", joined.alias("ids"), F.size("p").alias("pieces"))
 
 
-def best_fit_packing(docs: DataFrame, path: str, id_col: str = "doc_id", capacity: int = 2048, keep_ids: bool = True) -> DataFrame:
-    """Packs whole documents: one row per piece with its place. Without ``keep_ids``, only their CRC-32 is kept (ids_crc32)."""
-    pieces = token_pieces(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = written(pieces if keep_ids else pieces.drop("ids"), "pieces")
-    return place(pieces, [c for c in (id_col, "piece", "ids_crc32") if c in pieces.columns], capacity)
+def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, keep_ids: bool = True, text_col: str = "text") -> DataFrame:
+    """Packs whole documents: one row per piece, with the columns of ``docs`` but the text, piece, start, length, ids, ids_crc32, sequence_id and offset.
+
+    Without ``keep_ids``, only the CRC-32 of the ids is kept. Null and empty texts are the end's id alone; repeated rows are
+    packed one by one; null ids and other columns pass through, but columns named as those above are replaced. An
+    empty table gives no rows.
+    """
+    pieces = token_pieces(docs.drop("ids_crc32"), path, capacity, text_col=text_col).withColumn("ids_crc32", F.crc32("ids"))
+    return place(written(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
