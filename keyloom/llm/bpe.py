@@ -6,7 +6,7 @@ depth-first order of their trie: the stack holds the nodes of the current path,
 leaves the word before it.
 
 At a node, a token that ends there is the last one if it and the last token of the prefix before it stay apart under
-the merges. Of all candidates exactly one does.
+the merges. Of all candidates exactly one does: the published test of whether two tokens may stand side by side.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import resident
+from keyloom.llm.common import resident, unused
 
 #: Pieces of the byte-level pre-tokenizer; white space by its Unicode property, as \\s of the engines differs.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Most words that a worker remembers; beyond it, its memory starts afresh.
-REMEMBERED = 600_000
+#: Bytes of words that a worker remembers, and what one takes beside its own and its ids'; beyond it, its memory starts afresh.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 180
+
+#: Characters of the longest word that is remembered, and pairs of tokens.
+LONGEST, PAIRS = 256, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,7 +42,7 @@ def byte_letters() -> dict[str, int]:
 class TrieBpe:
     """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE, merges in the order of ids)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_bytes: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -63,16 +66,17 @@ class TrieBpe:
         self.lengths = {end: sorted(set(n), reverse=True) for end, n in self.by_end.items()}
         self.pieces = regex.compile(PIECES)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both tokens in one number
         self.first: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
+        self.bytes, self.most_bytes = 0, REMEMBERED_BYTES if most_bytes is None else most_bytes
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether no merge across their border would come before the merges that make tokens a and b."""
-        known = self.apart.get((a, b))
+        key, limit, answer = a << 32 | b, len(self.bytes_of) + 1, True
+        known = self.apart.get(key)
         if known is not None:
             return known
-        key, limit, answer = (a, b), len(self.bytes_of) + 1, True
         while True:
             if self.merged.get((a, b), limit) < limit:
                 answer = False
@@ -89,7 +93,7 @@ class TrieBpe:
                     limit, a = a, self.parts[a][1]
                     if a == limit:
                         break
-        if len(self.apart) > 4_000_000:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         self.apart[key] = answer
         return answer
@@ -110,7 +114,7 @@ class TrieBpe:
                     token = ids.get(word[end - n : end])
                     if token is None:
                         continue
-                    if n < end and not (known if (known := apart.get((last[end - n], token))) is not None else stay(last[end - n], token)):
+                    if n < end and not (known if (known := apart.get(last[end - n] << 32 | token)) is not None else stay(last[end - n], token)):
                         continue
                     last.append(token)
                     break
@@ -124,34 +128,38 @@ class TrieBpe:
 
     def _learn(self, chunks: set[str], into: dict[str, bytes], lead: str) -> None:
         """Ids of whole chunks of text (each after ``lead``), from the pieces that the pre-tokenizer cuts."""
-        if len(into) + len(chunks) > REMEMBERED:
-            into.clear()
+        if self.bytes + sum(map(len, chunks)) * 2 + ENTRY_BYTES * len(chunks) > self.most_bytes:
+            self.first.clear()
+            self.after_space.clear()
+            self.bytes = 0
         cut = {c: [p.encode() for p in self.pieces.findall(lead + c)] for c in chunks}
         ids = self.encode_words({p for pieces in cut.values() for p in pieces})
         for c, pieces in cut.items():
-            into[c] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+            into[c] = own = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+            self.bytes += len(c) + len(own) + ENTRY_BYTES
 
     def _plain(self, text: str) -> bytes:
         """Ids of text without special tokens. Before a space that follows no white space, or that black space follows, pieces part."""
         first, *rest = text.split(" ")
         missing = set(rest).difference(self.after_space)
-        if "" in missing or any(w[0].isspace() for w in missing):
+        if len(first) > LONGEST or any(not w or len(w) > LONGEST or w[0].isspace() for w in missing):
             ids = self.encode_words({p.encode() for p in self.pieces.findall(text)})
             return b"".join([ids[p.encode()] for p in self.pieces.findall(text)])
-        if missing:
+        if first not in self.first:
+            self._learn({first}, self.first, "")
+        head = self.first[first]
+        if missing := set(rest).difference(self.after_space):
             self._learn(missing, self.after_space, " ")
             if missing := set(rest).difference(self.after_space):  # the memory started afresh
                 self._learn(missing, self.after_space, " ")
-        if first not in self.first:
-            self._learn({first}, self.first, "")
-        return self.first[first] + b"".join(map(self.after_space.__getitem__, rest))
+        return head + b"".join(map(self.after_space.__getitem__, rest))
 
     def learn_batch(self, texts: list[str]) -> None:
         """Words of many texts at once, so that one trie holds them all."""
         missing: set[str] = set()
         for text in texts:
             missing |= set(text.split(" ")[1:]).difference(self.after_space)
-        missing = {w for w in missing if w and not w[0].isspace()}
+        missing = {w for w in missing if w and len(w) <= LONGEST and not w[0].isspace()}
         if missing:
             self._learn(missing, self.after_space, " ")
 
@@ -185,16 +193,17 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 4 << 20
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` without the text, with ``ids_col`` (binary: little-endian unsigned 32-bit ids) and, if named, the text decoded from them.
 
-    No shuffle; whole texts; a null text counts as empty, of no ids. Other columns pass through. An empty table stays empty.
+    No shuffle; whole texts; a null text counts as empty, of no ids. Other columns pass through, whatever their names;
+    repeated rows are encoded one by one. An empty table stays empty.
     """
-    keep = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)]
+    keep, plain = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)], unused(docs, "text")
     schema = docs.select(*keep).schema.add(ids_col, "binary")
     if decoded_col:
         schema = schema.add(decoded_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, plain):
             bpe.learn_batch(texts)
             ids = [bpe.encode(t) for t in texts]
             columns = [part.column(k) for k in range(len(keep))] + [pa.array(ids, pa.binary())]
@@ -204,7 +213,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
                 names.append(decoded_col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias(plain)).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
