@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import resident
+from keyloom.llm.common import resident, unused
 
 #: Bound of the training sample: documents of each class, and bytes of text in all.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 16 << 20
@@ -40,7 +40,11 @@ WARM_UP = 3
 #: A window counts each word once, and as many n-grams at least: so a word that fills a text weighs no more than elsewhere.
 LEAST_GRAMS = 100
 
-REMEMBERED = 600_000
+#: Bytes of words that a worker remembers before it starts afresh, and what one takes beside its own.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 190
+
+#: Characters of a word whose n-grams are found at once; longer words are taken piece by piece.
+PIECE = 1 << 16
 
 _PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - (ROWS.bit_length() - 1))
@@ -56,12 +60,16 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join([f"<{w}>" for w in words])
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
-    end_of = ends[owner]
-    at = np.arange(len(code))
+    rows, owners = _grams_of_codes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes)[owner], owner)
+    order = np.argsort(owners, kind="stable")
+    return rows[order], np.bincount(owners, minlength=len(words))
+
+
+def _grams_of_codes(code: np.ndarray, end_of: np.ndarray, owner: np.ndarray, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and owners of the n-grams that end by ``end_of``, and that start below a place if one is given."""
+    code, at = code.astype(np.uint64), np.arange(len(code))
     rows, owners = [], []
     state = np.zeros(len(code), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -70,11 +78,21 @@ def _word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         state = (state ^ shifted) * _PRIME + np.uint64(n)
         if n in GRAMS:
             fits = at + n <= end_of
+            if below is not None:
+                fits &= at < below
             rows.append(((state[fits] * _MIX) >> _SHIFT).astype(np.int32))
             owners.append(owner[fits])
-    all_rows, all_owners = np.concatenate(rows), np.concatenate(owners)
-    order = np.argsort(all_owners, kind="stable")
-    return all_rows[order], np.bincount(all_owners, minlength=len(words))
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+def margin_sum(word: str, margin: np.ndarray) -> tuple[float, int]:
+    """Sum of the margins of a long word's n-grams and how many it has, in pieces that overlap by less than an n-gram."""
+    code, total, many = "<" + word + ">", 0.0, 0
+    for a in range(0, len(code), PIECE):
+        part = code[a : a + PIECE + max(GRAMS) - 1]
+        at, _ = _grams_of_codes(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), np.full(len(part), len(part)), np.zeros(len(part), np.int64), PIECE)
+        total, many = total + float(margin[at].sum(dtype=float)), many + len(at)
+    return total, many
 
 
 def words_of(text: str) -> list[str]:
@@ -90,6 +108,11 @@ class Model:
     shift: float
 
 
+def size_of(words) -> int:
+    """Bytes that words take where they are remembered, about; one may have four for a character."""
+    return sum(map(len, words)) * 2 + ENTRY_BYTES * len(words)
+
+
 class Scorer:
     """Windows' margins from remembered sums of words."""
 
@@ -99,13 +122,19 @@ class Scorer:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.bytes = 0
         self.sums, self.counts = np.zeros(0), np.zeros(0)
 
     def learn(self, words: set[str]) -> None:
-        new = list(words)
+        new, long = [w for w in words if len(w) <= PIECE], [w for w in words if len(w) > PIECE]
         rows, counts = word_grams(new)
         ends = np.cumsum(counts)
         sums = np.add.reduceat(self.model.margin[rows].astype(float), ends - counts) if len(rows) else np.zeros(0)
+        if long:
+            got = [margin_sum(w, self.model.margin) for w in long]
+            sums, counts = np.append(sums, [g[0] for g in got]), np.append(counts, [g[1] for g in got])
+            new += long
+        self.bytes += size_of(new)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
 
@@ -115,7 +144,7 @@ class Scorer:
         for d in docs:
             missing |= set(d).difference(self.index)
         if missing:
-            if len(self.index) + len(missing) > REMEMBERED:
+            if self.bytes + size_of(missing) > REMEMBERED_BYTES:
                 self.forget()
                 missing = {w for d in docs for w in d}
             self.learn(missing)
@@ -252,38 +281,60 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """Share of toxic labels among all not held out; before it, whole texts and labels of at most ``most`` documents of each class, in the order of a hash, while they stay within ``most_bytes``."""
-    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"), F.xxhash64("doc_id").alias("_order"))
-    share = labels.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0] or 0.0
-    chosen = None
+    """Whole texts and labels of at most ``most`` documents of each class, and the share of toxic ones among all labels.
+
+    Only labels of ids that aren't held out count. Documents are taken in the order of a hash of their ids while they stay within half of ``most_bytes``
+    for each class; one that doesn't fit is left out, and those after it may still. An id has one text, its shortest. If
+    there are documents of a class but none fits, that is an error.
+    """
+    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "toxic", F.xxhash64("doc_id").alias("order"))
+    share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    labels, chosen = labels.distinct(), None
     for value in (0, 1):
-        part = labels.where(F.col("_toxic") == value).orderBy("_order", "_id").limit(most)
+        part = labels.where(F.col("toxic") == value).orderBy("order", "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most 2 * most rows of 20 bytes
-    found = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_order", F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), "_toxic")
-    sizes = found.select("_order", F.octet_length("_text").alias("n")).groupBy("_order").agg(F.sum("n").alias("n")).toPandas().sort_values("_order")
-    within = sizes.loc[sizes.n.cumsum() <= most_bytes, "_order"].tolist() if len(sizes) else []
-    allowed = docs.sparkSession.createDataFrame(pa.table({"_order": pa.array(within, pa.int64())}))
-    rows = found.join(F.broadcast(allowed), "_order").select("_order", "_text", "_toxic").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in rows], [int(r[2]) for r in rows], share
+    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("words")).join(F.broadcast(chosen), "id")
+    shortest = found.groupBy("order", "id", "toxic").agg(F.min(F.struct(F.octet_length("words").alias("n"), F.xxhash64("words").alias("mark"))).alias("s")).select("order", "id", "toxic", "s.*")
+    within = []
+    sizes = sorted(shortest.collect())  # at most 2 * most rows
+    for value in (0, 1):
+        left, own = most_bytes // 2, [r for r in sizes if r["toxic"] == value]
+        for r in own:
+            if r["n"] <= left:
+                left -= r["n"]
+                within.append(r)
+        if own and not any(r["toxic"] == value for r in within):
+            raise ValueError(f"no document of class {value} has at most {most_bytes // 2} bytes to learn from")
+    if not within:
+        return [], [], share
+    allowed = docs.sparkSession.createDataFrame(within, shortest.schema)
+    same = (found["id"] == allowed["id"]) & (found["toxic"] == allowed["toxic"]) & (F.octet_length(found["words"]) == allowed["n"]) & (F.xxhash64(found["words"]) == allowed["mark"])
+    rows = found.join(F.broadcast(allowed), same, "left_semi").groupBy("order", "id", "toxic").agg(F.min("words").alias("words")).collect()  # within most_bytes
+    rows.sort()
+    return [r["words"] for r in rows], [int(r["toxic"]) for r in rows], share
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` without the text, with ``score_col`` (double, 0 to 1) of whole texts. Null and empty texts score as a window without words."""
-    keep = [c for c in docs.columns if c not in (text_col, score_col)]
+    keep, plain = [c for c in docs.columns if c not in (text_col, score_col)], unused(docs, "text")
     schema = docs.select(*keep).schema.add(score_col, "double")
     sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key  # 2**18 floats: 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = resident(f"toxicity-{key}", lambda: Scorer(sent.value))
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, plain):
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(own.scores(texts))], [*keep, score_col])
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias(plain)).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with score: labels, of documents not held out, are learned; no other column is an input."""
+    """``docs`` without the text, with score: labels, of documents not held out, are learned; no other column is an input.
+
+    Null and empty texts score as a window without words; null ids aren't learned from and repeated rows are scored one by
+    one, each the same; labels other than 0 and 1 don't count, and without labels of both classes all scores are equal. A
+    column named score is replaced, others may have any name. An empty table stays empty.
+    """
     model = train(*training_sample(docs, labels, id_col=id_col, text_col=text_col))
     return score(docs, model, text_col)
