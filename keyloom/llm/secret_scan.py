@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import maybe_broadcast, written
+from keyloom.llm.common import BROADCAST_BYTES, unused, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -23,7 +23,7 @@ KINDS = (
 )
 BASE = ("assign", "access", "hex")
 
-#: A value is live if no more owners and repositories than these have it.
+#: A value is live if no more owners than these have it, and if two have it, in no more repositories than these.
 MOST_OWNERS, MOST_REPOSITORIES = 2, 10
 
 LIVE = "live"
@@ -44,34 +44,53 @@ def looks_random(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike("(?i)example|sample|changeme|placeholder|x{6}|0{8}|12345678")
 
 
-def scan(docs: DataFrame, owner_col: str | None = "source", repository_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (``_row`` and the id, one per document) and spans (``_row``, kind, start, end, value, live).
-
-    start, end: code points, end exclusive, of the whole match; the value is its last part. A null owner is an owner of
-    its own; without ``repository_col`` each document is a repository. Null texts count as empty.
-    """
+def candidates(docs: DataFrame, keep: list[str], owner_col: str | None, repository_col: str | None, text_col: str) -> DataFrame:
+    """_row, row (struct of the ``keep`` columns), owner, repository and the matches of each kind, written: one row per document."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     owner = F.coalesce(docs[owner_col].cast("string"), F.lit("")) if owner_col else F.lit("")
-    repository = F.coalesce(docs[repository_col if repository_col else id_col].cast("string"), F.lit(""))
-    found = docs.select(
-        docs[id_col], F.monotonically_increasing_id().alias("_row"), owner.alias("_owner"), repository.alias("_repository"), text.alias("_text")
-    ).select(id_col, "_row", "_owner", "_repository", *[matches(F.col("_text"), pattern, group).alias(kind) for kind, pattern, group, _ in KINDS])
-    found = written(found, "candidates")
+    repository = F.coalesce(docs[repository_col].cast("string"), F.lit("")) if repository_col else F.xxhash64(text).cast("string")
+    row = F.struct(*[docs[c] for c in keep], F.lit(True).alias(unused(docs, "there")))
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), row.alias("row"), owner.alias("owner"), repository.alias("repository"), text.alias("text"))
+    kinds = [matches(F.col("text"), pattern, group).alias(kind) for kind, pattern, group, _ in KINDS]
+    return written(found.select("_row", "row", "owner", "repository", *kinds), "candidates")
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """_row, owner, repository, kind, start, end, value, hash, random of all candidates that are long enough, written."""
     every = None
     for kind, _, _, least in KINDS:
-        part = found.where(F.col(kind).isNotNull()).select("_row", "_owner", "_repository", F.posexplode(kind).alias("_k", "m"))
-        before = Window.partitionBy("_row").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+        part = found.where(F.col(kind).isNotNull()).select("_row", "owner", "repository", F.posexplode(kind).alias("k", "m"))
+        before = Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum(F.col("m.gap") + F.col("m.length")).over(before)
-        part = part.select("_row", "_owner", "_repository", F.lit(kind).alias("kind"), (end - F.col("m.length")).alias("start"), end.alias("end"), F.col("m.value").alias("value"))
+        part = part.select("_row", "owner", "repository", F.lit(kind).alias("kind"), (end - F.col("m.length")).alias("start"), end.alias("end"), F.col("m.value").alias("value"))
         part = part.where(F.length("value") >= least)
         every = part if every is None else every.unionByName(part)
-    spans = written(every.withColumn("_hash", F.xxhash64("value")).withColumn("_random", looks_random(F.col("value"))), "spans")
-    random = spans.where("_random").select("_hash", "_owner", "_repository")
-    owners = random.select("_hash", "_owner").distinct().groupBy("_hash").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") <= MOST_OWNERS)
-    repositories = random.select("_hash", "_repository").distinct().groupBy("_hash").agg(F.count(F.lit(1)).alias("repositories")).where(F.col("repositories") <= MOST_REPOSITORIES)
-    live = owners.join(repositories, "_hash").select("_hash", F.lit(True).alias("_live"))
-    judged = spans.join(live, "_hash", "left").withColumn("live", F.col("_random") & F.coalesce("_live", F.lit(False)))
-    return found.select("_row", id_col), judged.select("_row", "kind", "start", "end", "value", "live")
+    return written(every.withColumn("hash", F.sha2("value", 256)).withColumn("random", looks_random(F.col("value"))), "spans")
+
+
+def live_hashes(spans: DataFrame) -> DataFrame:
+    """hash of the values that are live: by owners and repositories over the corpus that ``spans`` are of.
+
+    Copies of a text are one repository, so that copying it doesn't make its secrets examples; whoever has a copy is an
+    owner. Rows are made distinct before they are counted, so a value in a third of all rows is few.
+    """
+    pairs = spans.where("random").select("hash", "owner", "repository").distinct()
+    counts = pairs.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
+    return counts.where((F.col("owners") <= MOST_OWNERS) & ((F.col("owners") == 1) | (F.col("repositories") <= MOST_REPOSITORIES))).select("hash", F.lit(True).alias("known"))
+
+
+def scan(docs: DataFrame, owner_col: str | None = "source", repository_col: str | None = None, keep: list[str] | None = None, text_col: str = "text", corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (_row and row, a struct of the ``keep`` columns, one per document) and spans (_row, kind, start, end, value, live).
+
+    start, end: code points, end exclusive, of the whole match; the value is its last part. A null owner is an owner of
+    its own; without ``repository_col`` each distinct text is a repository. Null texts count as empty. ``corpus``: where
+    owners are counted, with the same columns; the documents themselves if it isn't given.
+    """
+    found = candidates(docs, keep or [], owner_col, repository_col, text_col)
+    spans = spans_of(found)
+    counted = spans if corpus is None else spans_of(candidates(corpus, [], owner_col, repository_col, text_col))
+    judged = spans.join(live_hashes(counted), "hash", "left").withColumn("live", F.col("random") & F.coalesce("known", F.lit(False)))
+    return found.select("_row", "row"), judged.select("_row", "kind", "start", "end", "value", "live")
 
 
 def joined(spans: Column) -> Column:
@@ -79,13 +98,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, owner_col: str | None = "source", repository_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_assign, n_access, n_hex, base, spans, n_live.
+def secret_spans(docs: DataFrame, owner_col: str | None = "source", repository_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
+    """One row per document: its id, n_assign, n_access, n_hex, n_live, base, spans.
 
     base: kind:start:end of the base spans. spans: these, and of each live value ``live:start:end`` of the value alone.
-    Documents without spans have zeros and empty strings; an empty table stays empty.
+    Documents without spans have zeros and empty strings; repeated rows and null ids have a row each; columns of any names
+    may be there; an empty table stays empty.
     """
-    rows, spans = scan(docs, owner_col, repository_col, id_col, text_col)
+    rows, spans = scan(docs, owner_col, repository_col, [id_col], text_col, corpus)
     order = F.element_at(F.create_map(*[x for k, kind in enumerate((*BASE, LIVE)) for x in (F.lit(kind), F.lit(k))]), F.col("kind"))
     entry = F.struct("start", order.alias("order"), "end", "kind")
     base = spans.where(F.col("kind").isin(*BASE)).select("_row", "kind", "start", "end")
@@ -95,15 +115,21 @@ def secret_spans(docs: DataFrame, owner_col: str | None = "source", repository_c
         joined(F.collect_list(F.when(F.col("kind") != LIVE, F.col("e")))).alias("base"), joined(F.collect_list("e")).alias("spans"),
     )
     none = {f"n_{kind}": 0 for kind in (*BASE, LIVE)} | {"base": "", "spans": ""}
-    return rows.join(per, "_row", "left").na.fill(none).drop("_row")
-
-
-def redact_live(docs: DataFrame, owner_col: str = "source", repository_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs``, all rows and columns, with ``mark`` in place of each live value in the texts that have it. Examples stay."""
-    rows, spans = scan(docs, owner_col, repository_col, id_col, text_col)
-    live = spans.where("live").select("_row", "value").distinct()
-    per = live.join(rows, "_row").groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("_live"))
-    per = written(per, "live-values")
-    out = docs.join(maybe_broadcast(per, 256), docs[id_col].eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate("_live", F.col(text_col), lambda text, v: F.replace(text, v["value"], F.lit(mark)))
-    return out.select(*[F.when(F.col("_live").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return rows.join(per, "_row", "left").na.fill(none).select(F.col("row").getField(id_col).alias(id_col), *none)
+
+
+def redact_live(docs: DataFrame, owner_col: str = "source", repository_col: str | None = None, text_col: str = "text", mark: str = "[SECRET]", corpus: DataFrame | None = None) -> DataFrame:
+    """``docs``, all rows and columns, with ``mark`` in place of each live value, wherever in the rows that have it. Examples stay.
+
+    ``corpus``: where owners are counted, such as the documents before they were deduplicated. The values of a row go to it by
+    its place; they are broadcast if their bytes are few, else the rows are shuffled once. Nulls, repeated rows and columns
+    of any names stay as they are; an empty table stays empty.
+    """
+    rows, spans = scan(docs, owner_col, repository_col, docs.columns, text_col, corpus)
+    live = written(spans.where("live").select("_row", "value").distinct(), "live-values")
+    size = live.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
+    per = live.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value"))).alias("live"))
+    out = rows.join(F.broadcast(per) if size <= BROADCAST_BYTES else per, "_row", "left")
+    text = F.col("row").getField(text_col)
+    clean = F.aggregate("live", text, lambda t, v: F.replace(t, v["value"], F.lit(mark)))
+    return out.select(*[F.when(F.col("live").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -96,6 +96,24 @@ def test_secrets_odd(spark, odd, none):
     assert secret_spans(none).count() == 0 and redact_live(none).count() == 0
 
 
+def test_texts_of_one_owner_do_not_make_examples(spark):
+    """One owner's key in fifteen texts, and in a third of all rows as copies, is live; of two owners' in eleven texts it isn't."""
+    one, two = "q7Xv9Kd2Lm4Pz8Rt", "w3Ye5Uj6Hn1Bg0Vc"
+    rows = [(k, f"token={one} {k % 15}", "one") for k in range(40)] + [(50 + k, f"password={two} {k}", f"s{k % 2}") for k in range(11)] + [(70 + k, f"secret={one[::-1]}", "s") for k in range(40)]
+    found = {r.doc_id: r.n_live for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(found) == len(rows) and all((found[k] == 1) == (not 50 <= k < 70) for k in found)
+
+
+def test_secrets_with_any_names_and_long_values(spark):
+    rows = [(1, "token=" + "aB3" * 400_000), (1, "token=" + "aB3" * 400_000), (2, "x y " * 300_000 + "token=q7Xv9Kd2Lm4Pz8Rt"), (None, None)]
+    names = "_row row owner repository text_ hash random known live kind start end value _id _live there".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source", *[f"'mine' as `{n}`" for n in names])
+    assert secret_spans(docs).count() == 4
+    out = redact_live(docs)
+    assert out.columns == docs.columns and out.where("live = 'mine' and _row = 'mine'").count() == 4
+    assert out.where("doc_id = 2").first().text.endswith("token=[SECRET]") and out.where("text is null").count() == 1
+
+
 # quality rules
 
 
