@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import maybe_broadcast, scratch
+from keyloom.llm.common import maybe_broadcast, scratch, unused
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -100,23 +100,33 @@ class ExactDedup:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, digest, keep_id, group_size, kept. An empty table gives no rows."""
+    """One row per document: id, digest, keep_id, group_size, kept. An empty table gives no rows.
+
+    Null texts count as empty; null ids are smaller than all others; repeated rows are counted one by one, and one of them
+    stays; other columns aren't read, whatever their names.
+    """
     state = ExactDedup(docs.sparkSession, None, id_col, text_col)
     state.append(docs)
     return state.result(docs)
 
 
 def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without copies, all their columns unchanged: of equal texts, one row with the largest id stays."""
+    """The documents without copies, all their columns unchanged: of equal texts, one row with the largest id stays.
+
+    Null texts count as empty; null ids are smaller than all others; rows alike in id and text leave one of them; columns
+    may have any names; an empty table stays empty.
+    """
     state = ExactDedup(docs.sparkSession, None, id_col, text_col)
     state.append(docs)
-    gone = state.result(docs).where("not kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("id").eqNullSafe(F.col("keep_id")).alias("_again"))
+    ident, digest, again, body = (unused(docs, x) for x in ("id", "digest", "again", "text"))
+    gone = state.result(docs).where("not kept").select(F.col("id").alias(ident), F.col("digest").alias(digest), F.col("id").eqNullSafe(F.col("keep_id")).alias(again))
     gone = gone.distinct()
-    again = gone.where("_again")
-    docs = docs.withColumn("_text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (sha256(docs["_text"]) == F.col("_digest"))
-    rest = docs.join(maybe_broadcast(gone, 64), on, "left_anti").drop("_text")
-    if again.isEmpty():
+    repeated = gone.where(again)
+    names = docs.columns
+    docs = docs.withColumn(body, F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(ident)) & (sha256(docs[body]) == F.col(digest))
+    rest = docs.join(maybe_broadcast(gone, 64), on, "left_anti").select(*names)
+    if repeated.isEmpty():
         return rest
-    once = docs.join(maybe_broadcast(again, 64), on, "left_semi").dropDuplicates([id_col, "_text"]).drop("_text")
+    once = docs.join(maybe_broadcast(repeated, 64), on, "left_semi").dropDuplicates([id_col, body]).select(*names)
     return rest.unionByName(once)

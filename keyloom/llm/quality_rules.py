@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACE
+from keyloom.llm.common import SPACE, unused
 
 #: Bound of the labelled sample that rules are learned from.
 SAMPLE_ROWS = 12_000
@@ -30,11 +30,13 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and RATIOS (double).
 
     Whole texts; null counts as empty. Windows of words are told apart by 64-bit hashes of five words in order, within a
-    text. No shuffle. Columns named so are replaced.
+    text. No shuffle. Columns named so are replaced, others may have any name.
     """
     keep = [c for c in docs.columns if c not in {text_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATIOS}]
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    docs = docs.select(*keep, text.alias("_text"), F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"))
+    row = F.struct(*[docs[c] for c in keep], F.lit(True).alias(unused(docs, "there")))  # so that no name clashes with ours
+    names, keep = keep, ["_row"]
+    docs = docs.select(row.alias("_row"), text.alias("_text"), F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     n = F.size("_words")
     window = lambda k: F.xxhash64(F.slice("_words", k, REPEATED))
@@ -58,7 +60,7 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return docs.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *[F.col("_row").getField(c).alias(c) for c in names], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / words).alias("chars_per_word"), (F.col("n_symbols") / chars).alias("symbol_share"), (F.col("_upper") / chars).alias("upper_share"),
         (F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1))).alias("dup_line_share"), (F.col("n_repeat_words") / words).alias("repeat_share"), (F.col("_distinct") / words).alias("distinct_share"),
     )
@@ -164,15 +166,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Statistics and ``bad`` of at most ``most`` labelled documents, in the order of a hash of their ids."""
-    labels = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).cast("int").alias("bad"), F.xxhash64("doc_id").alias("_order"))
-    chosen = labels.orderBy("_order", "_id").limit(most)  # 16 bytes a row
-    rows = text_stats(docs.select(docs[id_col].alias("_id"), docs[text_col]).join(F.broadcast(chosen), "_id"), text_col)
-    return [r.asDict() for r in sorted(rows.select("_order", "bad", *RATIOS).limit(2 * most).collect(), key=lambda r: (r["_order"], tuple(r)))]
+    """Statistics and ``bad`` of at most ``most`` labelled documents, in the order of a hash of their ids.
+
+    An id has one row, whatever repeats: it is bad if any label says so, and of its documents' statistics the least count.
+    """
+    labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
+    chosen = labels.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(most)  # 20 bytes a row
+    rows = text_stats(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id"), "text")
+    once = rows.groupBy("order", "id").agg(F.min(F.struct("bad", *RATIOS)).alias("s")).select("order", "id", "s.*")
+    return [r.asDict() for r in sorted(once.collect(), key=lambda r: (r["order"], r["id"]))]  # at most ``most`` rows
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with their statistics, base_failed and kept. An empty table stays empty.
+    """``docs`` without the text, with their statistics, base_failed and kept. An empty table stays empty; repeated rows are judged one by one.
 
     base_failed: fewer than 10 words, or over a fifth of the words in windows of five that come twice or more. kept:
     false if base_failed, else the learned list's verdict.

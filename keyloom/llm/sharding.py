@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.llm.common import unused
+
 #: Expected bytes of a bucket, which one task holds in memory at a time. A longer record makes a larger bucket.
 BUCKET_BYTES = 16 << 20
 
@@ -31,21 +33,22 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col
     if shards < 1:
         raise ValueError("there must be at least one shard")
     names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    row, bucket = unused(docs, "row"), unused(docs, "bucket")
     size = F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long") + 8
-    rows = docs.select(*names, size.alias("size"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(*names, size.alias("size"), F.monotonically_increasing_id().alias(row))
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-total[1] // bucket_bytes))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), id_col, "_row"), F.lit(buckets)))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), id_col, row), F.lit(buckets)))
+    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    starts = counts.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))
     count, at = total[0], [*names, "size"]
 
     def fisher_yates(records: pa.Table, start: pa.Table) -> pa.Table:
         if not records.num_rows:
             return records.select(at).append_column("shard", pa.array([], pa.int32())).append_column("slot", pa.array([], pa.int64()))
-        records = records.take(pa.compute.sort_indices(records, sort_keys=[("_row", "ascending")]))
-        random = np.random.default_rng([seed, records.column("_bucket")[0].as_py()])
+        records = records.take(pa.compute.sort_indices(records, sort_keys=[(row, "ascending")]))
+        random = np.random.default_rng([seed, records.column(bucket)[0].as_py()])
         order = np.arange(records.num_rows)
         random.shuffle(order)  # Fisher-Yates
         place = start.column("_start")[0].as_py() + np.arange(records.num_rows)
@@ -54,7 +57,7 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col
         return records.select(at).take(pa.array(order)).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
     schema = T.StructType([*rows.select(*at).schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return rows.groupBy("_bucket").cogroup(starts.groupBy("_bucket")).applyInArrow(fisher_yates, schema)
+    return rows.groupBy(bucket).cogroup(starts.groupBy(bucket)).applyInArrow(fisher_yates, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -85,13 +85,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     A rule fits its host and all subdomains if the page's path starts with the rule's. The longest wins, by host and then
     path; of rules alike in both, the first action in alphabetical order. Null urls and those without ``://`` have
-    empty host and path and get ``default``, as all do that no rule fits. Columns named so are replaced.
+    empty host and path and get ``default``, as all do that no rule fits. Columns named as the four are replaced, others
+    may have any name; repeated rows and null ids are judged one by one; an empty table stays empty.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.coalesce(pages[url_col].cast("string"), F.lit("")))
-    pages = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("key", canonical(F.col("host")))
-    judged = pages.join(stacks(pages, rules, swept_rows), "key", "left")
-    fits = F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"]))
+    page = F.struct(*[pages[c] for c in keep], host.alias("host"), path.alias("path"))  # so that no name clashes with ours
+    judged = pages.select(page.alias("page")).withColumn("key", canonical(F.col("page.host")))
+    judged = judged.join(stacks(judged, rules, swept_rows), "key", "left")
+    fits = F.filter("stack", lambda r: F.startswith(F.col("page.path"), r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((-F.length(r["host"])).alias("h"), (-F.length(r["path"])).alias("p"), r["action"].alias("action"), F.concat(r["host"], r["path"]).alias("rule")))
-    best = F.array_min(ranked)
-    return judged.withColumn("_best", best).select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    judged = judged.withColumn("best", F.array_min(ranked))
+    own = [F.col("page").getField(c).alias(c) for c in (*keep, "host", "path")]
+    return judged.select(*own, F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
