@@ -12,6 +12,7 @@ whole sets of shingles instead.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
-from keyloom.llm.common import maybe_broadcast, written
+from keyloom.llm.common import discard, maybe_broadcast, unused, written
 
 #: Classes that share a pair of blocks are compared pair by pair up to this many.
 PAIRED = 48
@@ -30,6 +31,9 @@ PAIRED = 48
 #: Bands of least hashes, and how many hashes each has, by which ``near_copies`` finds what to compare.
 BANDS, BAND_ROWS = 24, 4
 
+#: Classes of a bucket beyond which it is parted by the sizes of their sets.
+LARGE = 500
+
 
 def fingerprint_batch(texts: list[bytes], words: int) -> np.ndarray:
     """64-bit fingerprints, unsigned."""
@@ -122,7 +126,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     Linked are fingerprints at two or fewer differing bits; documents without words have fingerprint 0, linked like any
     other. Repeated rows stay. A null id never is the smallest while there is another. An empty table stays empty.
     """
-    rows = written(fingerprints(docs.withColumn("_id", docs[id_col].cast("long")), words, text_col, ("_id",)), "fingerprints")
+    docs = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("words"))
+    rows = written(fingerprints(docs, words, "words", ("_id",)), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("_id").alias("rep")), "classes")
     roots = written(components(near_links(classes)), "roots")
     members = classes.join(roots.withColumnRenamed("v", "fp"), "fp")
@@ -174,41 +179,66 @@ def bucket_links(names: list[int], sets: list[np.ndarray], similarity: float) ->
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and component_id, the smallest id among all that links lead to.
+    """One row per document: row (its place in ``docs``), id and component_id, the smallest id among all that links lead to.
 
     Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more: whole
-    sets are compared, of documents that share a band of least hashes. Equal sets are one class before. Documents without
-    words are linked to each other.
+    sets are compared, of documents that share a band of least hashes. Equal sets are one class before; documents without
+    words, null texts among them, are one class as well. A null id never is the smallest while there is another. Buckets of
+    more than ``LARGE`` classes are parted by size: sets whose sizes differ more than ``similarity`` allows aren't linked.
+    ``docs`` must come from files or a written table: its rows must have the same places when read again.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "_text", 1 << 20):
-            sets = [shingles(t.encode(), words) for t in texts]
+        for part, own in slices(batches, "words", 1 << 20):
+            sets = [shingles(t.encode(), words) for t in own]
             names = np.array([xxhash.xxh64_intdigest(h.tobytes(), 5) for h in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), keys, pa.array([h.tobytes() for h in sets], pa.binary())], ["_id", "class", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), keys], ["row", "id", "class", "keys"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in slices(batches, "words", 1 << 20):
+            sets = [shingles(t.encode(), words) for t in own]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())], ["class", "size", "hashes"])
 
     def link(table: pa.Table) -> pa.Table:
-        links = bucket_links(table["class"].to_pylist(), [np.frombuffer(b, np.uint64) for b in table["hashes"].to_pylist()], similarity)
+        table = table.sort_by("class")
+        links = bucket_links(table["class"].to_pylist(), [np.frombuffer(b.as_py(), np.uint64) for b in table["hashes"]], similarity)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = written(rows.mapInArrow(run, "_id long, class long, keys array<long>, hashes binary"), "shingles")
+    rows = written(texts.mapInArrow(run, "row long, id long, class long, keys array<long>"), "bands")
     keyed = rows.select("class", F.explode("keys").alias("key")).distinct()
     # bands that share the same classes are compared once
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("mark")).where("n > 1")
-    members = written(keyed.join(shared.groupBy("n", "mark").agg(F.min("key").alias("key")), "key").select("key", "class"), "buckets")
-    sets = rows.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes"))
-    links = written(members.join(sets, "class").groupBy("key").applyInArrow(link, "a long, b long").distinct(), "links")
+    once = shared.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key", "n")
+    members = written(keyed.join(once, "key").select("key", "n", "class"), "buckets")
+    # sets of those that are compared, from one row of each class
+    compared = rows.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
+    compared = written(compared, "compared")
+    sets = written(texts.join(maybe_broadcast(compared, 32), "row").select("class", "words").mapInArrow(whole, "class long, size int, hashes binary"), "shingles")
+    bucket = members.join(sets, "class")
+    by_size = F.floor(F.log(F.greatest("size", F.lit(1))) / (-math.log(similarity) * 1.0001)).cast("int")
+    at = F.when(F.col("n") > LARGE, F.array(by_size, by_size + 1)).otherwise(F.array(F.lit(-1)))
+    links = bucket.withColumn("at", F.explode(at)).groupBy("key", "at").applyInArrow(link, "a long, b long").distinct()
     roots = written(components(links), "roots")
-    classes = rows.groupBy("class").agg(F.min("_id").alias("rep")).join(roots.withColumnRenamed("v", "class"), "class", "left")
+    classes = rows.groupBy("class").agg(F.min("id").alias("rep")).join(roots.withColumnRenamed("v", "class"), "class", "left")
     classes = written(classes.withColumn("root", F.coalesce("root", "class")), "classes")
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.select("_id", "class").join(classes.join(least, "root").select("class", "component_id"), "class").select(F.col("_id").alias(id_col), "component_id")
+    named = classes.join(least, "root").select("class", "root", "component_id")
+    found = written(rows.select("row", "id", "class").join(named, "class").select("row", F.col("id").alias(id_col), "component_id", "root"), "near-copies")
+    discard(rows, members, compared, sets, roots, classes)
+    return found
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which no near copy has a smaller id, all columns unchanged. Rows of one id stay or go together."""
+    """Of each group that ``near_copies`` finds, the row with the smallest id, all columns unchanged; of such rows, the first.
+
+    Rows are decided one by one, so a repeated id loses no text that has no near copy. Null texts count as empty; all
+    documents without words are one group; an empty table stays empty; columns may have any names.
+    """
     found = near_copies(docs, words, similarity, id_col, text_col)
-    gone = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(gone, 16), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("s")).select(F.col("s.row").alias("row"))
+    gone = written(found.join(stays, "row", "left_anti").select("row"), "gone")
+    row = unused(docs, "row")
+    gone = maybe_broadcast(gone.withColumnRenamed("row", row), 16)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
-from keyloom.llm.simhash import bucket_links, shingles
+from keyloom.llm.simhash import bucket_links, keep_one_of_each, shingles
 
 
 def sets_of(texts):
@@ -48,3 +48,31 @@ def test_bucket_links_join_through_a_later_member():
     sets = [shingles(t.encode(), 5) for t in texts]
     assert bucket_links([1, 2], sets[:2], 0.8) == []
     assert sorted(bucket_links([1, 2, 3], sets, 0.8)) == [(1, 3), (2, 3)]
+
+
+def test_rows_of_one_id_are_decided_one_by_one(spark, tmp_path):
+    a, b = ("a" + " ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(3, b), (5, b), (5, a), (5, a), (None, a)], "doc_id long, text string").write.parquet(path)
+    kept = sorted((r.doc_id, r.text) for r in keep_one_of_each(spark.read.parquet(path)).collect())
+    assert kept == [(3, b), (5, a)]
+
+
+def test_large_buckets_are_parted_by_size_without_losing_links(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keyloom.llm.simhash.LARGE", 3)
+    random.seed(6)
+    shared = [f"s{k}" for k in range(200)]  # a passage that all have, and ends of all lengths
+    texts = [" ".join(shared + [f"e{j}" for j in range(random.randrange(0, 240))]) for _ in range(60)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    assert {r.doc_id for r in keep_one_of_each(spark.read.parquet(path)).collect()} == kept_by_hand(texts)
+
+
+def test_secrets_are_owned_in_the_whole_corpus(spark, tmp_path):
+    """A value that six owners have is an example, although one document of them is left."""
+    value = "q7Xv9Kd2Lm4Pz8Rt"
+    rows = [(k, f"token={value} in text {k}", "en", f"s{k}", 30) for k in range(6)] + [(9, "token=w3Ye5Uj6Hn1Bg0Vc alone", "en", "s1", 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in corpus_pipeline.secret_scans(spark, docs.where("doc_id in (3, 9)"), str(tmp_path)).collect()}
+    assert out[3].text == rows[3][1] and out[9].text == "token=[SECRET] alone" and out[9].n_chars == len(out[9].text)

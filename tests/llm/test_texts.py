@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from itertools import combinations
 
@@ -12,8 +13,9 @@ import xxhash
 
 from keyloom.llm import queries as Q
 from keyloom.llm.bpe import TrieBpe, decode_documents, encode_documents
+from keyloom.llm.common import written
 from keyloom.llm.exact_dedup import ExactDedup, exact_dedup, keep_last_copies
-from keyloom.llm.packing import best_fit_packing, packed_sequences, plan, place, token_pieces
+from keyloom.llm.packing import WordTokenizer, best_fit_packing, packed_sequences, plan, place
 from keyloom.llm.sharding import two_pass_shuffle, write_shards
 from keyloom.llm.simhash import components, fingerprint_batch, keep_one_of_each, near_duplicates, near_links
 
@@ -106,7 +108,8 @@ def test_packing_odd(spark, odd, none):
 
 def test_place_parts_frequent_lengths(spark, monkeypatch):
     monkeypatch.setattr("keyloom.llm.packing.RANKED_ROWS", 50)
-    rows = place(spark.range(1000).selectExpr("id", "cast(if(id % 3 = 0, 5, id % 10 + 1) as bigint) as length"), ["id"], 16, 4).collect()
+    # a third of all rows alike
+    rows = place(written(spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) as id", "cast(if(id % 3 = 0, 5, id % 10 + 1) as bigint) as length"), "lengths"), 16, 4).collect()
     assert len(rows) == 1000 == len({(r.sequence_id, r.offset) for r in rows})
     check_places(rows, 16)
 
@@ -199,7 +202,7 @@ def test_simhash_odd(spark, odd, none):
     assert len(rows) == odd.count()
     assert len({r.component_id for r in rows if r.fp == 0}) == 1
     kept = keep_one_of_each(odd)
-    assert kept.columns == odd.columns and kept.where("text = 'same row'").count() == 2  # two rows of one id
+    assert kept.columns == odd.columns and kept.where("text = 'same row'").count() == 1  # rows are decided one by one
     assert near_duplicates(none).count() == 0
     assert fingerprint_batch([], 3).shape == (0,)
 
@@ -234,7 +237,8 @@ def test_bpe_random(library):
 
 
 def test_bpe_forgets(monkeypatch, library):
-    monkeypatch.setattr("keyloom.llm.bpe.REMEMBERED", 3)
+    monkeypatch.setattr("keyloom.llm.bpe.REMEMBERED_BYTES", 500)
+    monkeypatch.setattr("keyloom.llm.bpe.PAIRS", 3)
     bpe = TrieBpe(Q.tokenizer("byte_bpe_50k.json"))
     text = "one two three four five six one two"
     bpe.learn_batch([text])
@@ -249,10 +253,56 @@ def test_bpe_odd(spark, odd, none):
     assert encode_documents(none, path).count() == 0
 
 
-def test_word_pieces_forget(monkeypatch, spark):
-    monkeypatch.setattr("keyloom.llm.packing.REMEMBERED", 2)
-    docs = spark.createDataFrame([(1, "a bb ccc dddd"), (2, "a bb")], "doc_id long, text string")
-    assert {r.doc_id: r.length for r in token_pieces(docs, Q.tokenizer("word_bpe_49k.json")).groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "length").collect()}[2] == 3
+def size_of(held):
+    return sum(map(sys.getsizeof, held.keys())) + sum(map(sys.getsizeof, held.values())) + sys.getsizeof(held)
+
+
+def test_memories_are_bounded_by_bytes():
+    """Both encoders meet far more words than they may remember, long ones among them, and still encode as the library does."""
+    from tokenizers import Tokenizer
+
+    random.seed(5)
+    text = lambda: " ".join("".join(random.choices("abcdefgh", k=random.randint(3, 14))) + random.choice(["", "", ".", ","]) for _ in range(3000)) + " " + "x" * 5000
+    words = WordTokenizer(Q.tokenizer("word_bpe_49k.json"), 1 << 20)
+    library, bpe = Tokenizer.from_file(Q.tokenizer("word_bpe_49k.json")), TrieBpe(Q.tokenizer("byte_bpe_50k.json"), 1 << 20)
+    other = Tokenizer.from_file(Q.tokenizer("byte_bpe_50k.json"))
+    for k in range(12):
+        t = text()
+        own = words.words(t)
+        words.learn([own])
+        if k % 4 == 3:
+            assert np.frombuffer(words.encode(own), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        bpe.learn_batch([t])
+        assert k % 4 != 3 or np.frombuffer(bpe.encode(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
+        assert size_of(words.known) + size_of(words.older) <= 2 << 20
+        assert size_of(bpe.first) + size_of(bpe.after_space) <= 2 << 20
+        assert not any(len(w) > 1000 for held in (words.known, words.older, bpe.after_space) for w in held)
+
+
+def test_any_names_hot_rows_and_long_texts(spark, tmp_path):
+    """A third of all rows alike, a text of one word of megabytes, and columns named as the operators' own."""
+    names = "_text _row _rank _part _at _id _digest _again _bucket _n _from _many _first rank row id words size shard slot piece start length ids ids_crc32 sequence_id offset fp class".split()
+    rows = [(5, "the same words over and over again")] * 40 + [(k, f"row {k} of the table with some words of its own, {k * k}") for k in range(78)]
+    rows += [(200, "z" * 3_000_000), (201, "a b " * 500_000), (None, None)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'mine' as `{n}`" for n in names]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    packed = best_fit_packing(docs, Q.tokenizer("word_bpe_49k.json"), keep_ids=False)
+    own = {"piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"}
+    assert set(packed.columns) == {*docs.columns, *own} - {"text", "ids"} and packed.where("_rank <> 'mine' or _part <> 'mine'").count() == 0
+    got = packed.collect()
+    check_places(got, 2048)
+    assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.piece == 0 for r in got) == len(rows)
+    sharded = two_pass_shuffle(docs, 4, bucket_bytes=1 << 20)
+    check_shards(sharded.select("shard", "slot").collect(), 4)
+    assert sharded.where("_row = 'mine' and _bucket = 'mine'").count() == len(rows)
+    assert near_duplicates(docs).count() == len(rows)
+    for keep in (keep_last_copies, keep_one_of_each):
+        out = keep(docs)
+        assert out.columns == docs.columns and out.count() == len(rows) - 39 and out.where("_text <> 'mine' or row <> 'mine'").count() == 0
+    encoded = encode_documents(docs, Q.tokenizer("byte_bpe_50k.json"))
+    assert encoded.where("_text = 'mine'").count() == len(rows)
+    assert decode_documents(encoded, Q.tokenizer("byte_bpe_50k.json")).select("doc_id", "text").exceptAll(docs.selectExpr("doc_id", "coalesce(text, '')")).isEmpty()
 
 
 # exact deduplication
