@@ -41,7 +41,7 @@ class Rounds:
 
     triples: int = 3
     pairs: int = 6
-    scores: int = 6
+    scores: int = 8
 
 
 #: Keys of what comes before a text and after it.
@@ -180,9 +180,31 @@ def as_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[x for x, _ in types])
 
 
-#: Random numbers of each byte at each place of a word, up to a place from which they are used again; their sum is a word's hash.
-PLACES = 256
-_TABLE = np.random.default_rng(7).integers(0, 1 << 63, PLACES * 256, np.uint64)
+#: A word's hash is the sum of a random number of each byte times a factor to the power of its place, up to a place from which powers come again.
+PLACES = 1 << 16
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_OF_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _powers(factor: int) -> np.ndarray:
+    return np.append(np.uint64(1), np.cumprod(np.full(PLACES - 1, factor & (1 << 64) - 1, np.uint64)))
+
+
+_POWERS, _INVERSES = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of a text. From running sums; words across a multiple of PLACES are summed up apart."""
+    terms = np.zeros((-(-len(text) // PLACES), PLACES), np.uint64)
+    terms.reshape(-1)[: len(text)] = _OF_BYTE[text]
+    terms *= _POWERS
+    sums = np.append(np.uint64(0), np.cumsum(terms.reshape(-1)[: len(text)], dtype=np.uint64))
+    total = (sums[starts + sizes] - sums[starts]) * _INVERSES[starts % PLACES]
+    for k in np.flatnonzero(starts // PLACES != (starts + sizes - 1) // PLACES).tolist():
+        own = _OF_BYTE[text[starts[k] : starts[k] + sizes[k]]]
+        total[k] = sum((int((own[a : a + PLACES] * _POWERS[: len(own) - a]).sum(dtype=np.uint64)) for a in range(0, len(own), PLACES))) & (1 << 64) - 1
+    return mix(total, sizes.astype(np.uint64), 5, (1 << 64) - 1)
 
 
 class Chunk:
@@ -197,7 +219,7 @@ class Chunk:
         self.mask, many = mask, len(texts)
         self.text = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, many) + 1
-        space = (self.text == 32) | ((self.text >= 9) & (self.text <= 13))
+        space = _SPACE[self.text]
         self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         self.word_sizes = np.flatnonzero(~space[:-1] & space[1:]) + 1 - self.starts
         ends = np.searchsorted(self.starts, np.cumsum(lengths) + 1)
@@ -208,23 +230,11 @@ class Chunk:
         self.is_word[last] = False
         self.first = last - self.sizes
         self.w = np.full(len(self.doc), END_KEY, np.uint64)
-        self.w[self.is_word] = self._hashes()
+        self.w[self.is_word] = word_hashes(self.text, self.starts, self.word_sizes)
         self.w &= np.uint64(mask)
         self.v = self._before(self.w)
         self.u = self._before(self.v)
 
-    def _hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        at = bytes_at(self.starts, self.word_sizes)
-        ends = np.cumsum(self.word_sizes)
-        place = np.arange(len(at)) - np.repeat(ends - self.word_sizes, self.word_sizes)
-        mixed = _TABLE[(place % PLACES) * 256 + self.text[at]]
-        if self.word_sizes.max() > PLACES:
-            mixed *= (place // PLACES * 2 + 1).astype(np.uint64)
-        total = np.add.reduceat(mixed, ends - self.word_sizes)
-        return mix(total, self.word_sizes.astype(np.uint64), 5, (1 << 64) - 1)
-
     def _before(self, a: np.ndarray) -> np.ndarray:
         out = np.append(np.uint64(START_KEY), a[:-1])[: len(a)]
         out[self.first] = START_KEY

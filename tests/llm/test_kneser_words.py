@@ -1,6 +1,7 @@
 """The language model over words against its definition, and that it grows with its text."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,20 @@ def test_runs_of_keys():
     assert sorted(zip(*map(list, got))) == sorted(zip(*map(list, grams), range(300)))
 
 
+def test_hash_of_a_word_is_the_same_wherever_it_stands():
+    random.seed(3)
+    words = [bytes(random.choices(b"abcdefgh\xc3\xa9", k=random.choice([1, 2, 3, 8, 30]))) for _ in range(40_000)] + [b"q" * 200_000, b"q" * 200_001]
+    seen = {}
+    for own in (words, words[::-1]):
+        for texts in ([b" ".join(own)], [b"\n".join(own[k : k + 700]) + b" " for k in range(0, len(own), 700)]):
+            c = W.Chunk(texts, (1 << 64) - 1)
+            split = [w for t in texts for w in t.split()]
+            assert c.sizes.tolist() == [len(t.split()) for t in texts]
+            for word, key in zip(split, c.w[c.is_word].tolist(), strict=True):
+                assert seen.setdefault(word, key) == key
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_model_with_any_names_and_hot_rows(spark):
     """A third of all rows alike, texts of one long word, and columns named as the operator's own."""
     rows = [(5, "the same words again and again", "en", 1, 2, 3)] * 60 + [(k, f"the cat {k} sat on the mat", "en", 1, 2, 3) for k in range(100, 220)]
