@@ -25,10 +25,19 @@ QUANTILE, SLACK = 0.995, 1.02
 #: Bytes of an average document that each perplexity is mixed with, so that very short texts aren't judged by chance.
 PRIOR_BYTES = 80
 
-#: Classes of bytes: the most frequent ones each on their own, the others together in the last.
+#: Classes of bytes: the space, the end, each letter of a to z and A to Z, digits, full stop, comma, other ASCII, and six for parts of other signs.
 CLASSES = 64
 
 
+def byte_classes() -> np.ndarray:
+    of = np.full(256, 57)
+    of[[32, 0, ord("."), ord(",")]] = 0, 1, 55, 56
+    of[97:123], of[65:91], of[48:58] = np.arange(2, 28), np.arange(28, 54), 54
+    for (first, end), k in zip(((0xC2, 0xC4), (0xC4, 0xE0), (0xE0, 0xF0), (0xF0, 0x100), (0x80, 0xA0), (0xA0, 0xC0)), range(58, 64)):
+        of[first:end] = k
+    return of
+
+
 def bytes_of(texts: list[str]) -> np.ndarray:
     """The texts' words, with two spaces before a text, one after each word, and a zero for the end."""
     return np.frombuffer(b"".join([b" ".join([b" ", *t.encode().split(), b"\0"]) for t in texts]), np.uint8)
@@ -75,15 +84,6 @@ class Letters:
     bits: np.ndarray  # CLASSES x CLASSES x 256, float32
 
 
-def byte_classes(counts: np.ndarray) -> np.ndarray:
-    """The class of each byte; a space and the end are among those on their own."""
-    first = np.array(counts, float)
-    first[[0, 32]] = np.inf
-    of = np.full(256, CLASSES - 1)
-    of[np.argsort(-first, kind="stable")[: CLASSES - 1]] = np.arange(CLASSES - 1)
-    return of
-
-
 def class_triples(b: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Each byte as a class, with the two classes before it, but for the two spaces that begin a text."""
     c, ends = of[b], b == 0
@@ -96,16 +96,15 @@ def letters_of(of: np.ndarray, counts: np.ndarray, triples: np.ndarray) -> Lette
     three = triples.reshape((CLASSES,) * 3)
     two = (three > 0).sum(0)
     share = level(three, level(two, level((two > 0).sum(0), np.full(CLASSES, 1 / CLASSES))))
-    together = of == CLASSES - 1
-    within = np.where(together, (counts + 1) / (counts + 1)[together].sum(), 1.0)
+    within = (counts + 1) / np.bincount(of, counts + 1, CLASSES)[of]
     return Letters(of, (-np.log2(share[:, :, of] * within)).astype(np.float32))
 
 
 def train_letters(docs: DataFrame) -> Letters:
-    """Two passes over the whole texts of a frame whose one column is text; no shuffle but of each task's sums."""
-    counts = summed_counts(docs, 256, lambda b: b)
-    of = byte_classes(counts)
-    return letters_of(of, counts, summed_counts(docs, CLASSES**3, lambda b: class_triples(b, of)))
+    """One pass over the whole texts of a frame whose one column is text; no shuffle but of each task's sums."""
+    of = byte_classes()
+    found = summed_counts(docs, 256 + CLASSES**3, lambda b: np.append(b.astype(np.int64), 256 + class_triples(b, of)))
+    return letters_of(of, found[:256], found[256:])
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: Rounds = Rounds()) -> DataFrame:

@@ -147,6 +147,11 @@ def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], back
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sums of their counts."""
     order = np.argsort(keys)
@@ -207,6 +212,9 @@ def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return mix(total, sizes.astype(np.uint64), 5, (1 << 64) - 1)
 
 
+_START = np.array([START_KEY], np.uint64)
+
+
 class Chunk:
     """The words of some texts as keys, and their grams: arrays of one entry for each word and each end.
 
@@ -240,32 +248,40 @@ class Chunk:
         out[self.first] = START_KEY
         return out
 
-    def triples(self) -> np.ndarray:
-        pair = mix(self.v, self.w, 2, self.mask)
-        return mix(mix(self.u, self.v, 2, self.mask), pair, 3, self.mask)
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The triple, the pair and the word at each place."""
+        pair, context = mix(self.v, self.w, 2, self.mask), mix(_START, _START, 2, self.mask)
+        before = np.append(context, pair[:-1])[: len(pair)]
+        before[self.first] = context
+        return mix(before, pair, 3, self.mask), pair, self.w
+
+    def requests(self) -> list[tuple[int, np.ndarray]]:
+        """Kind of table and the keys that a chunk asks it for, ascending: its triples, pairs and words, and what comes before a text."""
+        triple, pair, word = self.keys()
+        return [(TRIPLE, distinct(triple)), (PAIR, distinct(np.append(pair, mix(_START, _START, 2, self.mask)))), (WORD, distinct(np.append(word, _START)))]
 
     def number_grams(self) -> Chunk:
-        start = np.array([START_KEY], np.uint64)
-        at, numbers = grouped(np.append(self.w, start))
-        self.word_keys, self.word = np.append(self.w, start)[at], numbers[:-1]
-        self.before = np.append(numbers[-1:], self.word[:-1])[: len(self.word)]
-        self.before[self.first] = numbers[-1]
-        some = at < len(self.w)
+        triple, pair, word = self.keys()
+        at, numbers = grouped(np.append(word, _START))
+        self.word_keys, self.word, self.start_word = np.append(word, _START)[at], numbers[:-1], numbers[-1]
+        self.before = self._shifted(self.word, self.start_word)
+        some = at < len(word)
         self.written = np.full(len(at), -1)  # which of the texts' words a number is, or -1 for the start and the end
         self.written[some] = np.where(self.is_word, np.cumsum(self.is_word) - 1, -1)[at[some]]
-        pair, none = mix(self.v, self.w, 2, self.mask), mix(start, start, 2, self.mask)
-        at, numbers = grouped(np.append(pair, none))
-        self.pair_keys, self.pair = np.append(pair, none)[at], numbers[:-1]
-        self.context = np.append(numbers[-1:], self.pair[:-1])[: len(self.pair)]
-        self.context[self.first] = numbers[-1]
-        context = np.append(none, pair[:-1])[: len(pair)]
-        context[self.first] = none
-        triple = mix(context, pair, 3, self.mask)
+        pair = np.append(pair, mix(_START, _START, 2, self.mask))
+        at, numbers = grouped(pair)
+        self.pair_keys, self.pair = pair[at], numbers[:-1]
+        self.context = self._shifted(self.pair, numbers[-1])
         at, self.triple = grouped(triple)
         self.triple_keys = triple[at]
         del self.u, self.v, self.w
         return self
 
+    def _shifted(self, numbers: np.ndarray, start: int) -> np.ndarray:
+        out = np.append(start, numbers[:-1])[: len(numbers)]
+        out[self.first] = start
+        return out
+
     def document_bytes(self) -> np.ndarray:
         """Bytes of each document's words, a space after each and one for the end; 0 without words."""
         size = np.ones(len(self.doc))
@@ -289,7 +305,7 @@ def texts_of(column: pa.ChunkedArray) -> list[bytes]:
 
 def emit(chunk: Chunk, shards: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple]:
     """Distinct triples with their counts, for each shard, or for those that are ``wanted``."""
-    grams, triple = [chunk.u, chunk.v, chunk.w], chunk.triples()
+    grams, triple = [chunk.u, chunk.v, chunk.w], chunk.keys()[0]
     if wanted is not None:
         here = wanted(shard_of(triple, shards))
         triple, grams = triple[here], [g[here] for g in grams]
@@ -401,7 +417,8 @@ def train_tables(trusted: DataFrame, shards: int, mask: int, rounds: Rounds = Ro
             tables = split_written(part().withColumn("place", place), name, "place", [f"{k}-{r}" for k, r in out])
             for key, table in zip(out, tables.values()):
                 out[key].append(table.drop("place"))
-            free_shuffles(trusted.sparkSession)
+            if shards > 1:
+                free_shuffles(trusted.sparkSession)
         return {k: reduce(DataFrame.unionByName, tables) for k, tables in out.items()}
 
     count = [lambda r=r: trusted.mapInArrow(grams(r), PIECE).groupBy("shard").applyInArrow(triples, PIECE) for r in range(many)]
@@ -457,11 +474,6 @@ def discounts_of(found: dict[int, list[int]]) -> Discounts:
 # scoring
 
 
-def requests(chunk: Chunk) -> list[tuple[int, np.ndarray]]:
-    """Kind of table and the keys that a chunk asks it for, ascending."""
-    return [(TRIPLE, chunk.triple_keys), (PAIR, chunk.pair_keys), (WORD, chunk.word_keys)]
-
-
 def looked_up(kind: int, wanted: np.ndarray, held: list[np.ndarray]) -> list[np.ndarray]:
     """The counts of each wanted key in a shard's table; zeros for keys that it doesn't have."""
     if not held or not len(held[0]):
@@ -478,55 +490,64 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
     the chunk's keys. The words' total and the share it leaves to spelling are those of all documents either way.
     """
     n3, n2, n1 = triples[0][chunk.triple], pairs[0][chunk.pair], words[0][chunk.word]
-    c3, c2 = pairs[1:, chunk.context], words[1:, chunk.before]
+    # of each context, the total and what it leaves to the level below
+    all3, left3 = pairs[1][chunk.context], (d.triple[1:] @ pairs[2:])[chunk.context]
+    all2, left2 = words[1][chunk.before], (d.pair[1:] @ words[2:])[chunk.before]
     here = np.flatnonzero(own[chunk.doc])
     if len(here):
         doc = chunk.doc[here]
+        new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))  # where a document begins: its context is none of its pairs
         in_doc = lambda a, size: grouped(doc * size + a[here])
+
+        def before_of(of: np.ndarray, many: int) -> np.ndarray:
+            out = np.append(0, of[:-1])
+            out[new] = many + np.arange(len(new))
+            return out
+
         # each distinct triple of a document once, with how often the document has it
         at, back = in_doc(chunk.triple, len(chunk.triple_keys))
         times = np.bincount(back, minlength=len(at))
         before = n3[here][at]
         after = before - times
         n3[here] = after[back]
-        _, of = in_doc(chunk.context, len(chunk.pair_keys))
-        take_off(c3, here, of, of[at], times, before, after)
-        pair_at, back = in_doc(chunk.pair, len(chunk.pair_keys))
-        lost = np.bincount(back[at], (after == 0).astype(float), len(pair_at)).astype(np.int64)
+        pair_at, of_pair = in_doc(chunk.pair, len(chunk.pair_keys))
+        of = before_of(of_pair, len(pair_at))
+        take_off(all3, left3, here, of, of[at], times, before, after, d.triple)
+        lost = np.bincount(of_pair[at], (after == 0).astype(float), len(pair_at)).astype(np.int64)
         before = n2[here][pair_at]
         after = before - lost
-        n2[here] = after[back]
-        _, of = in_doc(chunk.before, len(chunk.word_keys))
-        take_off(c2, here, of, of[pair_at], lost, before, after)
-        _, of = in_doc(chunk.word, len(chunk.word_keys))
-        gone = np.bincount(of[pair_at], ((after == 0) & (before > 0)).astype(float), of.max() + 1).astype(np.int64)
-        n1[here] -= gone[of]
+        n2[here] = after[of_pair]
+        word_at, of_word = in_doc(chunk.word, len(chunk.word_keys))
+        of = before_of(of_word, len(word_at))
+        take_off(all2, left2, here, of, of[pair_at], lost, before, after, d.pair)
+        gone = np.bincount(of_word[pair_at], ((after == 0) & (before > 0)).astype(float), len(word_at)).astype(np.int64)
+        n1[here] -= gone[of_word]
     p = -spelt[chunk.word]
-    with np.errstate(divide="ignore", under="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", under="ignore"):
         if d.total:
             p = np.log2((n1 - d.word[np.minimum(n1, 3)]) / d.total + d.spare * np.exp2(p))
             long = np.flatnonzero(~np.isfinite(p))  # words whose spelling is less likely than a double can say
             p[long] = math.log2(d.spare) - spelt[chunk.word[long]]
-        p = _mixed(n3, c3, d.triple, _mixed(n2, c2, d.pair, p))
+        p = _mixed(n3, all3, left3, d.triple, _mixed(n2, all2, left2, d.pair, p))
     return np.where(chunk.sizes > 0, -np.bincount(chunk.doc, p, len(chunk.sizes)), 0.0)
 
 
-def _mixed(n: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+def _mixed(n: np.ndarray, total: np.ndarray, left: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Logarithms of the shares of a level; where a context wasn't seen, the lower level's as they are."""
     out = lower.copy()
-    seen = np.flatnonzero(c[0] > 0)
-    n, c, lower = n[seen], c[:, seen], lower[seen]
-    left = d[1] * c[1] + d[2] * c[2] + d[3] * c[3]
-    share = ((n - d[np.minimum(n, 3)]) + left * np.exp2(lower)) / c[0]
-    out[seen] = np.where(share > 0, np.log2(share), np.log2(left / c[0]) + lower)
+    seen = np.flatnonzero(total > 0)
+    n, total, left, lower = n[seen], total[seen], left[seen], lower[seen]
+    share = ((n - d[np.minimum(n, 3)]) + left * np.exp2(lower)) / total
+    out[seen] = np.where(share > 0, np.log2(share), np.log2(left / total) + lower)
     return out
 
 
-def take_off(c: np.ndarray, here: np.ndarray, of: np.ndarray, to: np.ndarray, lost: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
-    """Takes a document's own part off the totals and classes of its contexts: ``of`` each place, ``to`` each distinct gram."""
+def take_off(total: np.ndarray, left: np.ndarray, here: np.ndarray, of: np.ndarray, to: np.ndarray, lost: np.ndarray, before: np.ndarray, after: np.ndarray, d: np.ndarray) -> None:
+    """Takes a document's own part off its contexts' totals and what they leave: ``of`` each place, ``to`` each distinct gram."""
     size = of.max() + 1
-    for k, x in enumerate((lost, *(x - y for x, y in zip(classes(before), classes(after))))):
-        c[k, here] -= np.bincount(to, x, size).astype(np.int64)[of]
+    total[here] -= np.bincount(to, lost, size).astype(np.int64)[of]
+    left[here] -= np.bincount(to, d[np.minimum(before, 3)] - d[np.minimum(after, 3)], size)[of]
+    left[here] = np.where(total[here] > 0, left[here], 0.0)
 
 
 def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "trusted", with_text: bool = True, rounds: Rounds = Rounds(), names: tuple[str, str] = ("bits", "bytes")) -> DataFrame:
@@ -536,22 +557,21 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
     Rows are placed by their content, so that it doesn't matter if they come in another order when read again.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c != trusted_col and (with_text or c != text_col)]
-    plain, chunk, part = (unused(docs, x) for x in ("words", "chunk", "round"))
+    keep = [c for c in docs.columns if c not in (trusted_col, text_col)]
+    plain, chunk, part, null = (unused(docs, x) for x in ("words", "chunk", "round", "null"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    placed = docs.select(*keep, trusted_col, text.alias(plain), F.pmod(F.xxhash64(text, id_col), F.lit(rounds.scores)).cast("int").alias(part))
+    placed = docs.select(*keep, trusted_col, text.alias(plain), docs[text_col].isNull().alias(null), F.pmod(F.xxhash64(text, id_col), F.lit(rounds.scores)).cast("int").alias(part))
     sizes = {r[0]: r[1] for r in placed.groupBy(part).agg(F.sum(F.octet_length(plain))).collect()}  # one row a round
     size = sum(sizes.values())
     shards, many = math.ceil((size + 1) / SHARD_BYTES), min(rounds.scores, math.ceil((size + 1) / SHARD_BYTES))
     mask = key_mask(size)
     held, found = train_tables(placed.where(trusted_col).select(plain), shards, mask, rounds)
     level = discounts_of(found)
-    schema = placed.select(*keep).schema.add(names[0], "double").add(names[1], "long")
+    schema = placed.select(*keep, *[plain, null] * with_text).schema.add(names[0], "double").add(names[1], "long")
     asked = "chunk int, kind int, shard int, blob binary"
 
     def request(table: pa.Table) -> pa.Table:
-        own = Chunk(texts_of(table[plain]), mask).number_grams()
-        runs = [(kind, shard, pack("k", keys[a:b])) for kind, keys in requests(own) for shard, a, b in by_shard(keys, shards)]
+        runs = [(kind, shard, pack("k", keys[a:b])) for kind, keys in Chunk(texts_of(table[plain]), mask).requests() for shard, a, b in by_shard(keys, shards)]
         return as_table(runs).add_column(0, "chunk", pa.array([table[chunk][0].as_py()] * len(runs), pa.int32()))
 
     def answer(asks: pa.Table, table: pa.Table) -> pa.Table:
@@ -571,12 +591,12 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
         own = Chunk(texts_of(table[plain]), mask).number_grams()
         got = {(k, s): b for k, s, b in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["blob"].to_pylist())}
         counts = []
-        for kind, keys in requests(own):
+        for kind, keys in ((TRIPLE, own.triple_keys), (PAIR, own.pair_keys), (WORD, own.word_keys)):
             parts = [unpack("i" if kind == TRIPLE else "iiiii", got.pop((kind, s))) for s, _, _ in by_shard(keys, shards)]
             counts.append(np.array([np.concatenate(x) for x in zip(*parts)]))
         spelt = spelling(own, letters)
         bits = document_bits(own, np.array(table[trusted_col].to_pylist(), bool), spelt, *counts, level)
-        return pa.table([*(table[c] for c in keep), pa.array(bits), pa.array(own.document_bytes())], names=schema.names)
+        return pa.table([*(table[c] for c in schema.names[:-2]), pa.array(bits), pa.array(own.document_bytes())], names=schema.names)
 
     done = []
     for r in range(many):
@@ -587,9 +607,12 @@ def scores(docs: DataFrame, letters, id_col: str = "doc_id", text_col: str = "te
         done.append(written(rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "scores"))
         discard(rows)
         del rows, asks, answers
-        free_shuffles(spark)
+        if many > 1:
+            free_shuffles(spark)
     held.drop()
-    return reduce(DataFrame.unionByName, done)
+    out = reduce(DataFrame.unionByName, done)
+    whole = F.when(~F.col(null), F.col(plain)).cast(docs.schema[text_col].dataType).alias(text_col) if with_text else None
+    return out.select(*[whole if c == text_col else c for c in docs.columns if c != trusted_col and (with_text or c != text_col)], *names)
 
 
 def spelling(chunk: Chunk, letters) -> np.ndarray:

@@ -46,8 +46,7 @@ def letters_by_hand(texts, of, counts):
     def p(a, b, byte):
         g = (a, b, int(of[byte]))
         whole = share(tri, d[0], g, share(bi, d[1], g[1:], share(uni, d[2], g[2:], 1 / K.CLASSES)))
-        rest = [x for x in range(256) if of[x] == K.CLASSES - 1]
-        return whole * ((counts[byte] + 1) / sum(counts[x] + 1 for x in rest) if byte in rest else 1)
+        return whole * (counts[byte] + 1) / sum(counts[x] + 1 for x in range(256) if of[x] == of[byte])
 
     return p
 
@@ -66,6 +65,7 @@ def test_letters_against_the_definition(spark):
         assert math.isclose(model.bits[a, b, byte], -math.log2(p(a, b, byte)), rel_tol=1e-5)
     assert np.allclose((2.0 ** -model.bits).sum(-1), 1, atol=1e-4)
     assert letters_of(spark, []).bits.min() > 5  # without any text
+    assert set(model.of.tolist()) == set(range(64)) and len({model.of[x] for x in b"az.,09 \0"}) == 7
 
 
 def bits_by_hand(text, held, whole, model):
@@ -97,7 +97,7 @@ def test_words_against_the_definition(spark, monkeypatch):
     others = ["the cat sat on the dog", "zebra mat", "the " + "z" * 3000]
     docs = spark.createDataFrame([(k, t, k < len(TEXTS)) for k, t in enumerate(TEXTS + others)], "doc_id long, text string, trusted boolean")
     model = letters_of(spark, TEXTS)
-    got = {r.doc_id: r for r in W.scores(docs, model, with_text=False).collect()}
+    got = {r.doc_id: r for r in W.scores(docs, model, with_text=False, rounds=W.Rounds(2, 2, 3)).collect()}
     assert len(got) == len(TEXTS + others)
     whole = tables(TEXTS)
     for k, text in enumerate(TEXTS + others):
