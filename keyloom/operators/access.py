@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.array import DistArray
+from keyloom.plans.capture import accesses_of
+from keyloom.plans.dependence import Fixed, Loop
 from keyloom.plans.storage import fitting
 
 
@@ -42,3 +47,28 @@ def explode_lookup(samples: DataFrame, features: str, weights: DistArray) -> Dat
     """Samples with data-dependent keys: each (fid, fval) of an array column with its weight."""
     rows = samples.withColumn("_f", F.explode(features)).select("*", F.col("_f.fid").alias("fid"), F.col("_f.fval").alias("fval")).drop("_f", features)
     return lookup(rows, weights, {"k1": "fid"}, "weight")
+
+
+def gathered(space: DistArray, body: Callable, arrays: dict[str, DistArray], writes: dict | None = None) -> dict[str, DistArray]:
+    """Of each array, the cells that a loop over ``space`` reads, as the body's source says: what it would fetch ahead.
+
+    Subscripts that are loop keys, with or without a constant, and constants narrow the cells down, by semi-joins with the
+    distinct keys of the space. Whole dimensions don't, nor do subscripts that depend on values or on what the body reads:
+    those are slices of the body that a join on the read values replaces (``lookup``).
+    """
+    out = {}
+    for name, a in arrays.items():
+        parts = []
+        for access in dict.fromkeys(x for x in accesses_of(body, list(arrays), writes) if x.array == name and not x.write):
+            df = a.df
+            for k, at in zip(a.key_names, access.subscripts):
+                if isinstance(at, Fixed):
+                    df = df.where(F.col(k) == at.value)
+            loops = {k: at for k, at in zip(a.key_names, access.subscripts) if isinstance(at, Loop)}
+            if loops:
+                keys = space.df.select(*[(F.col(f"k{at.dim}") + at.offset).alias(k) for k, at in loops.items()]).distinct()
+                df = df.join(fitting(keys, 16 * len(loops)), list(loops), "left_semi")
+            parts.append(df.select(*a.key_names, "value"))
+        cells = reduce(DataFrame.unionByName, parts) if parts else a.df.limit(0)
+        out[name] = a.with_df(cells.dropDuplicates(a.key_names) if len(parts) > 1 else cells, dims=a.meta.dims, dense=False)
+    return out

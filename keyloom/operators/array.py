@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.plans.meta import MapType, Meta, ParentType, Partitioning, PartitionType, cells, delinearize, key_names, linearize
-from keyloom.plans.storage import dropped
+from keyloom.plans.storage import dropped, kept
 
 #: Arrays that were given a name.
 NAMED: dict[str, DistArray] = {}
@@ -63,17 +63,19 @@ class DistArray:
     # life
 
     def materialize(self) -> DistArray:
-        """Persists the table and infers dims, once."""
+        """Computes the table and infers dims, once. The table is written in the shared folder, so no executor is needed for it."""
         if not self._cached:
-            self.df.persist()
+            self._source, self.df = self.df, kept(self.df, "array")
             self._cached = True
             self.size()
+            if self.meta.symbol:
+                self.df.createOrReplaceTempView(self.meta.symbol)
         return self
 
     def delete(self) -> None:
         if self._cached:
-            self.df.unpersist()
-            self._cached = False
+            dropped(self.df)
+            self.df, self._cached = self._source, False
         dropped(*self.tiled.values())
         self.tiled.clear()
         if self.meta.symbol and NAMED.get(self.meta.symbol) is self:

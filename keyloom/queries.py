@@ -358,6 +358,17 @@ def q_gather_keys(spark, sf):
     return access.gather(wanted, mf.ratings(spark, sf), {"k1": "a"}).df
 
 
+def _shifted(key, value, C):
+    return value + C[key[0] + 3] + C[1]
+
+
+@query(f"WITH {EVENTS} SELECT c_custkey + 1 AS k1, c_acctbal AS value FROM customer WHERE c_custkey = 0 OR c_custkey + 1 IN (SELECT k1 + 3 FROM e)")
+def q_gather_by_body(spark, sf):
+    """What a loop body reads, from its source."""
+    customers = from_table(spark.read.parquet(f"{sf}/customer.parquet"), [F.col("c_custkey") + 1], F.col("c_acctbal"))
+    return access.gathered(_events(spark, sf), _shifted, {"C": customers})["C"].df
+
+
 @query("SELECT l_partkey + 1 AS k1, count(*) AS reads FROM lineitem GROUP BY 1")
 def q_access_counts(spark, sf):
     return groups.access_counts(spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_partkey") + 1).alias("k1")), "k1")

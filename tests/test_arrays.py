@@ -402,3 +402,22 @@ def test_groups_accumulators_and_indexes(spark):
     assert carried(a, running, dict, "double").df.exceptAll(a.df).isEmpty()
     assert reindexed(a, IndexType.RANGE).meta.partitioning.index is IndexType.RANGE
     assert WriteBuffer(F.max).reset().delta(spark.createDataFrame([(1, 2.0), (1, 3.0)], "k1 long, update double"), ["k1"]).first().update == 5.0
+
+
+def test_every_slot_answers(spark):
+    from keyloom.operators.debug import eval_on_all
+
+    assert eval_on_all(spark, lambda: 6 * 7) == ["42"] * spark.sparkContext.defaultParallelism
+
+
+def test_gathered_cells(spark):
+    a = fill(spark, F.col("id").cast("double"), 6, 5)
+
+    def body(key, value, A, B):
+        x = A[key[0] + 1, :]
+        return x + A[2, 3] + B[int(value)]
+
+    space = DistArray(spark.createDataFrame([(3, 1, 0.0), (4, 1, 0.0), (3, 2, 0.0)], "k1 long, k2 long, value double"), Meta(2, (5, 5)))
+    got = access.gathered(space, body, {"A": a, "B": fill(spark, 1.0, 7)})
+    assert {(r.k1, r.k2) for r in got["A"].df.collect()} == {(2, 3), *((i, j) for i in (4, 5) for j in range(1, 6))} and got["A"].df.count() == 11
+    assert got["B"].df.count() == 7
