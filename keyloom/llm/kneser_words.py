@@ -187,7 +187,7 @@ def as_table(rows: list[tuple]) -> pa.Table:
 
 #: A word's hash is the sum of a random number of each byte times a factor to the power of its place, up to a place from which powers come again.
 PLACES = 1 << 16
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 _OF_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -227,7 +227,7 @@ class Chunk:
         self.mask, many = mask, len(texts)
         self.text = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, many) + 1
-        space = _SPACE[self.text]
+        space = SPACES[self.text]
         self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         self.word_sizes = np.flatnonzero(~space[:-1] & space[1:]) + 1 - self.starts
         ends = np.searchsorted(self.starts, np.cumsum(lengths) + 1)

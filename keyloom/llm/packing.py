@@ -18,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,46 @@ from pyspark.sql import types as T
 
 from keyloom.llm.bpe import slices
 from keyloom.llm.common import resident, unused, written
+from keyloom.llm.kneser_words import SPACES, bytes_at, grouped, word_hashes
 
 #: Rows that one task ranks within a length; more of one length are parted by a hash first.
 RANKED_ROWS = 200_000
 
-#: Bytes of words that a worker remembers, in two generations of half of it each; and of the longest one.
+#: Bytes of words' ids that a worker remembers, and of the longest word that it does.
 REMEMBERED_BYTES, LONGEST = 64 << 20, 256
 
-#: Bytes that a remembered word takes beside its own and its ids'.
-ENTRY_BYTES = 170
+#: Bytes of text whose words are looked up together.
+BATCH_BYTES = 2 << 20
 
 
 # tokens
 
 
+@dataclass(frozen=True)
+class Run:
+    """Remembered words: hashes, ascending, and where each one's ids are."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    ids: np.ndarray
+
+    def size(self) -> int:
+        return self.keys.nbytes + self.first.nbytes + self.many.nbytes + self.ids.nbytes
+
+    def beside(self, other: Run) -> Run:
+        keys = np.append(self.keys, other.keys)
+        order = np.argsort(keys)
+        first, many = np.append(self.first, other.first + len(self.ids)), np.append(self.many, other.many)
+        return Run(keys[order], first[order], many[order], np.append(self.ids, other.ids))
+
+
 class WordTokenizer:
     """Ids of a tokenizer that drops white space and case, from remembered ids of the words between ASCII white space.
 
-    Words are remembered in two generations: when the younger has its bytes it becomes the older, and what is used again
-    moves back. Longer words than LONGEST are encoded each time. A word that ends in a letter and a full stop or comma is
-    that of its letters, then that of the mark.
+    Words are told apart by 64-bit hashes, found in sorted runs; runs of like size are merged, so there are few. When they
+    have their bytes, memory starts afresh. Longer words than LONGEST are encoded each time. A full stop or comma after an
+    ASCII letter is a word of its own.
     """
 
     def __init__(self, path: str, most_bytes: int = REMEMBERED_BYTES):
@@ -55,68 +76,81 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.bytes, self.most_bytes = 0, most_bytes
-        self.long: dict[bytes, bytes] = {}  # of the texts at hand
+        self.runs: list[Run] = []
+        self.most_bytes = most_bytes
         special = next((t.content for t in self.library.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")), None)
         self.mark, self.mark_id = (special.encode(), self.library.token_to_id(special)) if special else (b"", -1)
-        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        return (raw if b"<|" in raw else raw.lower()).split()
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as the library gives them for the word alone: many at a time, parted by a special token where there is one."""
-        out: dict[bytes, bytes] = {}
-        alone = [w for w in words if b"<|" in w] if self.mark else words
-        joined = [w for w in words if b"<|" not in w] if self.mark else []
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, as the library gives them for each alone, and how many each has: many at a time, parted by a special token."""
+        ids, many = [], np.zeros(len(words), np.int64)
+        alone = [k for k, w in enumerate(words) if b"<|" in w or not self.mark]
+        joined = np.delete(np.arange(len(words)), alone)
         for at in range(0, len(joined), 512):
             part = joined[at : at + 512]
-            ids = np.array(self.library.encode_batch_fast([self.mark.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            raw, a = ids.tobytes(), 0
-            for word, b in zip(part, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(raw)], strict=True):
-                out[word] = raw[a:b]
-                a = b + 4
-        for word in alone:
-            out[word] = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return [out[w] for w in words]
-
-    def _remember(self, words: list[bytes], ids: list[bytes]) -> None:
-        self.known.update(zip(words, ids))
-        self.bytes += sum(map(len, words)) + sum(map(len, ids)) + ENTRY_BYTES * len(words)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Makes sure of the ids of all words of ``texts``, of about a megabyte."""
-        distinct: set[bytes] = set().union(*texts)
-        self.long = {}
-        if long := [w for w in distinct if len(w) > LONGEST]:
-            self.long = dict(zip(long, self._encode(long)))
-            distinct.difference_update(long)
-        missing = distinct.difference(self.known)
-        if self.bytes + sum(map(len, missing)) * 2 + ENTRY_BYTES * len(missing) > self.most_bytes // 2:
-            self.older, self.known, self.bytes = self.known, {}, 0
-            missing = distinct
-        known, older = self.known, self.older
-        again = [w for w in missing if w in older]
-        self._remember(again, [older[w] for w in again])
-        new, marked = set(), []
-        for word in missing.difference(again):
-            if word[-1:] in self.marks and word[-2:-1].isalpha():
-                marked.append(word)
-                if word[:-1] not in known:
-                    new.add(word[:-1])
-            else:
-                new.add(word)
-        part = list(new)
-        self._remember(part, self._encode(part))
-        self._remember(marked, [known[w[:-1]] + self.marks[w[-1:]] for w in marked])
-
-    def encode(self, words: list[bytes]) -> bytes:
-        if self.long:
-            return b"".join([self.long[w] if len(w) > LONGEST else self.known[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
+            own = np.array(self.library.encode_batch_fast([self.mark.join([words[k] for k in part]).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(own == self.mark_id), len(own))
+            many[part] = np.diff(ends, prepend=-1) - 1
+            ids.append(own[own != self.mark_id])
+        for k in alone:
+            ids.append(np.array(self.library.encode(words[k].decode(), add_special_tokens=False).ids, np.int64))
+            many[k] = len(ids[-1])
+        order = np.append(joined, np.array(alone, np.int64)).astype(np.int64)
+        flat, ends = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.uint32), np.cumsum(many[order])
+        first = np.empty(len(words), np.int64)
+        first[order] = ends - many[order]
+        return flat[bytes_at(first, many)], many
+
+    def _remember(self, run: Run) -> None:
+        if sum(r.size() for r in self.runs) + run.size() > self.most_bytes:
+            self.runs = []
+        self.runs.append(run)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1].keys) >= len(self.runs[-2].keys):
+            last = self.runs.pop()
+            self.runs[-1] = self.runs[-1].beside(last)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each text."""
+        raw = [t.encode() for t in texts]
+        raw = [t if b"<|" in t else t.lower() for t in raw]
+        text = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        space = SPACES[text]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        sizes = np.flatnonzero(~space[:-1] & space[1:]) + 1 - starts
+        if not len(starts):
+            return [b""] * len(texts)
+        # a full stop or comma after a letter is a word of its own
+        last, before = text[starts + sizes - 1], text[starts + sizes - 2] | 32
+        marked = (sizes > 1) & ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
+        of = np.cumsum(marked) - marked + np.arange(len(starts))
+        all_starts, all_sizes = np.empty(len(starts) + marked.sum(), np.int64), np.ones(len(starts) + marked.sum(), np.int64)
+        all_starts[of], all_sizes[of] = starts, sizes - marked
+        all_starts[of[marked] + 1] = starts[marked] + sizes[marked] - 1
+        starts, sizes = all_starts, all_sizes
+        at, back = grouped(hashes := word_hashes(text, starts, sizes))
+        keys, left = hashes[at], np.arange(len(at))
+        first, many, ids, held = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [], 0
+        for run in self.runs:
+            found = np.minimum(np.searchsorted(run.keys, keys[left]), len(run.keys) - 1)
+            hit = run.keys[found] == keys[left]
+            here, found = left[hit], found[hit]
+            many[here] = run.many[found]
+            first[here] = held + np.cumsum(many[here]) - many[here]
+            ids.append(run.ids[bytes_at(run.first[found], many[here])])
+            held, left = held + len(ids[-1]), left[~hit]
+        if len(left):
+            whole = text.tobytes()
+            own, many[left] = self._encode([whole[a : a + n] for a, n in zip(starts[at[left]].tolist(), sizes[at[left]].tolist())])
+            ends = np.cumsum(many[left])
+            first[left] = held + ends - many[left]
+            ids.append(own)
+            short = sizes[at[left]] <= LONGEST
+            if short.any():
+                kept = left[short]
+                self._remember(Run(keys[kept], np.cumsum(many[kept]) - many[kept], many[kept].astype(np.int32), own[bytes_at((ends - many[left])[short], many[kept])]))
+        flat = np.concatenate(ids)[bytes_at(first[back], many[back])].astype("<u4")
+        ends = np.append(0, np.cumsum(many[back]))[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in raw]) + 1)]
+        return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -136,12 +170,10 @@ def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for part, texts in slices(batches, plain, 1 << 20):
-            split = [tokenizer.words(t) for t in texts]
-            tokenizer.learn(split)
+        for part, texts in slices(batches, plain, BATCH_BYTES):
             rows, pieces, starts, ids = [], [], [], []
-            for row, words in enumerate(split):
-                own = tokenizer.encode(words) + end
+            for row, own in enumerate(tokenizer.encode(texts)):
+                own += end
                 for piece, at in enumerate(range(0, len(own), 4 * most)):
                     rows.append(row)
                     pieces.append(piece)

@@ -268,15 +268,27 @@ def test_memories_are_bounded_by_bytes():
     other = Tokenizer.from_file(Q.tokenizer("byte_bpe_50k.json"))
     for k in range(12):
         t = text()
-        own = words.words(t)
-        words.learn([own])
+        got = words.encode([t, "", " ", t.upper()])
+        assert got[0] == got[3] and got[1:3] == [b"", b""]
         if k % 4 == 3:
-            assert np.frombuffer(words.encode(own), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(got[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
         bpe.learn_batch([t])
         assert k % 4 != 3 or np.frombuffer(bpe.encode(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
-        assert size_of(words.known) + size_of(words.older) <= 2 << 20
+        assert sum(r.size() for r in words.runs) <= 1 << 20
         assert size_of(bpe.first) + size_of(bpe.after_space) <= 2 << 20
-        assert not any(len(w) > 1000 for held in (words.known, words.older, bpe.after_space) for w in held)
+        assert not any(len(w) > 1000 for w in bpe.after_space) and all((np.diff(r.keys.astype(float)) >= 0).all() for r in words.runs)
+
+
+def test_words_random():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(Q.tokenizer("word_bpe_49k.json")), WordTokenizer(Q.tokenizer("word_bpe_49k.json"), 1 << 18)
+    random.seed(2)
+    alphabet = list("aethAET  \n\t\r.,'sdéÉ漢́\x1c\x85ñ12日😀 ll!?") + ["<|endoftext|>", "  ", "., ", "a.", "<|", "|>", "'s", "İ", "ß", "ﬁ"]
+    for _ in range(150):
+        texts = ["".join(random.choices(alphabet, k=random.randrange(40))) for _ in range(60)]
+        for text, got in zip(texts, words.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_any_names_hot_rows_and_long_texts(spark, tmp_path):
