@@ -21,14 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from keyloom.llm.common import resident, unused
+from keyloom.llm.word_hashes import SPACES, Memory, bytes_at, grouped, mix, word_hashes
 
 #: Pieces of the byte-level pre-tokenizer; white space by its Unicode property, as \\s of the engines differs.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Bytes of words that a worker remembers, and what one takes beside its own and its ids'; beyond it, its memory starts afresh.
-REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 180
+#: Bytes of words' ids that a worker remembers; beyond it, its memory starts afresh.
+REMEMBERED_BYTES = 64 << 20
 
-#: Characters of the longest word that is remembered, and pairs of tokens.
+#: Bytes of the longest word that is remembered, and pairs of tokens.
 LONGEST, PAIRS = 256, 400_000
 
 
@@ -67,9 +68,11 @@ class TrieBpe:
         self.pieces = regex.compile(PIECES)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.apart: dict[int, bool] = {}  # by both tokens in one number
-        self.first: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-        self.bytes, self.most_bytes = 0, REMEMBERED_BYTES if most_bytes is None else most_bytes
+        self.memory = Memory(REMEMBERED_BYTES if most_bytes is None else most_bytes)
+        # of each token, where its bytes are in one array of them all, and how many
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether no merge across their border would come before the merges that make tokens a and b."""
@@ -126,51 +129,83 @@ class TrieBpe:
             before = word
         return out
 
-    def _learn(self, chunks: set[str], into: dict[str, bytes], lead: str) -> None:
-        """Ids of whole chunks of text (each after ``lead``), from the pieces that the pre-tokenizer cuts."""
-        if self.bytes + sum(map(len, chunks)) * 2 + ENTRY_BYTES * len(chunks) > self.most_bytes:
-            self.first.clear()
-            self.after_space.clear()
-            self.bytes = 0
-        cut = {c: [p.encode() for p in self.pieces.findall(lead + c)] for c in chunks}
-        ids = self.encode_words({p for pieces in cut.values() for p in pieces})
-        for c, pieces in cut.items():
-            into[c] = own = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
-            self.bytes += len(c) + len(own) + ENTRY_BYTES
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of text without special tokens. Before a space that follows no white space, or that black space follows, pieces part."""
-        first, *rest = text.split(" ")
-        missing = set(rest).difference(self.after_space)
-        if len(first) > LONGEST or any(not w or len(w) > LONGEST or w[0].isspace() for w in missing):
-            ids = self.encode_words({p.encode() for p in self.pieces.findall(text)})
-            return b"".join([ids[p.encode()] for p in self.pieces.findall(text)])
-        if first not in self.first:
-            self._learn({first}, self.first, "")
-        head = self.first[first]
-        if missing := set(rest).difference(self.after_space):
-            self._learn(missing, self.after_space, " ")
-            if missing := set(rest).difference(self.after_space):  # the memory started afresh
-                self._learn(missing, self.after_space, " ")
-        return head + b"".join(map(self.after_space.__getitem__, rest))
-
-    def learn_batch(self, texts: list[str]) -> None:
-        """Words of many texts at once, so that one trie holds them all."""
-        missing: set[str] = set()
-        for text in texts:
-            missing |= set(text.split(" ")[1:]).difference(self.after_space)
-        missing = {w for w in missing if w and len(w) <= LONGEST and not w[0].isspace()}
-        if missing:
-            self._learn(missing, self.after_space, " ")
+    def _pieces(self, text: str) -> bytes:
+        """Ids of text without special tokens, from the pieces that the pre-tokenizer cuts."""
+        pieces = [p.encode() for p in self.pieces.findall(text)]
+        ids = self.encode_words(set(pieces))
+        return b"".join([ids[p] for p in pieces])
 
-    def encode(self, text: str) -> bytes:
-        """Ids as the library's ``encode(text, add_special_tokens=False)``: strings of special tokens become their ids."""
+    def _alone(self, text: str) -> bytes:
+        """Ids of any text; strings of special tokens become their ids."""
         if self.split_special is None or not any(s in text for s in self.special):
-            return self._plain(text) if text else b""
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.split_special.split(text) if p)
+            return self._pieces(text) if text else b""
+        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._pieces(p) for p in self.split_special.split(text) if p)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has: one trie holds the pieces of them all."""
+        cut = [[p.encode() for p in self.pieces.findall(w)] for w in words]
+        ids = self.encode_words({p for pieces in cut for p in pieces})
+        own = [ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]) for pieces in cut]
+        return np.frombuffer(b"".join(own), np.uint32), np.array([len(x) // 4 for x in own], np.int64)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the library's ``encode(text, add_special_tokens=False)``.
+
+        Before a space that follows no white space, or that black space follows, pieces part. So texts whose words stand
+        between single spaces are taken word by word, with the space before them, from memory; others piece by piece.
+        """
+        raw = [t.encode() for t in texts]
+        whole = b"\n".join([b"", *raw, b""])
+        text = np.frombuffer(whole, np.uint8)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        begins = np.cumsum(lengths + 1) - lengths  # of texts
+        gaps = np.flatnonzero(text == 32)
+        starts = np.sort(np.append(gaps + 1, begins))  # of words: after each space and at each text
+        of = np.searchsorted(begins, starts, "right") - 1
+        sizes = np.minimum(np.append(starts[1:], len(text) + 1) - 1, (begins + lengths)[of]) - starts
+        odd = np.zeros(len(texts), bool)
+        head = starts == begins[of]
+        white = (sizes == 0) | starts_white(text, starts)
+        odd[of[white & ~(head & (sizes > 0))]] = True
+        odd[[k for k, t in enumerate(texts) if any(s in t for s in self.special)]] = True
+        use = np.flatnonzero(~odd[of])
+        out = [b""] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._alone(texts[k])
+        if not len(use):
+            return out
+        starts, sizes, of, head = starts[use], sizes[use], of[use], head[use]
+        hashes = mix(word_hashes(text, starts, sizes), head.astype(np.uint64), 9, (1 << 64) - 1)
+        at, back = grouped(hashes)
+
+        def learn(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = zip(starts[at[left]].tolist(), sizes[at[left]].tolist(), head[at[left]].tolist())
+            return self._learn([("" if first else " ") + whole[a : a + n].decode() for a, n, first in rows])
+
+        first, many, ids = self.memory.look_up(hashes[at], sizes[at] <= LONGEST, learn)
+        flat = ids[bytes_at(first[back], many[back])].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(of, many[back], len(texts)).astype(np.int64))
+        for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if not odd[k]:
+                out[k] = flat[a:b]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        own = np.frombuffer(ids, "<u4")
+        return self.all_bytes[bytes_at(self.places[own], self.sizes[own])].tobytes().decode("utf-8", "replace")
+
+
+def starts_white(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether white space (by Unicode's property or Python's) begins at each place of UTF-8."""
+    padded = np.append(text, np.zeros(3, np.uint8))
+    a, b, c = (padded[starts + k] for k in range(3))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+    three |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return SPACES[a] | (a >= 28) & (a <= 31) | two | three
 
 
 def loaded(path: str) -> TrieBpe:
@@ -203,9 +238,8 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for part, texts in slices(batches, plain):
-            bpe.learn_batch(texts)
-            ids = [bpe.encode(t) for t in texts]
+        for part, texts in slices(batches, plain, 2 << 20):
+            ids = bpe.encode_batch(texts)
             columns = [part.column(k) for k in range(len(keep))] + [pa.array(ids, pa.binary())]
             names = [*keep, ids_col]
             if decoded_col:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
 from keyloom.llm.common import discard, free_shuffles, remove, scratch, split_written, unused, written
+from keyloom.llm.word_hashes import SPACES, bytes_at, grouped, mix, word_hashes
 
 #: Bytes of text of a chunk (a longer document makes a larger one) and of all documents to a shard of each table.
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
@@ -128,25 +129,6 @@ def joined_grams(blobs: list[bytes], size: int) -> list[np.ndarray]:
     return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint64 if k < size else np.int64) for k in range(size + 1)]
 
 
-def mix(a: np.ndarray, b: np.ndarray, salt: int, mask: int) -> np.ndarray:
-    """One key of two, in that order, with the bits of ``mask``."""
-    x = (a ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(29)) + b * np.uint64(0xD6E8FEB86659FD93)
-    for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return (x ^ x >> np.uint64(32)) & np.uint64(mask)
-
-
-def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal values, the place of one of them, by ascending value; and which of those each place has."""
-    order = np.argsort(code)
-    ordered = code[order]
-    new = np.append(True, ordered[1:] != ordered[:-1]) if len(code) else np.zeros(0, bool)
-    back = np.empty(len(code), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back
-
-
 def distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
@@ -185,33 +167,6 @@ def as_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[x for x, _ in types])
 
 
-#: A word's hash is the sum of a random number of each byte times a factor to the power of its place, up to a place from which powers come again.
-PLACES = 1 << 16
-SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
-_OF_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def _powers(factor: int) -> np.ndarray:
-    return np.append(np.uint64(1), np.cumprod(np.full(PLACES - 1, factor & (1 << 64) - 1, np.uint64)))
-
-
-_POWERS, _INVERSES = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
-
-
-def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words of a text. From running sums; words across a multiple of PLACES are summed up apart."""
-    terms = np.zeros((-(-len(text) // PLACES), PLACES), np.uint64)
-    terms.reshape(-1)[: len(text)] = _OF_BYTE[text]
-    terms *= _POWERS
-    sums = np.append(np.uint64(0), np.cumsum(terms.reshape(-1)[: len(text)], dtype=np.uint64))
-    total = (sums[starts + sizes] - sums[starts]) * _INVERSES[starts % PLACES]
-    for k in np.flatnonzero(starts // PLACES != (starts + sizes - 1) // PLACES).tolist():
-        own = _OF_BYTE[text[starts[k] : starts[k] + sizes[k]]]
-        total[k] = sum((int((own[a : a + PLACES] * _POWERS[: len(own) - a]).sum(dtype=np.uint64)) for a in range(0, len(own), PLACES))) & (1 << 64) - 1
-    return mix(total, sizes.astype(np.uint64), 5, (1 << 64) - 1)
-
-
 _START = np.array([START_KEY], np.uint64)
 
 
@@ -289,12 +244,6 @@ class Chunk:
         return np.where(self.sizes > 0, np.bincount(self.doc, size, len(self.sizes)), 0).astype(np.int64)
 
 
-def bytes_at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of all bytes of words, one word after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def texts_of(column: pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null: empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

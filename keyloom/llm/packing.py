@@ -18,7 +18,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import types as T
 
 from keyloom.llm.bpe import slices
 from keyloom.llm.common import resident, unused, written
-from keyloom.llm.kneser_words import SPACES, bytes_at, grouped, word_hashes
+from keyloom.llm.word_hashes import SPACES, Memory, bytes_at, grouped, word_hashes
 
 #: Rows that one task ranks within a length; more of one length are parted by a hash first.
 RANKED_ROWS = 200_000
@@ -43,30 +42,10 @@ BATCH_BYTES = 2 << 20
 # tokens
 
 
-@dataclass(frozen=True)
-class Run:
-    """Remembered words: hashes, ascending, and where each one's ids are."""
-
-    keys: np.ndarray
-    first: np.ndarray
-    many: np.ndarray
-    ids: np.ndarray
-
-    def size(self) -> int:
-        return self.keys.nbytes + self.first.nbytes + self.many.nbytes + self.ids.nbytes
-
-    def beside(self, other: Run) -> Run:
-        keys = np.append(self.keys, other.keys)
-        order = np.argsort(keys)
-        first, many = np.append(self.first, other.first + len(self.ids)), np.append(self.many, other.many)
-        return Run(keys[order], first[order], many[order], np.append(self.ids, other.ids))
-
-
 class WordTokenizer:
     """Ids of a tokenizer that drops white space and case, from remembered ids of the words between ASCII white space.
 
-    Words are told apart by 64-bit hashes, found in sorted runs; runs of like size are merged, so there are few. When they
-    have their bytes, memory starts afresh. Longer words than LONGEST are encoded each time. A full stop or comma after an
+    Words are told apart by 64-bit hashes. Longer words than LONGEST are encoded each time. A full stop or comma after an
     ASCII letter is a word of its own.
     """
 
@@ -76,8 +55,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.runs: list[Run] = []
-        self.most_bytes = most_bytes
+        self.memory = Memory(most_bytes)
         special = next((t.content for t in self.library.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")), None)
         self.mark, self.mark_id = (special.encode(), self.library.token_to_id(special)) if special else (b"", -1)
 
@@ -101,14 +79,6 @@ class WordTokenizer:
         first[order] = ends - many[order]
         return flat[bytes_at(first, many)], many
 
-    def _remember(self, run: Run) -> None:
-        if sum(r.size() for r in self.runs) + run.size() > self.most_bytes:
-            self.runs = []
-        self.runs.append(run)
-        while len(self.runs) > 1 and 2 * len(self.runs[-1].keys) >= len(self.runs[-2].keys):
-            last = self.runs.pop()
-            self.runs[-1] = self.runs[-1].beside(last)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of each text."""
         raw = [t.encode() for t in texts]
@@ -128,27 +98,12 @@ class WordTokenizer:
         all_starts[of[marked] + 1] = starts[marked] + sizes[marked] - 1
         starts, sizes = all_starts, all_sizes
         at, back = grouped(hashes := word_hashes(text, starts, sizes))
-        keys, left = hashes[at], np.arange(len(at))
-        first, many, ids, held = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [], 0
-        for run in self.runs:
-            found = np.minimum(np.searchsorted(run.keys, keys[left]), len(run.keys) - 1)
-            hit = run.keys[found] == keys[left]
-            here, found = left[hit], found[hit]
-            many[here] = run.many[found]
-            first[here] = held + np.cumsum(many[here]) - many[here]
-            ids.append(run.ids[bytes_at(run.first[found], many[here])])
-            held, left = held + len(ids[-1]), left[~hit]
-        if len(left):
+        def learn(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             whole = text.tobytes()
-            own, many[left] = self._encode([whole[a : a + n] for a, n in zip(starts[at[left]].tolist(), sizes[at[left]].tolist())])
-            ends = np.cumsum(many[left])
-            first[left] = held + ends - many[left]
-            ids.append(own)
-            short = sizes[at[left]] <= LONGEST
-            if short.any():
-                kept = left[short]
-                self._remember(Run(keys[kept], np.cumsum(many[kept]) - many[kept], many[kept].astype(np.int32), own[bytes_at((ends - many[left])[short], many[kept])]))
-        flat = np.concatenate(ids)[bytes_at(first[back], many[back])].astype("<u4")
+            return self._encode([whole[a : a + n] for a, n in zip(starts[at[left]].tolist(), sizes[at[left]].tolist())])
+
+        first, many, ids = self.memory.look_up(hashes[at], sizes[at] <= LONGEST, learn)
+        flat = ids[bytes_at(first[back], many[back])].astype("<u4")
         ends = np.append(0, np.cumsum(many[back]))[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in raw]) + 1)]
         return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
