@@ -3,6 +3,7 @@
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ def test_sql_says_the_same(spark, sf, name):
     want = con.sql(SQL[name]).df()
     got = QUERIES[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    key = lambda df: sorted(json.dumps([str(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
+    plain = lambda x: [str(y) for y in x] if isinstance(x, (list, np.ndarray)) else str(x)
+    key = lambda df: sorted(json.dumps([plain(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
     assert key(got) == key(want)
 
 
