@@ -18,6 +18,9 @@ from keyloom.llm.common import unused
 #: Expected bytes of a bucket, which one task holds in memory at a time. A longer record makes a larger bucket.
 BUCKET_BYTES = 16 << 20
 
+#: Buckets whose rows are added up in one task.
+GROUP = 4096
+
 SEED = 42
 
 
@@ -40,8 +43,13 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col
     buckets = max(1, -(-total[1] // bucket_bytes))
     rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), id_col, row), F.lit(buckets)))
     counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    starts = counts.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))
+    # rows before each bucket, in two levels: within groups of buckets, and of the groups
+    counts = counts.withColumn("_group", F.floor(F.col(bucket) / GROUP))
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_group", F.coalesce(F.sum("_n").over(before.orderBy("_group")), F.lit(0)).alias("_first"))  # one row a group
+    within = F.coalesce(F.sum("_n").over(before.partitionBy("_group").orderBy(bucket)), F.lit(0))
+    starts = counts.withColumn("_before", within).join(groups, "_group").select(bucket, (F.col("_first") + F.col("_before")).cast("long").alias("_start"))
     count, at = total[0], [*names, "size"]
 
     def fisher_yates(records: pa.Table, start: pa.Table) -> pa.Table:

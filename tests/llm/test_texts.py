@@ -131,7 +131,8 @@ def check_shards(rows, shards):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_sharding_odd(spark, odd, none, tmp_path):
+def test_sharding_odd(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr("keyloom.llm.sharding.GROUP", 7)
     out = two_pass_shuffle(odd, 4, bucket_bytes=1000)
     rows = out.collect()
     assert len(rows) == odd.count() and set(out.columns) == set(odd.columns) | {"slot"}
