@@ -49,7 +49,7 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("_group", F.coalesce(F.sum("_n").over(before.orderBy("_group")), F.lit(0)).alias("_first"))  # one row a group
     within = F.coalesce(F.sum("_n").over(before.partitionBy("_group").orderBy(bucket)), F.lit(0))
-    starts = counts.withColumn("_before", within).join(groups, "_group").select(bucket, (F.col("_first") + F.col("_before")).cast("long").alias("_start"))
+    starts = counts.withColumn("_before", within).join(groups, "_group").select(F.col(bucket).alias(bucket), (F.col("_first") + F.col("_before")).cast("long").alias("_start"))
     count, at = total[0], [*names, "size"]
 
     def fisher_yates(records: pa.Table, start: pa.Table) -> pa.Table:
