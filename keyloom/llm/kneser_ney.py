@@ -121,6 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     docs = docs.drop("perplexity", "threshold", "kept")
     ident, trusted, bits, size = (unused(docs, x) for x in ("id", "trusted", "bits", "bytes"))
     ids = labels.where("quality = 1").select(F.col("doc_id").alias(ident)).where(F.col(ident).isNotNull()).distinct()
+    ids = written(ids, "trusted")  # each round asks for them
     marked = docs.join(maybe_broadcast(ids, 16), docs[id_col] == F.col(ident), "left").withColumn(trusted, F.col(ident).isNotNull()).drop(ident)
     letters = train_letters(marked.where(trusted).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("words")))
     scored = scores(marked.withColumn(bits, F.col(trusted)), letters, id_col, text_col, bits, with_text, rounds, (bits, size))
