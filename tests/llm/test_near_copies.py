@@ -4,8 +4,10 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
-from keyloom.llm.simhash import bucket_links, keep_one_of_each, shingles
+from keyloom.llm.simhash import ENTRY, FAR, ORDERS, block_keys, block_pairs, bucket_links, keep_one_of_each, shingles, wide_fingerprint
 
 
 def sets_of(texts):
@@ -76,3 +78,55 @@ def test_secrets_are_owned_in_the_whole_corpus(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.doc_id: r for r in corpus_pipeline.secret_scans(spark, docs.where("doc_id in (3, 9)"), str(tmp_path)).collect()}
     assert out[3].text == rows[3][1] and out[9].text == "token=[SECRET] alone" and out[9].n_chars == len(out[9].text)
+
+
+def drawn_out(h):
+    """The 1024 bits of a shingle's hash."""
+    out = []
+    for seed in np.random.default_rng(11).integers(0, 1 << 63, 16, np.uint64).tolist():
+        x, most = (h ^ seed) * 0x9E3779B97F4A7C15, (1 << 64) - 1
+        x = ((x & most) ^ (x & most) >> 30) * 0xBF58476D1CE4E5B9
+        x = ((x & most) ^ (x & most) >> 27) * 0x94D049BB133111EB
+        out += [((x & most) ^ (x & most) >> 31) >> k & 1 for k in range(64)]
+    return np.array(out)
+
+
+def test_wide_fingerprint_is_a_simhash():
+    rng = np.random.default_rng(2)
+    drawn = {h: drawn_out(h) for h in rng.integers(0, 1 << 63, 60, np.uint64).tolist()}
+    for n in (0, 1, 2, 3, 4, 7, 8, 31, 60):
+        hashes = list(drawn)[:n]
+        want = 2 * sum((drawn[h] for h in hashes), np.zeros(1024, np.int64)) > n
+        got = wide_fingerprint(np.array(hashes, np.uint64))
+        assert (np.unpackbits(got.astype("<u8").view(np.uint8), bitorder="little") == want).all(), n
+    many = rng.integers(0, 1 << 63, 9001, np.uint64)  # longer than what is counted at once
+    assert (wide_fingerprint(many) == wide_fingerprint(many[::-1])).all()
+
+
+def test_sets_at_the_limit_share_blocks():
+    rng = np.random.default_rng(3)
+    for both, own in ((8, 1), (80, 10), (400, 50)):
+        wide = []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, both + 2 * own, np.uint64)
+            wide.append((wide_fingerprint(h[: both + own]), wide_fingerprint(np.append(h[:both], h[both + own :]))))
+        a, b = (np.array(x) for x in zip(*wide))
+        assert sum((block_keys(a, k) == block_keys(b, k)).sum(1) for k in range(ORDERS)).min() > 0
+        assert np.bitwise_count(a[:, :2] ^ b[:, :2]).sum(1).max() <= FAR
+
+
+def test_block_pairs_are_all_that_are_near(monkeypatch):
+    rng = np.random.default_rng(5)
+    entries = np.zeros(400, ENTRY)
+    entries["key"], entries["size"], entries["class"] = rng.integers(0, 40, 400), rng.integers(50, 90, 400), rng.permutation(400)
+    entries["sketch"] = rng.integers(0, 1 << 63, (3, 2), np.uint64)[rng.integers(0, 3, 400)]
+    want = set()
+    for a, b in combinations(entries, 2):
+        few = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a["sketch"], b["sketch"])) <= FAR
+        if a["key"] == b["key"] and few and min(a["size"], b["size"]) >= 0.8 * max(a["size"], b["size"]):
+            want.add(tuple(sorted((int(a["class"]), int(b["class"])))))
+    assert {tuple(x.tolist()) for x in block_pairs(entries, 0.8)} == want and len(want) > 100
+    assert block_pairs(entries[:0], 0.8) == []
+    monkeypatch.setattr("keyloom.llm.simhash.LARGE", 3)  # larger blocks are given whole
+    found = block_pairs(entries, 0.8)
+    assert want <= {p for x in found for p in combinations(x.tolist(), 2)} and max(map(len, found)) > 3
