@@ -28,6 +28,12 @@ MOST_OWNERS, MOST_REPOSITORIES = 2, 10
 
 LIVE = "live"
 
+#: Signs that values are of, whatever their kind, and the least length of one.
+SIGNS, LEAST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", min(least for *_, least in KINDS)
+
+#: Live values of a row up to which they are replaced one after another in its whole text.
+FEW_VALUES = 64
+
 
 def matches(text: Column, pattern: str, group: int) -> Column:
     """Array of (gap: code points since the match before, length, value) of the leftmost matches, without overlaps."""
@@ -40,8 +46,9 @@ def matches(text: Column, pattern: str, group: int) -> Column:
 
 
 def looks_random(value: Column) -> Column:
-    """Letters and digits, at least eight different signs, and no word that placeholders have."""
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike("(?i)example|sample|changeme|placeholder|x{6}|0{8}|12345678")
+    """Letters and digits, at least eight different signs, and no word that placeholders have. Values are of ``SIGNS``, and may be long."""
+    different = F.size(F.filter(F.array(*map(F.lit, SIGNS)), lambda sign: F.contains(value, sign)))
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (different >= 8) & ~value.rlike("(?i)example|sample|changeme|placeholder|x{6}|0{8}|12345678")
 
 
 def candidates(docs: DataFrame, keep: list[str], owner_col: str | None, repository_col: str | None, text_col: str) -> DataFrame:
@@ -118,18 +125,54 @@ def secret_spans(docs: DataFrame, owner_col: str | None = "source", repository_c
     return rows.join(per, "_row", "left").na.fill(none).select(F.col("row").getField(id_col).alias(id_col), *none)
 
 
+def replaced(text: Column, live: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in place of each value of ``live`` (an array of ``longest_first``), one after another."""
+    return F.aggregate(live, text, lambda t, v: F.replace(t, v["value"], F.lit(mark)))
+
+
+def longest_first() -> Column:
+    return F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("n"), "value"))).alias("live")
+
+
+def redacted_by_piece(texts: DataFrame, live: DataFrame, mark: str) -> DataFrame:
+    """_row and text of ``texts`` (the same columns), with ``mark`` for the values that ``live`` (_row, value) has of the row.
+
+    For rows of many values: the text is cut into pieces that end with a run of signs that the row's values have, so no
+    value crosses a cut, and in a piece only the values whose first signs it holds are replaced. As if all were, one after another.
+    """
+    signs = F.concat(F.lit("[A-Za-z0-9"), *[F.when(F.max(F.contains("value", F.lit(c))), c).otherwise("") for c in "+/_.=-"], F.lit("]"))
+    cut = texts.join(live.groupBy("_row").agg(signs.alias("signs")), "_row")
+    piece = F.posexplode(F.regexp_extract_all("text", F.concat(F.lit("(?s).*?"), "signs", F.lit(f"{{{LEAST},}}|.+")), F.lit(0)))
+    pieces = written(cut.select("_row", "signs", piece.alias("at", "piece")), "pieces")
+    first = F.regexp_extract_all("piece", F.concat(F.lit("(?=("), "signs", F.lit(f"{{{LEAST}}}))")), F.lit(1))
+    begins = pieces.select("_row", "at", F.explode(F.array_distinct(first)).alias("first"))
+    there = begins.join(live.withColumn("first", F.left("value", F.lit(LEAST))), ["_row", "first"])
+    out = pieces.join(there.groupBy("_row", "at").agg(longest_first()), ["_row", "at"], "left")
+    clean = F.when(F.col("live").isNull(), F.col("piece")).otherwise(replaced(F.col("piece"), F.col("live"), mark))
+    whole = F.sort_array(F.collect_list(F.struct("at", clean.alias("piece"))))
+    return out.groupBy("_row").agg(F.array_join(whole["piece"], "").alias("text"))
+
+
 def redact_live(docs: DataFrame, owner_col: str = "source", repository_col: str | None = None, text_col: str = "text", mark: str = "[SECRET]", corpus: DataFrame | None = None) -> DataFrame:
     """``docs``, all rows and columns, with ``mark`` in place of each live value, wherever in the rows that have it. Examples stay.
 
     ``corpus``: where owners are counted, such as the documents before they were deduplicated. The values of a row go to it by
     its place; they are broadcast if their bytes are few, else the rows are shuffled once. Nulls, repeated rows and columns
-    of any names stay as they are; an empty table stays empty.
+    of any names stay as they are; an empty table stays empty. Longer values go first, wherever they overlap. Rows of more
+    than ``FEW_VALUES`` values are cut into pieces, else each value would be sought in the whole text.
     """
     rows, spans = scan(docs, owner_col, repository_col, docs.columns, text_col, corpus)
     live = written(spans.where("live").select("_row", "value").distinct(), "live-values")
-    size = live.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
-    per = live.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value"))).alias("live"))
+    many = written(live.groupBy("_row").count().where(F.col("count") > FEW_VALUES).select("_row"), "many-values")
+    few = live.join(many, "_row", "left_anti")
+    size = few.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
+    per = few.groupBy("_row").agg(longest_first())
     out = rows.join(F.broadcast(per) if size <= BROADCAST_BYTES else per, "_row", "left")
     text = F.col("row").getField(text_col)
-    clean = F.aggregate("live", text, lambda t, v: F.replace(t, v["value"], F.lit(mark)))
-    return out.select(*[F.when(F.col("live").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    clean = F.when(F.col("live").isNull(), text).otherwise(replaced(text, F.col("live"), mark))
+    if not many.isEmpty():
+        texts = rows.join(many, "_row", "left_semi").select("_row", text.alias("text"))
+        pieced = written(redacted_by_piece(texts, live.join(many, "_row", "left_semi"), mark), "redacted")
+        out = out.join(pieced, "_row", "left")
+        clean = F.coalesce("text", clean)
+    return out.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
