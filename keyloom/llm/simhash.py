@@ -39,6 +39,9 @@ FAR = 44
 #: Classes of a bucket beyond which it is parted by the sizes of their sets.
 LARGE = 500
 
+#: Rounds in which sets are sent to where they are compared, which bounds the disk, and members of buckets for which one is enough.
+LINK_ROUNDS, ROUND_ROWS = 4, 50_000
+
 #: Classes of which one task compares the bits of one block.
 SHARD_ROWS = 250_000
 
@@ -307,17 +310,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     # sets of those that are compared, from one row of each class
     compared = written(distinct.join(members.select("class").distinct(), "class", "left_semi").select("class", "row"), "compared")
     sets = written(texts.join(maybe_broadcast(compared, 32), "row").select("class", "words").mapInArrow(whole, "class long, size int, hashes binary"), "shingles")
-    bucket = members.join(sets, "class")
     by_size = F.floor(F.log(F.greatest("size", F.lit(1))) / (-math.log(similarity) * 1.0001)).cast("int")
     at = F.when(F.col("n") > LARGE, F.array(by_size, by_size + 1)).otherwise(F.array(F.lit(-1)))
-    links = bucket.withColumn("at", F.explode(at)).groupBy("key", "at").applyInArrow(link, "a long, b long").distinct()
+    rounds, linked = min(LINK_ROUNDS, 1 + members.count() // ROUND_ROWS), []
+    for r in range(rounds):
+        bucket = members.where(F.pmod("key", F.lit(rounds)) == r).join(sets, "class").withColumn("at", F.explode(at))
+        linked.append(written(bucket.groupBy("key", "at").applyInArrow(link, "a long, b long").distinct(), "links"))
+        del bucket
+        if rounds > 1:
+            free_shuffles(docs.sparkSession)
+    links = reduce(DataFrame.unionByName, linked).distinct()
     roots = written(components(links), "roots")
     classes = rows.groupBy("class").agg(F.min("id").alias("rep")).join(roots.withColumnRenamed("v", "class"), "class", "left")
     classes = written(classes.withColumn("root", F.coalesce("root", "class")), "classes")
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = classes.join(least, "root").select("class", "root", "component_id")
     found = written(rows.select("row", "id", "class").join(named, "class").select("row", F.col("id").alias(id_col), "component_id", "root"), "near-copies")
-    discard(rows, distinct, members, compared, sets, roots, classes)
+    discard(rows, distinct, members, compared, sets, *linked, roots, classes)
     return found
 
 

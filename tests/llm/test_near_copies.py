@@ -130,3 +130,25 @@ def test_block_pairs_are_all_that_are_near(monkeypatch):
     monkeypatch.setattr("keyloom.llm.simhash.LARGE", 3)  # larger blocks are given whole
     found = block_pairs(entries, 0.8)
     assert want <= {p for x in found for p in combinations(x.tolist(), 2)} and max(map(len, found)) > 3
+
+
+def test_sets_are_sent_in_rounds(spark, tmp_path, monkeypatch):
+    """No shuffle carries half of the sets of all pairs, and no link is lost."""
+    monkeypatch.setattr("keyloom.llm.simhash.ROUND_ROWS", 20, raising=False)
+    random.seed(7)
+    texts = []
+    for _ in range(100):
+        words = [f"w{random.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:399], "edit"])]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    assert {r.doc_id for r in keep_one_of_each(spark.read.parquet(path)).collect()} == kept_by_hand(texts)
+    most = max(n for k, n in stages().items() if k not in before)
+    assert most < len(texts) * 396 * 8 / 2
