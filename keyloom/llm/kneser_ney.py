@@ -49,7 +49,7 @@ def summed_counts(docs: DataFrame, size: int, places: Callable[[np.ndarray], np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for _, texts in slices(batches, text):
+        for _, texts in slices(batches, text, 1 << 19):  # small arrays stay in the processor's memory
             total += np.bincount(places(bytes_of(texts)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["at", "n"])
@@ -86,7 +86,7 @@ class Letters:
 
 def class_triples(b: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Each byte as a class, with the two classes before it, but for the two spaces that begin a text."""
-    c, ends = of[b], b == 0
+    c, ends = of.astype(np.int32)[b], b == 0
     triples = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
     return triples[~(ends[:-2] | ends[1:-1])]
 
@@ -103,7 +103,7 @@ def letters_of(of: np.ndarray, counts: np.ndarray, triples: np.ndarray) -> Lette
 def train_letters(docs: DataFrame) -> Letters:
     """One pass over the whole texts of a frame whose one column is text; no shuffle but of each task's sums."""
     of = byte_classes()
-    found = summed_counts(docs, 256 + CLASSES**3, lambda b: np.append(b.astype(np.int64), 256 + class_triples(b, of)))
+    found = summed_counts(docs, 256 + CLASSES**3, lambda b: np.append(b.astype(np.int32), 256 + class_triples(b, of)))
     return letters_of(of, found[:256], found[256:])
 
 

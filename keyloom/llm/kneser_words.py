@@ -483,11 +483,11 @@ def document_bits(chunk: Chunk, own: np.ndarray, spelt: np.ndarray, triples: np.
 
 def _mixed(n: np.ndarray, total: np.ndarray, left: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Logarithms of the shares of a level; where a context wasn't seen, the lower level's as they are."""
-    out = lower.copy()
-    seen = np.flatnonzero(total > 0)
-    n, total, left, lower = n[seen], total[seen], left[seen], lower[seen]
     share = ((n - d[np.minimum(n, 3)]) + left * np.exp2(lower)) / total
-    out[seen] = np.where(share > 0, np.log2(share), np.log2(left / total) + lower)
+    seen = total > 0
+    out = np.where(seen, np.log2(share), lower)
+    none = np.flatnonzero(seen & ~(share > 0))
+    out[none] = np.log2(left[none] / total[none]) + lower[none]
     return out
 
 

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: A word's hash is the sum of a random number of each byte times a factor to the power of its place, up to a place from which powers come again.
-PLACES = 1 << 16
+#: Words of more bytes are summed up: a random number of each byte times a factor to the power of its place, up to a place from which powers come again.
+SHORT, PLACES = 32, 1 << 16
 SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 _OF_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -18,11 +18,34 @@ def _powers(factor: int) -> np.ndarray:
     return np.append(np.uint64(1), np.cumprod(np.full(PLACES - 1, factor & (1 << 64) - 1, np.uint64)))
 
 
+#: The bits of so many bytes.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _POWERS, _INVERSES = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
 
 
 def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words of a text. From running sums; words across a multiple of PLACES are summed up apart."""
+    """64-bit hashes of words of a text: of short ones from eight bytes at once, of others from sums over their bytes."""
+    eights = np.zeros(len(text) // 8 + 2, "<u8")
+    eights.view(np.uint8)[: len(text)] = text
+    total = np.zeros(len(starts), np.uint64)
+    here, at, left = np.arange(len(starts)), starts, sizes
+    for done in range(0, SHORT, 8):
+        if done:
+            here = np.flatnonzero(sizes > done)
+            at, left = starts[here] + done, sizes[here] - done
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = eights[place] >> shift | eights[place + 1] << np.uint64(63) - shift << np.uint64(1)
+        x = (total[here] ^ x & _BYTES[np.minimum(left, 8)]) * np.uint64(_FACTOR)
+        total[here] = x ^ x >> np.uint64(32)
+    if len(long := np.flatnonzero(sizes > SHORT)):
+        size = sizes[long]
+        total[long] = summed_bytes(text[bytes_at(starts[long], size)], np.cumsum(size) - size, size)
+    return mix(total, sizes.astype(np.uint64), 5, (1 << 64) - 1)
+
+
+def summed_bytes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A sum over each word's bytes, from running sums; words across a multiple of PLACES are summed up apart."""
     terms = np.zeros((-(-len(text) // PLACES), PLACES), np.uint64)
     terms.reshape(-1)[: len(text)] = _OF_BYTE[text]
     terms *= _POWERS
@@ -31,7 +54,7 @@ def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     for k in np.flatnonzero(starts // PLACES != (starts + sizes - 1) // PLACES).tolist():
         own = _OF_BYTE[text[starts[k] : starts[k] + sizes[k]]]
         total[k] = sum((int((own[a : a + PLACES] * _POWERS[: len(own) - a]).sum(dtype=np.uint64)) for a in range(0, len(own), PLACES))) & (1 << 64) - 1
-    return mix(total, sizes.astype(np.uint64), 5, (1 << 64) - 1)
+    return total
 
 
 def mix(a: np.ndarray, b: np.ndarray, salt: int, mask: int) -> np.ndarray:
