@@ -7,13 +7,13 @@ and its neighbours at one differing bit among the other blocks; fingerprints wit
 whoever names it is linked to one of them, again after verification. No link is lost and none is added.
 
 Copies that are alike in four of five shingles may differ in many bits of 64. ``near_copies``, for the pipeline, takes
-fingerprints of 1024 bits in four orders of 64 blocks: those that agree in a block and differ in few bits of 128 are
-candidates, and their whole sets of shingles are compared.
+fingerprints of 1024 bits in four orders of 64 blocks: those that agree in a block and differ in few bits of 128, then
+of all 1024, are candidates. Whole sets of shingles are compared where all candidates that pairs join are sent: each set
+once, or, of too many for a task, once for each part of them that it has candidates in.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import slices
@@ -36,9 +36,15 @@ WIDE, ORDERS = 1024, 4
 #: Of the first 128 bits of candidates, how many may differ: of sets of Jaccard 0.8, 19 do, with a deviation of 4.
 FAR = 44
 
-#: Classes of a bucket beyond which it is parted by the sizes of their sets.
+#: Of all bits of candidates, how many may differ: of sets of Jaccard 0.8, 155 do, with a deviation of 11; of the smallest, 192 with 12.5.
+FAR_WIDE = 300
+
+#: Classes beyond which a block's aren't compared bit by bit, and joined candidates not in one task but in parts by the sizes of their sets.
 LARGE = 500
 
+#: Shingles of joined candidates beyond which they are parted: 32 MB.
+HELD = 4_000_000
+
 #: Rounds in which sets are sent to where they are compared, which bounds the disk, and members of buckets for which one is enough.
 LINK_ROUNDS, ROUND_ROWS = 4, 50_000
 
@@ -205,7 +211,7 @@ def block_keys(wide: np.ndarray, order: int) -> np.ndarray:
 def block_pairs(entries: np.ndarray, similarity: float) -> list[np.ndarray]:
     """Classes to compare, of the entries of one block of all: pairs that agree in it, may be alike by size and differ in few bits.
 
-    A block that more than ``LARGE`` share, or that has more such pairs than ``PAIRED`` classes have, gives all its classes at once.
+    A block that more than ``LARGE`` share gives all its classes at once; one that has more such pairs than ``PAIRED`` classes have, all that are in one.
     """
     entries = entries[np.lexsort((entries["size"], entries["key"]))]
     key, size, sketch, name = (np.ascontiguousarray(entries[c]) for c in ("key", "size", "sketch", "class"))
@@ -222,7 +228,48 @@ def block_pairs(entries: np.ndarray, similarity: float) -> list[np.ndarray]:
     found = np.concatenate([*found, np.zeros((0, 2), np.int64)])
     whole = (np.bincount(run[found[:, 0]], minlength=len(first)) > PAIRED * (PAIRED - 1) // 2) | (many > LARGE)
     pairs = np.unique(np.sort(name[found[~whole[run[found[:, 0]]]]], axis=1), axis=0)
-    return [*pairs, *(np.sort(name[first[k] : first[k] + many[k]]) for k in np.flatnonzero(whole))]
+    paired = many[run] > LARGE
+    paired[found] = True
+    return [*pairs, *(np.sort(name[first[k] : first[k] + many[k]][paired[first[k] : first[k] + many[k]]]) for k in np.flatnonzero(whole))]
+
+
+def stars(groups: list[np.ndarray]) -> pa.Table:
+    """Of each group of classes its key, its size n and a row (a, b) from its first class to each other one."""
+    more = np.array([len(c) - 1 for c in groups], np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(c.tobytes(), 7) for c in groups], np.uint64).view(np.int64)
+    first = np.array([c[0] for c in groups], np.int64)
+    others = np.concatenate([*(c[1:] for c in groups), np.zeros(0, np.int64)])
+    return pa.table([pa.array(np.repeat(keys, more)), pa.array(np.repeat(more + 1, more)), pa.array(np.repeat(first, more)), pa.array(others)], names=["key", "n", "a", "b"])
+
+
+def of_stars(groups: DataFrame) -> DataFrame:
+    """(key, class) of each class of each group."""
+    return groups.select("key", F.col("a").alias("class")).distinct().unionByName(groups.select("key", F.col("b").alias("class")))
+
+
+def near_groups(names: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
+    """Groups of two or more, ascending, that wide fingerprints (rows of words) with at most ``FAR_WIDE`` differing bits join."""
+    left, groups = np.ones(len(names), bool), []
+    while left.any():
+        new = np.zeros(len(names), bool)
+        new[np.argmax(left)] = True
+        group = new.copy()
+        while new.any():
+            left &= ~new
+            reached = np.zeros(len(names), bool)
+            for k in np.flatnonzero(new):
+                rest = np.flatnonzero(left & ~reached)
+                reached[rest[np.bitwise_count(wide[rest] ^ wide[k]).sum(1) <= FAR_WIDE]] = True
+            new = reached
+            group |= new
+        if group.sum() > 1:
+            groups.append(np.sort(names[group]))
+    return groups
+
+
+def words_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Wide fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
 
 
 def bucket_links(names: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -248,9 +295,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """One row per document: row (its place in ``docs``), id and component_id, the smallest id among all that links lead to.
 
     Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more: whole
-    sets are compared, of documents whose wide SimHash fingerprints share a block. Equal sets are one class before; documents without
-    words, null texts among them, are one class as well. A null id never is the smallest while there is another. Buckets of
-    more than ``LARGE`` classes are parted by size: sets whose sizes differ more than ``similarity`` allows aren't linked.
+    sets are compared, of documents whose wide SimHash fingerprints share a block and are near. What such pairs join is
+    compared in one task, so that each set is sent once; beyond ``LARGE`` or ``HELD``, in parts by size, two at a time.
+    Equal sets are one class before; documents without words, null texts among them, are one class as well. A null id never
+    is the smallest while there is another.
     ``docs`` must come from files or a written table: its rows must have the same places when read again.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("words"))
@@ -265,7 +313,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     def blocks(order: int, shards: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(batch), -1)
+                wide = words_of(batch.column(2))
                 entries = np.empty(len(batch), ENTRY)
                 entries["class"], entries["size"], entries["sketch"] = batch.column(0).to_numpy(), batch.column(1).to_numpy(), wide[:, :2]
                 of, parts = [], []
@@ -280,11 +328,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         return run
 
     def compare(table: pa.Table) -> pa.Table:
-        found = block_pairs(np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY), similarity)
-        sizes = np.array([len(c) for c in found], np.int64)
-        keys = np.array([xxhash.xxh64_intdigest(c.tobytes(), 7) for c in found], np.uint64).view(np.int64)
-        members = np.concatenate([*found, np.zeros(0, np.int64)])
-        return pa.table([pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(members)], names=["key", "n", "class"])
+        return stars(block_pairs(np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY), similarity))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.bitwise_count(words_of(batch["fp"]) ^ words_of(batch["fp_b"])).sum(1) > FAR_WIDE
+            yield batch.select(["key", "n", "a", "b"]).filter(pa.array(~far))
+
+    def narrow(table: pa.Table) -> pa.Table:
+        return stars(near_groups(table["class"].to_numpy(), words_of(table["fp"])))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in slices(batches, "words", 1 << 20):
@@ -299,23 +351,43 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     rows = written(texts.mapInArrow(run, "row long, id long, class long, size int, fp binary"), "wide-fingerprints")
     distinct = written(rows.where("size > 0").groupBy("class", "size", "fp").agg(F.min("row").alias("row")), "distinct")
     shards = 1 + distinct.count() // SHARD_ROWS
+    star = "key long, n long, a long, b long"
     found = []
     for order in range(ORDERS):  # one after another, which bounds the disk
         entries = distinct.select("class", "size", "fp").mapInArrow(blocks(order, shards), "shard int, entries binary")
-        found.append(written(entries.groupBy("shard").applyInArrow(compare, "key long, n long, class long"), "candidates"))
+        found.append(written(entries.groupBy("shard").applyInArrow(compare, star), "candidates"))
         free_shuffles(docs.sparkSession)
     # whatever several blocks find is compared once
-    members = written(reduce(DataFrame.unionByName, found).distinct(), "buckets")
+    buckets = written(reduce(DataFrame.unionByName, found).distinct(), "buckets")
     discard(*found)
+    wide = distinct.select("class", "fp")
+    pairs = buckets.where("n = 2").join(wide.withColumnRenamed("class", "a"), "a")
+    pairs = pairs.join(wide.toDF("b", "fp_b"), "b").mapInArrow(near, star)
+    blocked = of_stars(buckets.where((F.col("n") > 2) & (F.col("n") <= LARGE))).join(wide, "class").groupBy("key").applyInArrow(narrow, star)
+    groups = written(pairs.unionByName(blocked).unionByName(buckets.where(F.col("n") > LARGE)).distinct(), "groups")
+    # what they join is compared together if one task can hold it; else in parts of like sizes, each part with each that it shares a group with
+    joined = written(components(groups).join(distinct.select(F.col("class").alias("v"), F.col("size").cast("long")), "v"), "joined")
+    weight = F.greatest("size", F.lit(HELD // LARGE))
+    held = written(joined.groupBy("root").agg((F.sum(weight) <= HELD).alias("fits")), "held")
+    once = joined.join(held.where("fits"), "root").select(F.col("root").alias("key"), F.col("v").alias("class"))
+    before = F.sum(weight).over(Window.partitionBy("root").orderBy("size", "v").rowsBetween(Window.unboundedPreceding, 0))
+    parts = joined.join(held.where("not fits"), "root").select(F.col("v").alias("class"), "root", "size", F.floor(before / (HELD // 2)).alias("part"))
+    parts = written(parts, "parts")
+    at = written(of_stars(groups.join(parts.select(F.col("class").alias("a")), "a", "left_semi")).join(parts, "class"), "parted")
+    met = at.groupBy("key", F.col("part").alias("other")).agg(F.count(F.lit(1)).alias("many"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    alike = (F.col("size") >= similarity * F.col("lo")) & (F.col("hi") >= similarity * F.col("size"))
+    sent = at.join(met, "key").where(alike & ((F.col("part") != F.col("other")) | (F.col("many") > 1)))
+    sent = sent.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "class").distinct()
+    members = written(once.unionByName(sent), "members")
+    del pairs, blocked, once, met, sent
+    free_shuffles(docs.sparkSession)
     # sets of those that are compared, from one row of each class
     compared = written(distinct.join(members.select("class").distinct(), "class", "left_semi").select("class", "row"), "compared")
     sets = written(texts.join(maybe_broadcast(compared, 32), "row").select("class", "words").mapInArrow(whole, "class long, size int, hashes binary"), "shingles")
-    by_size = F.floor(F.log(F.greatest("size", F.lit(1))) / (-math.log(similarity) * 1.0001)).cast("int")
-    at = F.when(F.col("n") > LARGE, F.array(by_size, by_size + 1)).otherwise(F.array(F.lit(-1)))
     rounds, linked = min(LINK_ROUNDS, 1 + members.count() // ROUND_ROWS), []
     for r in range(rounds):
-        bucket = members.where(F.pmod("key", F.lit(rounds)) == r).join(sets, "class").withColumn("at", F.explode(at))
-        linked.append(written(bucket.groupBy("key", "at").applyInArrow(link, "a long, b long").distinct(), "links"))
+        bucket = members.where(F.pmod("key", F.lit(rounds)) == r).join(sets, "class")
+        linked.append(written(bucket.groupBy("key").applyInArrow(link, "a long, b long").distinct(), "links"))
         del bucket
         if rounds > 1:
             free_shuffles(docs.sparkSession)
@@ -326,7 +398,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = classes.join(least, "root").select("class", "root", "component_id")
     found = written(rows.select("row", "id", "class").join(named, "class").select("row", F.col("id").alias(id_col), "component_id", "root"), "near-copies")
-    discard(rows, distinct, members, compared, sets, *linked, roots, classes)
+    discard(rows, distinct, buckets, groups, joined, held, parts, at, members, compared, sets, *linked, roots, classes)
     return found
 
 

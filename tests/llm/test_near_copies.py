@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from keyloom.llm.simhash import ENTRY, FAR, ORDERS, block_keys, block_pairs, bucket_links, keep_one_of_each, shingles, wide_fingerprint
+from keyloom.llm.simhash import ENTRY, FAR, FAR_WIDE, ORDERS, block_keys, block_pairs, bucket_links, keep_one_of_each, near_groups, shingles, wide_fingerprint
 
 
 def sets_of(texts):
@@ -152,3 +152,71 @@ def test_sets_are_sent_in_rounds(spark, tmp_path, monkeypatch):
     assert {r.doc_id for r in keep_one_of_each(spark.read.parquet(path)).collect()} == kept_by_hand(texts)
     most = max(n for k, n in stages().items() if k not in before)
     assert most < len(texts) * 396 * 8 / 2
+
+
+def edited(n, words, edits):
+    """A text and copies of it, each with other words in some places: most pairs are candidates, few are linked."""
+    base = [f"w{random.randrange(5000)}" for _ in range(words)]
+    texts = [base]
+    for j in range(n - 1):
+        copy = list(base)
+        for k in random.sample(range(0, words, 6), random.randrange(*edits)):
+            copy[k] = f"edit{j}"
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def written_by(spark, path):
+    """Bytes that all shuffles write, and what stays."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    kept = {r.doc_id for r in keep_one_of_each(spark.read.parquet(path)).collect()}
+    return sum(n for k, n in stages().items() if k not in before), kept
+
+
+def test_sets_of_a_cluster_are_sent_once(spark, tmp_path):
+    random.seed(8)
+    texts = edited(30, 4000, (20, 180))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    total, kept = written_by(spark, path)
+    assert kept == kept_by_hand(texts) and 1 < len(kept) < 30
+    assert total < 3 * len(texts) * 3996 * 8
+
+
+def test_sets_of_a_cluster_beyond_one_task_are_sent_for_each_part(spark, tmp_path, monkeypatch):
+    """In parts of about five sets: no link between two parts is lost, and no set is sent for each pair."""
+    monkeypatch.setattr("keyloom.llm.simhash.HELD", 40_000, raising=False)
+    random.seed(9)
+    texts = edited(40, 4000, (20, 180)) + [" ".join(t.split()[:k]) for k, t in zip((3600, 3000, 2400), edited(3, 4000, (1, 2)))]
+    random.shuffle(texts)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    total, kept = written_by(spark, path)
+    assert kept == kept_by_hand(texts) and 1 < len(kept) < 43
+    assert total < 20 * len(texts) * 3996 * 8
+
+
+def test_near_groups_are_joined_by_paths():
+    rng = np.random.default_rng(12)
+    wide = rng.integers(0, 1 << 63, (3, 16), np.uint64)
+    chain = [wide[0]]
+    for k in range(3):  # each 256 bits from the last, 512 from the one before
+        chain.append(chain[-1] ^ np.where(np.arange(16) // 4 == k, ~np.uint64(0), np.uint64(0)))
+    rows = np.array([chain[2], wide[1], chain[0], chain[3], wide[2], chain[1]])
+    assert [g.tolist() for g in near_groups(np.array([5, 9, 4, 8, 7, 6]), rows)] == [[4, 5, 6, 8]]
+    assert near_groups(np.array([1, 2]), wide[:2]) == []
+
+
+def test_sets_at_the_limit_are_near_in_all_bits():
+    rng = np.random.default_rng(13)
+    for both, own in (((4, 0), 1), ((8, 1), 1), ((80, 10), 10), ((400, 0), 100)):
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, sum(both) + own, np.uint64)
+            a, b = wide_fingerprint(h[: sum(both)]), wide_fingerprint(np.append(h[: both[0]], h[sum(both) :]))
+            assert np.bitwise_count(a ^ b).sum() <= FAR_WIDE
