@@ -44,10 +44,11 @@ def sgd_body(step: float):
     def body(key, value, W, H):
         w = W[:, key[0]]
         h = H[:, key[1]]
-        d = value - float(np.dot(w, h))
+        d = value - np.vecdot(w, h, axis=0)
         W[:, key[0]] = w + 2 * step * d * h
         H[:, key[1]] = h + 2 * step * d * w
 
+    body.together = True
     return body
 
 
@@ -57,7 +58,7 @@ def adaptive_body(alpha: float):
     def body(key, value, W, H, W_z, H_z):
         w = W[:, key[0]]
         h = H[:, key[1]]
-        d = value - float(np.dot(w, h))
+        d = value - np.vecdot(w, h, axis=0)
         gw = -2 * d * h
         gh = -2 * d * w
         W_z[:, key[0]] = W_z[:, key[0]] + gw * gw
@@ -65,6 +66,7 @@ def adaptive_body(alpha: float):
         W[:, key[0]] = w - alpha / np.sqrt(W_z[:, key[0]]) * gw
         H[:, key[1]] = h - alpha / np.sqrt(H_z[:, key[1]]) * gh
 
+    body.together = True
     return body
 
 
